@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_extract, packing, pii, token_counts
+from . import ann, audio, bpe, html_extract, packing, pii, quality, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < pii.KINDS.index("term"))
@@ -55,13 +60,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed, books = ann.index(table(spark, sf_dir, "embeddings"))
+    asked = indexed.filter(F.col("id") % 20 == 0).select("id", "vector")
+    return ann.search(indexed, books, asked, k=20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
+    "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_audio_columns": op6_audio_columns,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_nearest": op10_nearest,
 }
 
 #: DuckDB's form of the queries that SQL can express.

@@ -27,9 +27,9 @@ from .shared import materialise
 
 #: Vectors that the codebooks are fitted on, at most (about: the sample is drawn by the ids' hashes).
 SAMPLE = 16_384
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 8, 12
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 6, 10
 #: Distinct vectors of a block that are ranked again, and rows of a block of the index and of the queries.
-RERANKED = 320
+RERANKED = 1_024
 BLOCK, QUERIES = 32_768, 4_096
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, bpe, html_extract, packing, pii, quality, suffix_dedup, token_counts
+from . import ann, audio, bpe, html_extract, ngram_join, packing, pii, quality, suffix_dedup, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.audio_columns(table(spark, sf_dir, "documents").withColumn("payload", F.col("text").cast("binary")))
     return found.select(
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_ngram_join": op5_ngram_join,
     "op6_audio_columns": op6_audio_columns,
     "op7_token_counts": op7_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -22,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -84,8 +84,12 @@ def _name(g: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None
 
 
+def _md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, d: int) -> DataFrame:
-    schema = pa.schema([("doc", pa.int64()), ("node", pa.binary()), ("n_grams", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("md5", pa.string()), ("node", pa.binary()), ("n_grams", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -93,15 +97,15 @@ def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, d: in
             for b in batches:
                 for part in slices(b):
                     seen.clear()
-                    for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
+                    for doc, md5, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts(part.column(1))):
                         if text not in seen:
                             g = grams(text, n)
                             seen[text] = (_name(g), len(g), signatures(g, trees, d) if len(g) else None)
-                        yield doc, *seen[text]
+                        yield doc, md5, *seen[text]
 
         yield from rebatch(rows(), schema, lambda r: 320)
 
-    return df.select(df[id_col].alias("doc"), df[text_col].alias("text")).mapInArrow(run, "doc long, node binary, n_grams long, keys array<long>")
+    return df.select(df[id_col].alias("doc"), df[text_col].alias("text"), _md5(df[text_col]).alias("md5")).mapInArrow(run, "doc long, md5 string, node binary, n_grams long, keys array<long>")
 
 
 def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
@@ -211,7 +215,7 @@ def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: in
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAMS, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per row: the id, class_id (the least id of all that links reach) and n_links."""
+    """Per row: the id, class_id (the least id of all that links reach), n_links and the text's md5."""
     d = depth(threshold, trees, deepest, recall)
     signed = materialise(_signed(df, id_col, text_col, n, trees, d), "signed")
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys"))
@@ -227,7 +231,22 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     members = members.join(linked, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = members.groupBy("root").agg(F.min("doc").alias("class_id"))
     per_node = members.join(names, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("doc", "node")
+    rows = signed.select("doc", "node", "md5")
     return rows.join(per_node, "node", "left").select(
-        F.col("doc").alias(id_col), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        F.col("doc").alias(id_col), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "md5"
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `df`, but of each class only the one with the least id (then the least md5 of its text); a null id is the greatest.
+
+    Rows without grams all stay. Of rows with equal id and text one stays."""
+    joined = join(df, id_col, text_col, **options)
+    blank = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("n_links") == 0)
+    alone = joined.filter(blank).select(F.col(id_col).alias("__id"), F.col("md5").alias("__md5"))
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "md5")
+    first = joined.filter(~blank).groupBy("class_id").agg(F.min(order).alias("o")).select(F.col("o.id").alias("__id"), F.col("o.md5").alias("__md5"))
+    stays = alone.unionByName(first).distinct()
+    keyed = df.withColumn("__key", _md5(df[text_col]))
+    found = keyed.join(stays, keyed[id_col].eqNullSafe(stays["__id"]) & (keyed["__key"] == stays["__md5"]), "left_semi")
+    return found.dropDuplicates([id_col, "__key"]).drop("__key")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, rebatch
+from .shared import materialise, rebatch, slices
 
 LENGTH, GRAM = 100, 32
 CROWD = 20_000
@@ -114,9 +114,10 @@ class Chunk:
         return out
 
 
-def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, tie (tells rows of one id apart) and raw bytes, laid out by doc."""
-    rows = df.select(F.coalesce(df[id_col], F.lit(NULL_ID)).alias("doc"), F.coalesce(df[text_col], F.lit("")).cast("binary").alias("raw"))
+def _ordered(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """doc, tie (tells rows of one id apart), raw bytes and, if carried, the other columns, laid out by doc."""
+    rest = [df[c].alias(f"rest{k}") for k, c in enumerate(df.columns) if c not in (id_col, text_col)] if carry else []
+    rows = df.select(F.coalesce(df[id_col], F.lit(NULL_ID)).alias("doc"), df[text_col].cast("binary").alias("raw"), *rest)
     return rows.withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("raw"))))
 
 
@@ -134,8 +135,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: i
     kept, total = [], 0
     for b in batches:
         for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)):
-            kept.append(row)
-            total += len(row[0])
+            kept.append((row[0] or b"", *row[1:]))
+            total += len(kept[-1][0])
             if total >= most:
                 yield kept
                 kept, total = [], 0
@@ -235,7 +236,7 @@ def _fetch(laid: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for doc, tie, raw, asked in zip(*(b.column(k).to_pylist() for k in range(4))):
+                for doc, tie, raw, asked in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw", "wanted"))):
                     for w in asked:
                         if w["tie"] == tie:
                             a, e = max(0, w["pos"] - side), min(len(raw), w["pos"] + length)
@@ -243,7 +244,7 @@ def _fetch(laid: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
 
         yield from rebatch(rows(), schema, lambda r: 240)
 
-    joined = laid.join(per_doc, "doc").select("doc", "tie", "raw", "wanted")
+    joined = laid.join(per_doc, "doc")  # all columns, so that the layout is the same one wherever it is read
     return joined.mapInArrow(run, "g long, doc long, tie int, pos int, around binary, before int, after int")
 
 
@@ -301,10 +302,12 @@ def removed_runs(n: int, marks: list[dict], length: int, gram: int) -> list[tupl
     return list(zip(change[::2].tolist(), change[1::2].tolist()))
 
 
-def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, crowd: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """The texts laid out by document, and each document's marks."""
-    laid = _ordered(df, id_col, text_col)
-    samples = laid.select("doc", "tie", "raw").mapInArrow(lambda it: find_samples(it, length, gram), _FOUND_SQL)
+    if gram & (gram - 1) or not 0 < gram < length:
+        raise ValueError("gram must be a power of two below the length")
+    laid = _ordered(df, id_col, text_col, carry)
+    samples = laid.mapInArrow(lambda it: find_samples(it, length, gram), _FOUND_SQL)
     ranked = samples.repartition("g").sortWithinPartitions("g", "f", "doc", "tie", "pos").mapInArrow(lambda it: rank_samples(it, crowd), _FOUND_SQL)
     found = materialise(ranked.select("g", "doc", "tie", "pos", "kind"), "ranks")
     marks = found.filter(F.col("kind") == WHOLE).select("doc", "tie", "pos", F.lit(None).cast("binary").alias("mark"))
@@ -315,10 +318,16 @@ def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     return laid, marks.groupBy("doc").agg(F.collect_list(F.struct("tie", "pos", "mark")).alias("marks"))
 
 
+def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for a, e in runs:
+        kept.append(raw[at:a])
+        at = e
+    return b"".join([*kept, raw[at:]])
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, `spans` (removed runs) and `kept` (the remaining bytes)."""
-    if gram & (gram - 1) or not 0 < gram < length:
-        raise ValueError("gram must be a power of two below the length")
     laid, marks = _marked(df, id_col, text_col, length, gram, crowd)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", spans), ("kept", pa.binary())])
@@ -326,16 +335,30 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for doc, tie, raw, mine in zip(*(b.column(k).to_pylist() for k in range(4))):
+                for doc, tie, raw, mine in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw", "marks"))):
+                    raw = raw or b""
                     runs = removed_runs(len(raw), [m for m in mine or () if m["tie"] == tie], length, gram)
-                    kept, at = [], 0
-                    for a, e in runs:
-                        kept.append(raw[at:a])
-                        at = e
-                    kept.append(raw[at:])
-                    yield None if doc == NULL_ID else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], b"".join(kept)
+                    yield None if doc == NULL_ID else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], without(raw, runs)
 
         yield from rebatch(rows(), schema, lambda r: len(r[4]) + 64)
 
-    joined = laid.join(marks, "doc", "left").select("doc", "tie", "raw", "marks")
-    return joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("doc", id_col)
+    return laid.join(marks, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("doc", id_col)
+
+
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """The same rows and columns without the removed bytes; characters that are cut go whole. A null text stays null."""
+    laid, marks = _marked(df, id_col, text_col, length, gram, crowd, carry=True)
+    names_ = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                new = []
+                for tie, raw, mine in zip(*(b.column(k).to_pylist() for k in ("tie", "raw", "marks"))):
+                    runs = removed_runs(len(raw or b""), [m for m in mine or () if m["tie"] == tie], length, gram)
+                    new.append(None if raw is None else without(raw, runs).decode("utf-8", "ignore"))
+                ids = pa.array([None if d == NULL_ID else d for d in b.column("doc").to_pylist()], pa.int64())
+                out = [ids if c == id_col else pa.array(new, pa.string()) if c == text_col else b.column(f"rest{k}") for k, c in enumerate(names_)]
+                yield pa.RecordBatch.from_arrays(out, names=names_)
+
+    return laid.join(marks, "doc", "left").mapInArrow(run, df.schema)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,28 +201,41 @@ def rank_samples(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.R
         yield out
 
 
-def compare(rows: list[tuple[int, int, int, bytes, int, int]], length: int, side: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """rows: doc, tie, pos, the bytes around the sample, how many are before it, and how many from it on; one first rank.
+#: Groups up to this size are compared row by row; in larger ones, strings are ranked offset by offset.
+FEW = 12
 
-    For each offset the strings of all rows are ranked; all but the first of equal ones repeat. Gives doc, tie, pos and a bit for
-    each offset (bit j: the string that starts j bytes before the sample)."""
-    rows = sorted(rows, key=lambda r: r[:3])
-    n = len(rows)
-    before, after = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    around = np.zeros((n, side + length), np.uint8)
-    for k, r in enumerate(rows):
-        around[k, side - r[4] : side + r[5]] = np.frombuffer(r[3], np.uint8)
+
+def compare(g: np.ndarray, before: np.ndarray, after: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
+    """Marks of rows sorted by (g, doc, tie, pos): bit j of a row says that the string that starts j bytes before its sample also starts
+    earlier. `around` has the bytes beside each sample, of which `before` and `after` are real."""
+    n, side = len(g), around.shape[1] - length
+    offsets = np.arange(side + 1)
     marks = np.zeros((n, side + 1), bool)
-    for j in range(side + 1):
-        has = np.flatnonzero((before >= j) & (after >= length - j))
-        if len(has) > 1:
-            strings = np.ascontiguousarray(around[has, side - j : side - j + length]).view(np.dtype((np.void, length)))[:, 0]
-            _, first = np.unique(strings, return_index=True)
-            marks[has, j] = True
-            marks[has[first], j] = False
-    packed = np.packbits(marks, axis=1, bitorder="little")
-    for k in np.flatnonzero(marks.any(1)).tolist():
-        yield rows[k][0], rows[k][1], rows[k][2], packed[k].tobytes()
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.concatenate([first, [n]]))
+    rank = np.arange(n) - np.repeat(first, size)
+    few = np.repeat(size, size) <= FEW
+    for lag in range(1, FEW):
+        later = np.flatnonzero((rank >= lag) & few)
+        for a in range(0, len(later), 32_768):
+            i = later[a : a + 32_768]
+            same = around[i] == around[i - lag]
+            left, right = same[:, side - 1 :: -1] if side else same[:, :0], same[:, side:]
+            reach_left = np.where(left.all(1), side, left.argmin(1)) if side else np.zeros(len(i), np.int64)
+            reach_right = np.where(right.all(1), length, right.argmin(1))
+            reach_left = np.minimum(reach_left, np.minimum(before[i], before[i - lag]))
+            reach_right = np.minimum(reach_right, np.minimum(after[i], after[i - lag]))
+            marks[i] |= (offsets >= (length - reach_right)[:, None]) & (offsets <= reach_left[:, None])
+    for a, m in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        rows = slice(a, a + m)
+        for j in range(side + 1):
+            has = a + np.flatnonzero((before[rows] >= j) & (after[rows] >= length - j))
+            if len(has) > 1:
+                strings = np.ascontiguousarray(around[has, side - j : side - j + length]).view(np.dtype((np.void, length)))[:, 0]
+                earliest = np.unique(strings, return_index=True)[1]
+                marks[has, j] = True
+                marks[has[earliest], j] = False
+    return marks
 
 
 _MARKS = "array<struct<tie: int, pos: int, mark: binary>>"
@@ -235,12 +249,19 @@ def _fetch(laid: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for b in batches:
-                for doc, tie, raw, asked in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw", "wanted"))):
-                    for w in asked:
-                        if w["tie"] == tie:
-                            a, e = max(0, w["pos"] - side), min(len(raw), w["pos"] + length)
-                            yield w["g"], doc, tie, w["pos"], raw[a:e], w["pos"] - a, e - w["pos"]
+            for whole in batches:
+                for b in slices(whole):
+                    flat = b.column("wanted").flatten()
+                    ties, places, gs = (flat.field(k).to_pylist() for k in range(3))
+                    counts = pc.list_value_length(b.column("wanted")).to_pylist()
+                    at = 0
+                    for doc, tie, raw, n in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw")), counts):
+                        padded = b"\0" * side + raw + b"\0" * length
+                        for k in range(at, at + n):
+                            if ties[k] == tie:
+                                p = places[k]
+                                yield gs[k], doc, tie, p, padded[p : p + side + length], min(p, side), min(len(raw) - p, length)
+                        at += n
 
         yield from rebatch(rows(), schema, lambda r: 240)
 
@@ -252,18 +273,29 @@ def _by_task(fetched: DataFrame, length: int, gram: int) -> DataFrame:
     """Marks of samples whose bytes are compared within their first rank."""
     schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("pos", pa.int32()), ("mark", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            now, held = None, []
-            for b in batches:
-                for g, *row in zip(*(c.to_pylist() for c in b.columns)):
-                    if g != now:
-                        yield from compare(held, length, length - gram)
-                        now, held = g, []
-                    held.append(tuple(row))
-            yield from compare(held, length, length - gram)
+    def settle(c: list[np.ndarray]) -> pa.RecordBatch | None:
+        order = np.lexsort((c[3], c[2], c[1], c[0]))
+        g, doc, tie, pos, before, after, around = (x[order] for x in c)
+        marks = compare(g, before, after, around, length)
+        hit = np.flatnonzero(marks.any(1))
+        packed = np.packbits(marks[hit], axis=1, bitorder="little")
+        return pa.RecordBatch.from_arrays([pa.array(doc[hit], pa.int64()), pa.array(tie[hit], pa.int32()), pa.array(pos[hit], pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary())], schema=schema)
 
-        yield from rebatch(rows(), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(k).to_numpy() for k in ("g", "doc", "tie", "pos", "before", "after")]
+            now.append(np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint8).reshape(b.num_rows, -1))
+            if held:
+                now = [np.concatenate([h, x]) for h, x in zip(held, now)]
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+            held = [x[cut:] for x in now]
+            if cut:
+                yield settle([x[:cut] for x in now])
+        if held:
+            yield settle(held)
 
     return fetched.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc long, tie int, pos int, mark binary")
 
@@ -271,9 +303,7 @@ def _by_task(fetched: DataFrame, length: int, gram: int) -> DataFrame:
 def _by_aggregation(fetched: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for crowded ranks: a row per string, ranked by its digest over the cluster."""
     offset = F.explode(F.expr(f"filter(sequence(0, {length - gram}), j -> before >= j and after >= {length} - j)")).alias("j")
-    strings = fetched.select("doc", "tie", "pos", "around", "before", offset).select(
-        F.md5(F.expr(f"substring(around, before - j + 1, {length})")).alias("string"), "doc", "tie", "pos", "j"
-    )
+    strings = fetched.select("doc", "tie", "pos", "around", offset).select(F.md5(F.expr(f"substring(around, {length - gram} - j + 1, {length})")).alias("string"), "doc", "tie", "pos", "j")
     place = F.struct("doc", "tie", F.col("pos"))
     first = strings.groupBy("string", "j").agg(F.min(place).alias("first"))
     again = strings.join(first, ["string", "j"]).filter(place != F.col("first"))
@@ -282,24 +312,38 @@ def _by_aggregation(fetched: DataFrame, length: int, gram: int) -> DataFrame:
     return again.groupBy("doc", "tie", "pos").agg(F.collect_set("j").alias("js")).select("doc", "tie", "pos", mark("js").alias("mark"))
 
 
-def removed_runs(n: int, marks: list[dict], length: int, gram: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes to remove, from a text's marks. A mark without bits covers all strings around its sample."""
-    if not marks:
-        return []
+def removed_runs(b: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, bytes | None, list[tuple[int, int]]]]:
+    """Per row of the layout and its marks: doc, raw bytes, and the maximal runs of bytes to remove. A mark without bits covers all
+    strings around its sample."""
     side = length - gram
-    edges = np.zeros(n + 1, np.int32)
-    whole = np.array([m["pos"] for m in marks if m["mark"] is None], np.int64)
-    if len(whole):
-        np.add.at(edges, np.maximum(whole - side, 0), 1)
-        np.add.at(edges, np.minimum(whole + length, n), -1)
-    for m in marks:
-        if m["mark"] is not None:
-            starts = m["pos"] - np.flatnonzero(np.unpackbits(np.frombuffer(m["mark"], np.uint8), bitorder="little"))
+    lists = b.column("marks")
+    flat = lists.flatten()
+    tie_of, pos_of, bits_of = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64), flat.field(2)
+    whole = bits_of.is_null().to_numpy(zero_copy_only=False)
+    packed = b"".join(bits_of.drop_null().to_pylist())
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(int((~whole).sum()), -1), axis=1, bitorder="little") if packed else np.zeros((0, 8), np.uint8)
+    number = np.cumsum(~whole) - 1
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+    at = 0
+    for doc, tie, raw, n in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw")), counts):
+        mine = at + np.flatnonzero(tie_of[at : at + n] == tie)
+        at += n
+        runs = []
+        if len(mine):
+            size = len(raw)
+            edges = np.zeros(size + 1, np.int32)
+            w = pos_of[mine[whole[mine]]]
+            np.add.at(edges, np.maximum(w - side, 0), 1)
+            np.add.at(edges, np.minimum(w + length, size), -1)
+            some = mine[~whole[mine]]
+            row, j = np.nonzero(bits[number[some]])
+            starts = pos_of[some[row]] - j
             np.add.at(edges, starts, 1)
             np.add.at(edges, starts + length, -1)
-    gone = np.concatenate([[0], (np.cumsum(edges)[:n] > 0).view(np.int8), [0]])
-    change = np.flatnonzero(np.diff(gone))
-    return list(zip(change[::2].tolist(), change[1::2].tolist()))
+            gone = np.concatenate([[0], (np.cumsum(edges)[:size] > 0).view(np.int8), [0]])
+            change = np.flatnonzero(np.diff(gone))
+            runs = list(zip(change[::2].tolist(), change[1::2].tolist()))
+        yield doc, raw, runs
 
 
 def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, crowd: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -334,11 +378,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for b in batches:
-                for doc, tie, raw, mine in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw", "marks"))):
-                    raw = raw or b""
-                    runs = removed_runs(len(raw), [m for m in mine or () if m["tie"] == tie], length, gram)
-                    yield None if doc == NULL_ID else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], without(raw, runs)
+            for whole in batches:
+                for b in slices(whole):
+                    for doc, raw, runs in removed_runs(b, length, gram):
+                        raw = raw or b""
+                        yield None if doc == NULL_ID else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], without(raw, runs)
 
         yield from rebatch(rows(), schema, lambda r: len(r[4]) + 64)
 
@@ -353,10 +397,7 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                new = []
-                for tie, raw, mine in zip(*(b.column(k).to_pylist() for k in ("tie", "raw", "marks"))):
-                    runs = removed_runs(len(raw or b""), [m for m in mine or () if m["tie"] == tie], length, gram)
-                    new.append(None if raw is None else without(raw, runs).decode("utf-8", "ignore"))
+                new = [None if raw is None else without(raw, runs).decode("utf-8", "ignore") for _, raw, runs in removed_runs(b, length, gram)]
                 ids = pa.array([None if d == NULL_ID else d for d in b.column("doc").to_pylist()], pa.int64())
                 out = [ids if c == id_col else pa.array(new, pa.string()) if c == text_col else b.column(f"rest{k}") for k, c in enumerate(names_)]
                 yield pa.RecordBatch.from_arrays(out, names=names_)

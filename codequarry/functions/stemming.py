@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 # The endings of steps 2, 3 and 4, as published.
@@ -76,7 +77,6 @@ def stem(word: str) -> str:
 
 def stems_udf():
     """array<string> of words to their stems, one Arrow batch at a time; distinct words of a batch are stemmed once."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def stems(words: pd.Series) -> pd.Series:

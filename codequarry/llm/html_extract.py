@@ -188,14 +188,20 @@ def first_pass(found: list[tuple[str, float, str, bool, bool]]) -> list[int]:
 
 
 def second_pass(labels: list[int]) -> list[bool]:
-    """Undecided blocks get the label of the nearest decided block, the one before if two are as near."""
-    kept, decided = [], [k for k, x in enumerate(labels) if x]
-    at = 0
-    for k in range(len(labels)):
-        while at + 1 < len(decided) and abs(decided[at + 1] - k) < abs(decided[at] - k):
-            at += 1
-        kept.append(bool(decided) and labels[decided[at]] == 1)
-    return kept
+    """Undecided blocks get the label of the nearest decided block; of two as near, text wins."""
+    far = len(labels) + 1
+
+    def distances(labels: list[int]) -> list[dict[int, int]]:
+        out, last = [], {1: -far, -1: -far}
+        for k, x in enumerate(labels):
+            if x:
+                last[x] = k
+            out.append({x: k - at for x, at in last.items()})
+        return out
+
+    before, after = distances(labels), distances(labels[::-1])[::-1]
+    near = [{x: min(b[x], a[x]) for x in (1, -1)} for b, a in zip(before, after)]
+    return [x == 1 or (x == 0 and d[1] < far and d[1] <= d[-1]) for x, d in zip(labels, near)]
 
 
 def main_text(page: str | None) -> str:

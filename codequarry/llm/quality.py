@@ -118,7 +118,7 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     be explained away by calling much of the good text bad. The counts below are a weak prior, so that unseen votes keep some chance."""
     rows = [(p, n) for p, n in patterns.items() if any(p)]
     m = len(rows[0][0]) if rows else 0
-    v = np.array([p for p, _ in rows], float).reshape(-1, m)
+    v = np.array([p for p, _ in rows], float).reshape(len(rows), m)
     n = np.array([c for _, c in rows], float)
     finds, spares, prior, q = np.full(m, START[0]), np.full(m, START[1]), 0.8, np.zeros(len(n))
     for _ in range(rounds if len(n) else 0):

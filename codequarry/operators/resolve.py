@@ -38,7 +38,7 @@ def scopes(extra: dict[str, Column] | None = None) -> dict[str, Column]:
 
 
 def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) -> DataFrame:
-    """Per call: the first rule under which a candidate stands, resolved if exactly one does (or all are overloads of one name), else ambiguous.
+    """Rows are distinct by call and symbol. Per call: the first rule under which a candidate stands, resolved if exactly one does (or all are overloads of one name), else ambiguous.
 
     Each (call, candidate) row gets its first rule; one aggregation finds each call's best rule and the candidates under it."""
     names = list(rules)
@@ -46,16 +46,14 @@ def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) ->
     for k in range(len(names) - 1, -1, -1):
         rank = F.when(F.coalesce(rules[names[k]], F.lit(False)), k).otherwise(rank)
     ranked = candidates.withColumn("rule", rank).filter("rule is not null")
-    # Overload pick: by arity, then the smallest start.
-    pick = F.struct((~F.coalesce(F.col("n_params") == F.col("arg_count"), F.lit(False))).alias("wrong"), F.col("start_line"), F.col("symbol_id"))
-    per_rule = ranked.groupBy(*call, "rule").agg(
-        F.count_distinct("symbol_id").alias("n"), F.count_distinct("qualified_name", "path").alias("n_names"), F.min(pick).alias("best"),
-        F.count_distinct(F.when(F.col("n_params") == F.col("arg_count"), F.col("symbol_id"))).alias("n_fit"),
-    )
-    first = Window.partitionBy(*call).orderBy("rule")
-    best = per_rule.withColumn("k", F.row_number().over(first)).filter("k = 1")
+    # Overload pick: by arity, then the smallest start. A name is single if its least and greatest are equal, so one pass with partial aggregation does.
+    fits = F.coalesce(F.col("n_params") == F.col("arg_count"), F.lit(False))
+    pick, named = F.struct((~fits).alias("wrong"), F.col("start_line"), F.col("symbol_id")), F.struct("qualified_name", "path")
+    per_rule = ranked.groupBy(*call, "rule").agg(F.count("*").alias("n"), F.min(named).alias("lo"), F.max(named).alias("hi"), F.min(pick).alias("best"), F.count_if(fits).alias("n_fit"))
+    first = F.min(F.struct("rule", "n", (F.col("lo") == F.col("hi")).alias("one_name"), "best", "n_fit"))
+    best = per_rule.groupBy(*call).agg(first.alias("b")).select(*call, "b.*")
     scope = F.element_at(F.array(*map(F.lit, names)), F.col("rule") + 1)
-    single, overload = F.col("n") == 1, F.col("n_names") == 1
+    single, overload = F.col("n") == 1, F.col("one_name")
     name = F.when(single, scope).when(overload & (F.col("n_fit") == 1), "overload_arity").when(overload, "overload_group").otherwise("ambiguous")
     table = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
     return best.select(
@@ -64,6 +62,14 @@ def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) ->
     )
 
 
+def by_context(calls: DataFrame, candidates: DataFrame, name: str, context: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Calls with their decisions, which are made once for each distinct context and joined back: a name with many candidates meets each
+    context once, not each call. `name` is in the context and named alike in the candidates."""
+    contexts = calls.select(*context).distinct()
+    decided = decide(contexts.join(candidates, name), context, rules)
+    return calls.join(decided, context)
+
+
 def dedupe(edges: DataFrame, order: list[str]) -> DataFrame:
     """The first edge of each (source, target, stub, name, kind)."""
     keys = ["source_symbol_id", "target_symbol_id", "target_stub_id", "target_name", "edge_kind"]

@@ -525,9 +525,10 @@ _RULES = """WITH j AS (SELECT c.call_id, c.path AS call_path, c.call_name, c.arg
  CASE WHEN n = 1 THEN CASE rule WHEN 0 THEN 'same_file' ELSE 'global' END WHEN n_names = 1 AND n_fit = 1 THEN 'overload_arity' WHEN n_names = 1 THEN 'overload_group' ELSE 'ambiguous' END AS scope, n AS n_candidates FROM f WHERE k = 1""")
 def rule_priority_resolve(spark, d):
     calls = fx.calls(spark, d).filter("call_id % 5 = 0").withColumnRenamed("path", "call_path")
-    j = calls.join(fx.symbols(spark, d).withColumn("n_params", F.col("symbol_id") % 7), F.col("name") == F.col("call_name"))
+    candidates = fx.symbols(spark, d).withColumn("n_params", F.col("symbol_id") % 7).withColumnRenamed("name", "call_name")
     rules = {"same_file": F.col("call_path") == F.col("path"), "global": F.lit(True)}
-    return resolve.decide(j, ["call_id", "call_path", "call_name"], rules).drop("confidence")
+    decided = resolve.by_context(calls, candidates, "call_name", ["call_path", "call_name", "arg_count"], rules)
+    return decided.select("call_id", "call_path", "call_name", "target_symbol_id", "status", "scope", "n_candidates")
 
 
 @query("""WITH w AS (SELECT qualified_name, symbol_id, row_number() OVER (PARTITION BY qualified_name ORDER BY CASE WHEN symbol_id % 7 = 2 THEN 0 ELSE 1 END, start_line, symbol_id) AS k FROM fx_symbols) SELECT qualified_name, symbol_id FROM w WHERE k = 1""")

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _DECLARED = {
     "java": r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?P<kind>class|interface|enum|record)\s+(?P<name>\w+)(?:[^{]*?\b(?:extends|implements)\s+(?P<bases>[\w.,<>\s]+))?",
@@ -93,8 +92,7 @@ def _other(path: str, source: str, language: str) -> dict:
     offsets = [0]
     for line in lines:
         offsets.append(offsets[-1] + len(line.encode()) + 1)
-    symbols, calls, imports, bases, open_: list = [], [], [], [], []  # type: ignore[misc]
-    return {"symbols": symbols, "calls": calls, "imports": imports, "bases": bases} if not lines else _scan(path, lines, offsets, language, open_)
+    return _scan(path, lines, offsets, language, [])
 
 
 def _scan(path: str, lines: list[str], offsets: list[int], language: str, owners: list[tuple[str, int]]) -> dict:
@@ -164,7 +162,7 @@ def facts(found: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "status", "error", "facts"])
 
     raw = found.select("path", "language", "content").mapInPandas(run, _FACTS)
-    return raw.select("path", "status", "error", F.from_json("facts", T._parse_datatype_string(_SHAPE)).alias("f"))
+    return raw.select("path", "status", "error", F.from_json("facts", _SHAPE).alias("f"))
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:

@@ -46,7 +46,7 @@ class Store:
             if partition and name in partition:
                 writer = writer.partitionBy(*partition[name])
             writer.parquet(f"{self.root}/{self.repo_id}/{run_id}/{name}")
-        self._put(f"{self.root}/{self.repo_id}/{run_id}/_metadata.json", json.dumps(metadata | {"schema_version": SCHEMA_VERSION, "repo_id": self.repo_id, "run_id": run_id}, sort_keys=True))
+        self._put(f"{self.root}/{self.repo_id}/{run_id}/metadata.json", json.dumps(metadata | {"schema_version": SCHEMA_VERSION, "repo_id": self.repo_id, "run_id": run_id}, sort_keys=True))
 
     def publish(self, run_id: str) -> None:
         """Readers see the former snapshot or this one."""
@@ -57,7 +57,7 @@ class Store:
         return json.loads(text)["run_id"] if text else None
 
     def metadata(self, run_id: str | None = None) -> dict | None:
-        text = self._text(f"{self.root}/{self.repo_id}/{run_id or self.current()}/_metadata.json")
+        text = self._text(f"{self.root}/{self.repo_id}/{run_id or self.current()}/metadata.json")
         return json.loads(text) if text else None
 
     def table(self, name: str, run_id: str | None = None) -> DataFrame:

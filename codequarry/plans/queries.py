@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemming import stems_udf
-from ..operators import budget, fulltext, graph, lookup, resolve, state, stats
+from ..operators import budget, evidence, fulltext, graph, lookup, resolve, state, stats
 from . import fixtures as fx
 from .fixtures import duckdb
 
@@ -174,9 +174,7 @@ _BM25 = """WITH dl AS (SELECT path, sum(tf) AS dl FROM fx_terms GROUP BY path),
 
 
 def _scored(spark, d):
-    files = fx.files(spark, d)
-    n, avg = fulltext.corpus_size(files, ["text"])
-    return fulltext.bm25(fulltext.inverted_index(files, "path", {"text": 1.0}), n, avg, WORDS).withColumnRenamed("id", "path")
+    return fulltext.scan_bm25(fx.files(spark, d).select("path", "text"), "path", {"text": 1.0}, WORDS).withColumnRenamed("id", "path")
 
 
 @query(_BM25 + " SELECT path, round(score, 4) AS score, n_terms FROM s ORDER BY round(score, 6), path LIMIT 20")
@@ -579,3 +577,118 @@ def debounce_sessions(spark, d):
 
     e = fx.table(spark, d, "events").select("user_id", "ts")
     return sessions(e, ["user_id"], "ts", "300 seconds").select("user_id", "started", "n")
+
+
+# Evidence and structure.
+@query("""WITH e AS (SELECT path, line_no, regexp_matches(line, '""" + _whole("the") + """') AS es FROM fx_lines),
+ w AS (SELECT path, line_no, max(CASE WHEN es THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS b, min(CASE WHEN es THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM e)
+ SELECT path, line_no, least(line_no - b, a - line_no) AS distance FROM w""")
+def nearest_essential(spark, d):
+    rows = fx.lines(spark, d).withColumn("es", F.col("line").rlike(T.term_pattern("the")))
+    return evidence.essential_distance(rows, "path", "line_no", "es").select("path", "line_no", "distance")
+
+
+@query("""WITH b AS (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS recheck_from FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, recheck_from, count(*) AS n FROM lineitem JOIN b USING (l_orderkey) WHERE recheck_from IS NULL OR l_linenumber < recheck_from GROUP BY 1, 2, 3""")
+def first_broken_step(spark, d):
+    steps = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").alias("valid"))
+    return evidence.first_broken(steps, "l_orderkey", "l_linenumber", "valid").groupBy("l_orderkey", "l_linenumber", "recheck_from").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH m AS (SELECT path, line_no, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM fx_lines WHERE regexp_matches(line, '^[A-T]')) SELECT path, min(line_no) AS start_line, max(line_no) AS end_line FROM m GROUP BY path, k""")
+def doc_comment_runs(spark, d):
+    return evidence.doc_blocks(fx.lines(spark, d), "^[A-T]")
+
+
+@query("SELECT name, count(*) AS n, md5(string_agg(concat(path, '|', qualified_name, '|', kind, '|', CAST(symbol_id AS STRING)), ',' ORDER BY path, qualified_name, kind, CAST(symbol_id AS STRING))) AS entries_md5 FROM fx_symbols GROUP BY name")
+def name_index(spark, d):
+    e = F.array_join(F.transform("entries", lambda x: F.concat_ws("|", x["path"], x["qualified_name"], x["kind"], x["symbol_id"])), ",")
+    return evidence.name_index(fx.symbols(spark, d)).select("name", F.size("entries").cast("long").alias("n"), F.md5(e).alias("entries_md5"))
+
+
+@query("SELECT DISTINCT name FROM fx_symbols WHERE symbol_id % 10 = 0")
+def changed_names(spark, d):
+    old = fx.symbols(spark, d)
+    return evidence.changed_names(old, old.withColumn("kind", F.when(F.col("symbol_id") % 10 == 0, "other").otherwise(F.col("kind"))))
+
+
+@query("SELECT DISTINCT path FROM fx_calls WHERE call_name IN (SELECT name FROM fx_symbols WHERE symbol_id % 500 = 0) UNION SELECT 'src/brand_11.py'")
+def calls_to_resolve(spark, d):
+    changed = fx.symbols(spark, d).filter("symbol_id % 500 = 0").select("name").distinct()
+    return evidence.to_resolve(fx.calls(spark, d).withColumnRenamed("call_name", "name"), changed, spark.createDataFrame([("src/brand_11.py",)], "path string"))
+
+
+@query("SELECT path, module, concat('src/', module, '.py') AS target FROM fx_imports WHERE CAST(substr(module, 2) AS INT) < 30")
+def import_suffix_join(spark, d):
+    targets = spark.range(30).select(F.concat(F.lit("src/m"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
+    return evidence.suffix_matches(fx.imports(spark, d), targets)
+
+
+@query("SELECT path, concat('src/', module, '.py') AS target FROM fx_imports WHERE CAST(substr(module, 2) AS INT) < 30")
+def import_module_join(spark, d):
+    targets = spark.range(30).select(F.concat(F.lit("src/m"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
+    return evidence.module_links(fx.imports(spark, d), targets)
+
+
+@query("""WITH p AS (SELECT symbol_id FROM fx_symbols WHERE kind = 'interface' OR regexp_matches(name, '(Protocol|Base|Interface)$'))
+ SELECT 'protocol_definition' AS role, count(*) AS n FROM p""")
+def role_histogram(spark, d):
+    s = fx.symbols(spark, d)
+    none = spark.createDataFrame([], "class_name string, parent_name string"), spark.createDataFrame([], "target string")
+    return evidence.role_counts(evidence.structural_roles(s, *none))
+
+
+@query("""WITH e AS (SELECT target_symbol_id, source_symbol_id, confidence FROM fx_edges), g AS (SELECT source_symbol_id, target_symbol_id, target_symbol_id AS expected FROM fx_edges WHERE source_symbol_id % 3 = 0)
+ SELECT count(*) AS n, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / nullif(count(CASE WHEN confidence >= 0.6 THEN 1 END), 0), 4) AS precision, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / count(*), 4) AS recall FROM g JOIN fx_edges USING (source_symbol_id, target_symbol_id)""")
+def edge_gold_pr(spark, d):
+    e = fx.edges(spark, d)
+    sites = e.filter("source_symbol_id % 3 = 0").select(F.col("source_symbol_id").cast("string").alias("path"), F.col("target_symbol_id").alias("line"), F.lit("f").alias("name"), F.col("target_symbol_id").alias("expected"))
+    found = e.select(F.col("source_symbol_id").cast("string").alias("source_path"), F.col("target_symbol_id").alias("source_line"), F.lit("f").alias("target_name"), "target_symbol_id", "confidence")
+    return evidence.precision_recall(evidence.call_sites(sites, found))
+
+
+@query("SELECT p_partkey AS symbol_id, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END AS n_params FROM part")
+def parameter_counts(spark, d):
+    sig = F.when(F.col("p_size") % 3 == 0, "class X").when(F.col("p_size") % 3 == 1, "def f()").otherwise("def f(a: dict[str, int] = {1: (2, 3)}, b) -> int")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), evidence.count_params(sig).alias("n_params"))
+
+
+@query("""WITH a AS (SELECT arm, median(total_tokens) AS t, avg(CASE WHEN task_success THEN 1.0e0 ELSE 0 END) AS s FROM fx_runs GROUP BY arm)
+ SELECT arm, 'tokens' AS kpi, round(t, 4) AS value, 55000.0e0 AS bound, t >= 55000 AS met FROM a UNION ALL SELECT arm, 'success', round(s, 4), 0.5e0, s >= 0.5 FROM a""")
+def kpi_thresholds(spark, d):
+    met = stats.kpis(stats.arm_summary(fx.runs(spark, d)), {"tokens": ("median_tokens", 55_000), "success": ("success_rate", 0.5)})
+    return met.withColumn("value", F.round("value", 4))
+
+
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY p_partkey) AS position, p_name AS name, p_type AS description FROM part),
+ s AS (SELECT position, 5 * CAST(regexp_matches(lower(name), '(^|[^a-z0-9])red($|[^a-z0-9])') AS INT) + 1.5e0 * CAST(regexp_matches(lower(description), '(^|[^a-z0-9_])red($|[^a-z0-9_])') AS INT) AS score FROM t)
+ SELECT position, score FROM s WHERE score > 0 ORDER BY score DESC, position LIMIT 10""")
+def tool_search(spark, d):
+    t = fx.table(spark, d, "part").select(F.row_number().over(Window.orderBy("p_partkey")).cast("long").alias("position"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.lit("").alias("tags"), F.lit("").alias("parameters"))
+    return fulltext.search_tools(t, "red").select("position", "score")
+
+
+@query("""WITH c AS (SELECT o_custkey AS card_id, concat('r', CAST(o_custkey % 5 AS STRING)) AS repo_id, max(epoch_us(o_orderdate)) AS used FROM orders GROUP BY 1, 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY used DESC, card_id DESC) AS n FROM c) SELECT card_id, repo_id FROM k WHERE n <= 40""")
+def lru_evict(spark, d):
+    o = fx.table(spark, d, "orders")
+    cards = o.groupBy(F.col("o_custkey").alias("card_id"), F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("repo_id")).agg(F.max("o_orderdate").alias("last_used_at")).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    return state.evict(cards, 40).select("card_id", "repo_id")
+
+
+@query("""SELECT agent_id, tool_name, reason, count(*) AS n FROM (SELECT concat('u', CAST(user_id AS STRING)) AS agent_id, event_type AS tool_name,
+ CASE WHEN user_id % 3 = 0 THEN 'agent_paused' WHEN user_id % 3 = 1 AND event_type NOT IN ('view', 'click') THEN 'policy_read_only' END AS reason FROM events) GROUP BY 1, 2, 3""")
+def access_decisions(spark, d):
+    e = fx.table(spark, d, "events")
+    agent = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id")
+    agents = e.select(agent, F.when(F.col("user_id") % 3 == 0, "paused").otherwise("active").alias("status"), F.when(F.col("user_id") % 3 == 1, "read_only").otherwise("full").alias("policy"), F.lit(None).cast("array<string>").alias("custom_tools")).distinct()
+    asked = e.select(agent, F.col("event_type").alias("tool_name"), F.lit(True).alias("accepted"))
+    return state.access(asked, agents, False, ["view", "click"]).groupBy("agent_id", "tool_name", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS cost, sum(CAST(ceil(strlen(text) / 4.0) AS BIGINT)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS u FROM documents WHERE source = 'src3')
+ SELECT 4096::BIGINT AS requested_tokens, coalesce(max(CASE WHEN u <= 4096 THEN u END), 0)::BIGINT AS used_tokens, bool_or(u > 4096) AS truncated, md5(coalesce(string_agg(CASE WHEN u <= 4096 THEN concat('{"doc_id":', CAST(doc_id AS STRING), ',"cost":', CAST(cost AS STRING), '}') END, chr(10) ORDER BY doc_id), '')) AS data_md5, 'r' AS repo_id FROM c""")
+def response_envelope(spark, d):
+    items = fx.table(spark, d, "documents").filter("source = 'src3'").select("doc_id", T.estimate_tokens(F.col("text")).alias("cost"))
+    e = budget.envelope(items, [F.col("doc_id")], "cost", 4096, repo_id="r")
+    return e.select("requested_tokens", "used_tokens", "truncated", F.md5("data").alias("data_md5"), "repo_id")

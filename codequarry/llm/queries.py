@@ -89,4 +89,13 @@ QUERIES: dict[str, Query] = {
 }
 
 #: DuckDB's form of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+ g AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 5 * p.m >= 4 * (a.n + b.n - p.m)),
+ r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+ SELECT d.doc_id, least(d.doc_id, coalesce(c.least_y, d.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links FROM documents d
+ LEFT JOIN (SELECT x, min(y) AS least_y FROM r GROUP BY x) c ON c.x = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = d.doc_id""",
+}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, tidy
 
 #: Vectors that the codebooks are fitted on, at most (about: the sample is drawn by the ids' hashes).
 SAMPLE = 16_384
@@ -102,7 +102,7 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             codes, norms = encode(x, fitted, beam)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "vector", "codes", "norm"])
 
-    return materialise(rows.filter(F.size("vector") == length).mapInArrow(run, "id long, vector array<double>, codes binary, norm float"), "index"), fitted
+    return materialise(rows.filter(F.size("vector") == length).mapInArrow(tidy(run), "id long, vector array<double>, codes binary, norm float"), "index"), fitted
 
 
 def matrix(column: pa.Array) -> np.ndarray:

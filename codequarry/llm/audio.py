@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import rebatch
+from .shared import rebatch, tidy
 
 RATE, TARGET = 16_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
@@ -162,6 +162,6 @@ def audio_columns(df: DataFrame, id_col: str = "doc_id", payload_col: str = "pay
 
     return (
         df.select(df[id_col].alias("id"), df[payload_col].cast("binary").alias("payload"))
-        .mapInArrow(run, "id long, n_bytes long, media binary, payload binary, log_mel binary, n_frames long, segments array<struct<start_s: double, end_s: double>>")
+        .mapInArrow(tidy(run), "id long, n_bytes long, media binary, payload binary, log_mel binary, n_frames long, segments array<struct<start_s: double, end_s: double>>")
         .withColumnRenamed("id", id_col)
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import rebatch, slices, texts
+from .shared import rebatch, slices, texts, tidy
 from .vocabulary import Generations, ranks
 
 #: Entries of a worker's cache of chunks.
@@ -200,4 +200,4 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
         yield from rebatch(rows(), schema, lambda r: len(r[1]) + len(r[2]))
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, ids binary, decoded binary").withColumnRenamed("id", id_col)

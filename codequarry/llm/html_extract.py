@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import rebatch
+from .shared import rebatch, tidy
 
 # Element names, words of class names and stop words.
 BLOCKS = frozenset(
@@ -223,4 +223,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         yield from rebatch(rows(), schema, lambda r: 4 * r[3])
 
     selected = df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[html_col].alias("html"))
-    return selected.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return selected.mapInArrow(tidy(run), "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

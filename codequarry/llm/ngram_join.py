@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, rebatch, slices, texts
+from .shared import materialise, rebatch, slices, texts, tidy
 
 GRAMS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.999995
-#: Grams of a block of a candidate group.
-BLOCK = 400_000
+#: Grams and nodes of a block of a candidate group, about (nodes are dealt to blocks by their hashes).
+BLOCK, NODES = 400_000, 1_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -105,7 +105,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, d: in
 
         yield from rebatch(rows(), schema, lambda r: 320)
 
-    return df.select(df[id_col].alias("doc"), df[text_col].alias("text"), _md5(df[text_col]).alias("md5")).mapInArrow(run, "doc long, md5 string, node binary, n_grams long, keys array<long>")
+    return df.select(df[id_col].alias("doc"), df[text_col].alias("text"), _md5(df[text_col]).alias("md5")).mapInArrow(tidy(run), "doc long, md5 string, node binary, n_grams long, keys array<long>")
 
 
 def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
@@ -168,7 +168,7 @@ def verify(rows: list[tuple[bytes, int, bool, np.ndarray]], threshold: float, sa
 
 def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int, threshold: float, block: int) -> DataFrame:
     """Links and least linked node of each node, one row per block pair that links it."""
-    groups = nodes.groupBy("root").agg((F.floor(F.sum("n_grams") / block) + 1).cast("int").alias("blocks"))
+    groups = nodes.groupBy("root").agg(F.greatest(F.floor(F.sum("n_grams") / block) + 1, F.floor(F.count("*") / NODES) + 1).cast("int").alias("blocks"))
     placed = nodes.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.select("doc", "node", "copies", "root", "block", "blocks")
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
@@ -186,7 +186,7 @@ def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: in
 
         yield from rebatch(each(), made, lambda r: len(r[5]) + 64)
 
-    sets = found.mapInArrow(cut, "node binary, copies long, root binary, block int, blocks int, grams binary")
+    sets = found.mapInArrow(tidy(cut), "node binary, copies long, root binary, block int, blocks int, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("node", "copies", "root", "block", "grams", other).select(
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("place"), "root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "grams"
@@ -211,7 +211,7 @@ def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: in
 
         yield from rebatch(each(), schema)
 
-    return pairs.repartition("place").sortWithinPartitions("place", "root", "a", "b").mapInArrow(run, "node binary, links long, least binary, whole boolean").drop("whole")
+    return pairs.repartition("place").sortWithinPartitions("place", "root", "a", "b").mapInArrow(tidy(run), "node binary, links long, least binary, whole boolean").drop("whole")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAMS, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

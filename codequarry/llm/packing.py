@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, rebatch, slices, texts
+from .shared import materialise, rebatch, slices, texts, tidy
 from .vocabulary import Generations
 
 END = 1
@@ -89,7 +89,7 @@ def pieces(df: DataFrame, tokenizer_path: str, longest: int = LONGEST, end: int
 
         yield from rebatch(rows(), schema, lambda r: len(r[3]) + 48)
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, part int, place long").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, start long, length long, ids binary, doc_tokens long, part int, place long").withColumnRenamed("id", id_col)
 
 
 def number(df: DataFrame) -> DataFrame:

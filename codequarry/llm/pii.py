@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, rebatch, texts
+from .shared import materialise, rebatch, texts, tidy
 
 #: Kinds in their order, and the patterns' parts.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -157,7 +157,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
 
         yield from rebatch(rows(), schema, lambda r: 32 + 100 * len(r[3] or ()))
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id long, key binary, spans {_SPANS}, near {_NEAR}, term string, n long")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id long, key binary, spans {_SPANS}, near {_NEAR}, term string, n long")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, share: float = SHARE, evidence: int = EVIDENCE) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_extract import STOP_WORDS
-from .shared import rebatch, texts
+from .shared import rebatch, texts, tidy
 
 GOOD, NONE, BAD = 1, 0, -1
 #: Documents that the scorer is fitted on (about: they are drawn by their ids' hashes). Counts of votes cover all.
@@ -163,7 +163,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
         yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
     rows = _judged(df, id_col, text_col)
-    counted = rows.mapInArrow(cast, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(tidy(cast), "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     patterns = {tuple(r["votes"]): r["n"] for r in counted}
     posterior, accuracies = expectation_maximisation(patterns)
 
@@ -183,7 +183,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     grain = 1 << 24
     share = math.ceil(grain * min(1.0, sample / max(1, sum(patterns.values()))))
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(grain)) < share)
-    weights = train([tuple(r) for r in drawn.mapInArrow(featured, "at binary, weight binary, p double").limit(4 * sample).collect()])
+    weights = train([tuple(r) for r in drawn.mapInArrow(tidy(featured), "at binary, weight binary, p double").limit(4 * sample).collect()])
     return {"posterior": posterior, "labellers": accuracies, "weights": weights}
 
 
@@ -212,7 +212,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
         yield from rebatch(rows(), schema)
 
-    return _judged(df, id_col, text_col).mapInArrow(run, "id long, p_good double, posterior double, keep boolean").withColumnRenamed("id", id_col)
+    return _judged(df, id_col, text_col).mapInArrow(tidy(run), "id long, p_good double, posterior double, keep boolean").withColumnRenamed("id", id_col)
 
 
 def kept(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -224,4 +224,4 @@ def kept(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             judged = [(t, statistics(t)) for t in texts(b.column(at))]
             yield b.filter(pa.array([s is not None and probability(t, weights, s) >= 0.5 for t, s in judged], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

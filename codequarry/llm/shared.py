@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of output after which a Python operator hands a batch back to the JVM.
 BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives unused memory back: workers are kept for later tasks, of other operators too.
+
+    Texts are wide, so the session's Arrow batches are held to BATCH_ROWS rows."""
+    spark = SparkSession.getActiveSession()
+    if spark and int(spark.conf.get(_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def texts(column: pa.Array) -> list[str]:
     """Values of a string column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, rebatch, slices
+from .shared import materialise, rebatch, slices, tidy
 
 LENGTH, GRAM = 100, 32
 CROWD = 20_000
 #: Bytes of text whose samples are computed at once.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 NULL_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -266,7 +266,7 @@ def _fetch(laid: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
         yield from rebatch(rows(), schema, lambda r: 240)
 
     joined = laid.join(per_doc, "doc")  # all columns, so that the layout is the same one wherever it is read
-    return joined.mapInArrow(run, "g long, doc long, tie int, pos int, around binary, before int, after int")
+    return joined.mapInArrow(tidy(run), "g long, doc long, tie int, pos int, around binary, before int, after int")
 
 
 def _by_task(fetched: DataFrame, length: int, gram: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _by_task(fetched: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return fetched.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc long, tie int, pos int, mark binary")
+    return fetched.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "doc long, tie int, pos int, mark binary")
 
 
 def _by_aggregation(fetched: DataFrame, length: int, gram: int) -> DataFrame:
@@ -351,8 +351,8 @@ def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     if gram & (gram - 1) or not 0 < gram < length:
         raise ValueError("gram must be a power of two below the length")
     laid = _ordered(df, id_col, text_col, carry)
-    samples = laid.mapInArrow(lambda it: find_samples(it, length, gram), _FOUND_SQL)
-    ranked = samples.repartition("g").sortWithinPartitions("g", "f", "doc", "tie", "pos").mapInArrow(lambda it: rank_samples(it, crowd), _FOUND_SQL)
+    samples = laid.mapInArrow(tidy(lambda it: find_samples(it, length, gram)), _FOUND_SQL)
+    ranked = samples.repartition("g").sortWithinPartitions("g", "f", "doc", "tie", "pos").mapInArrow(tidy(lambda it: rank_samples(it, crowd)), _FOUND_SQL)
     found = materialise(ranked.select("g", "doc", "tie", "pos", "kind"), "ranks")
     marks = found.filter(F.col("kind") == WHOLE).select("doc", "tie", "pos", F.lit(None).cast("binary").alias("mark"))
     marks = marks.unionByName(_by_task(_fetch(laid, found.filter(F.col("kind") == PART), length, gram), length, gram))
@@ -386,7 +386,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
         yield from rebatch(rows(), schema, lambda r: len(r[4]) + 64)
 
-    return laid.join(marks, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("doc", id_col)
+    return laid.join(marks, "doc", "left").mapInArrow(tidy(run), "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("doc", id_col)
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -402,4 +402,4 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 out = [ids if c == id_col else pa.array(new, pa.string()) if c == text_col else b.column(f"rest{k}") for k, c in enumerate(names_)]
                 yield pa.RecordBatch.from_arrays(out, names=names_)
 
-    return laid.join(marks, "doc", "left").mapInArrow(run, df.schema)
+    return laid.join(marks, "doc", "left").mapInArrow(tidy(run), df.schema)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import rebatch, slices, texts
+from .shared import rebatch, slices, texts, tidy
 from .vocabulary import Generations
 
 SIGN = "▁"
@@ -108,4 +108,4 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         model = unigram(model_path)
         yield from rebatch(((key, *n) for b in batches for s in slices(b) for key, n in zip(s.column(0).to_pylist(), model.count(texts(s.column(1))))), schema)
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)

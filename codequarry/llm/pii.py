@@ -2,10 +2,11 @@
 
 Base spans come from four patterns. Each base value is a protected entity e; its windows are the REACH tokens on each
 side of its occurrences. Over all texts, n(t) counts a term's occurrences, n(e) the token positions in e's windows,
-n(t, e) t's occurrences there, and N all tokens. t discloses e if PMI(t; e) >= SHARE * IC(e), that is, if
-n(t, e) / n(t) >= (n(e) / N) ** (1 - SHARE), seen in EVIDENCE different contexts at least (equal contexts, as in copies of a
-text, are one piece of evidence). Such occurrences of t in e's windows become spans of kind `term`. Numbers are
-generalised, words removed.
+n(t, e) t's occurrences there, each once, and N all tokens. t discloses e if PMI(t; e) >= SHARE * IC(e), that is, if
+n(t, e) / n(t) >= (n(e) / N) ** (1 - SHARE) = b. Small counts are corrected: it must be surer than SURE that the share is
+above b, that is, of n(t) draws with chance b, n(t, e) hits must be rarer than 1 - SURE by Chernoff's bound (which is
+exact, b ** n(t), where t never stands elsewhere). No count is a condition of its own: the rarer e is, the fewer do.
+Such occurrences of t in e's windows become spans of kind `term`. Numbers are generalised, words removed.
 
 Defined results: null and empty texts have no spans; a null id stays null; repeated rows have equal spans; an empty table
 gives an empty table; columns other than the id and the text are not read. All scans take time in proportion to the text.
@@ -14,6 +15,7 @@ gives an empty table; columns other than the id and the text are not read. All s
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ _TERM = re.compile(r"\w+")
 
 REACH = 8
 SHARE = 0.9
-EVIDENCE = 3
+SURE = 0.8
 #: Terms a task counts before it passes its counts on.
 HELD = 250_000
 
@@ -100,8 +102,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> Iterator[tuple[str, int, int, bytes, bytes]]:
-    """(term, start, end, entity, context) of the tokens around each span, but for tokens inside spans."""
+def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> Iterator[tuple[str, int, int, bytes]]:
+    """(term, start, end, entity) of the tokens around each span, but for tokens inside spans; each once for an entity."""
     covered, words = 0, []
     edges = iter([*spans, (len(text) + 1, 0, len(text) + 1)])
     a, _, b = next(edges)
@@ -111,7 +113,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -
             a, _, b = next(edges)
         if m.end() <= a and m.start() >= covered:
             words.append((m.start(), m.end(), m[0].lower()))
-    k = 0
+    k, seen = 0, set()
     for start, kind, end in spans:
         while k < len(words) and words[k][0] < start:
             k += 1
@@ -119,19 +121,20 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -
         near = [w for w in near if w[1] <= start][-reach:] + [w for w in near if w[0] >= end][:reach]
         value = text[start:end].lower() if kind < 2 else _OTHER.sub("", text[start:end])
         entity = hashlib.blake2b(f"{KINDS[kind]}:{value}".encode("utf-8", "replace"), digest_size=12).digest()
-        context = hashlib.blake2b(" ".join(w[2] for w in near).encode("utf-8", "replace"), digest_size=8).digest()
         for w in near:
-            yield w[2], w[0], w[1], entity, context
+            if (entity, w[0]) not in seen:
+                seen.add((entity, w[0]))
+                yield w[2], w[0], w[1], entity
 
 
 _SPANS = "array<struct<start: int, kind: int, end: int>>"
-_NEAR = "array<struct<term: string, start: int, end: int, entity: binary, context: binary>>"
+_NEAR = "array<struct<term: string, start: int, end: int, entity: binary>>"
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     """One pass over the texts: a row per document (n null), and rows of a term and its count in a part of the table."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.binary()), ("context", pa.binary())]))
+    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.binary())]))
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("spans", span), ("near", near), ("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
                     counts.update(_TERM.findall(text))
                     if len(counts) > HELD:
                         yield from flush(counts)
-                    close = [dict(zip(("term", "start", "end", "entity", "context"), w)) for w in contexts(text, found, reach)] if found else []
+                    close = [dict(zip(("term", "start", "end", "entity"), w)) for w in contexts(text, found, reach)] if found else []
                     yield key, hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).digest(), [{"start": a, "kind": k, "end": e} for a, k, e in found], close, None, None
             yield from flush(counts)
 
@@ -160,20 +163,27 @@ def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id long, key binary, spans {_SPANS}, near {_NEAR}, term string, n long")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, share: float = SHARE, evidence: int = EVIDENCE) -> DataFrame:
+def _surprise(hits: Column, draws: Column, chance: Column) -> Column:
+    """Of the chance of so many hits or more, minus the logarithm of Chernoff's bound."""
+    missed = draws - hits
+    return hits * F.log(hits / (draws * chance)) + F.when(missed > 0, missed * F.log(F.try_divide(missed, draws * (1 - chance)))).otherwise(0.0)
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, share: float = SHARE, sure: float = SURE) -> DataFrame:
     """Per row: the id, `key` (a digest of the text) and `spans`: (start, kind as a number of KINDS, end), in order."""
     scanned = materialise(_scan(df, id_col, text_col, reach), "pii")
     documents = scanned.filter(F.col("n").isNull()).select("id", "key", "spans", "near")
     counts = scanned.filter(F.col("n").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_t"))
     total = scanned.agg(F.sum("n")).first()[0] or 1
     near = documents.filter(F.size("near") > 0).select("id", "key", F.explode("near").alias("w")).select("id", "key", "w.*")
-    evident = near.groupBy("term", "entity", "context").agg(F.count("*").alias("c")).groupBy("term", "entity").agg(F.sum("c").alias("n_te"), F.count("*").alias("seen"))
+    together = near.groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     entities = near.groupBy("entity").agg(F.count("*").alias("n_e"))
     telling = (
-        evident.filter(F.col("seen") >= evidence)
-        .join(entities, "entity")
+        together.join(entities, "entity")
         .join(counts, "term")
-        .filter(F.col("n_te") / F.col("n_t") >= F.pow(F.col("n_e") / F.lit(float(total)), F.lit(1 - share)))
+        .withColumn("b", F.pow(F.col("n_e") / F.lit(float(total)), F.lit(1 - share)))
+        .filter(F.col("n_te") >= F.col("n_t") * F.col("b"))
+        .filter(_surprise(F.col("n_te"), F.col("n_t"), F.col("b")) > -math.log(1 - sure))
         .select("term", "entity")
     )
     term = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")

@@ -217,6 +217,16 @@ class TestPii:
         assert "bob@ex.com" not in clean[200] and "zorblat" not in clean[200] and "[EMAIL]" in clean[200] and clean[0] == texts[0] and clean[207] is None
         assert pii.find(docs(spark, [])).count() == 0
 
+    def test_terms_of_one_signature(self, spark):
+        rng = random.Random(10)
+        fill = lambda n: " ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(n))
+        signed = [f"{fill(20)} Greetings from your old friend Zorblat of red bob@ex.com" for _ in range(4)]
+        texts = [fill(40) for _ in range(400)] + signed + [f"{fill(12)} once lone@ex.com {fill(12)}"]
+        rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+        for k in range(400, 404):
+            assert {texts[k][s.start : s.end] for s in rows[k].spans if s.kind == 4} == {"Greetings", "from", "your", "old", "friend", "Zorblat", "of"}
+        assert [s.kind for s in rows[404].spans] == [0]
+
 
 def brute_join(rows, t=0.8, n=5):
     sets = []

@@ -6,7 +6,8 @@ n(t, e) t's occurrences there, each once, and N all tokens. t discloses e if PMI
 n(t, e) / n(t) >= (n(e) / N) ** (1 - SHARE) = b. Small counts are corrected: it must be surer than SURE that the share is
 above b, that is, of n(t) draws with chance b, n(t, e) hits must be rarer than 1 - SURE by Chernoff's bound (which is
 exact, b ** n(t), where t never stands elsewhere). No count is a condition of its own: the rarer e is, the fewer do.
-Such occurrences of t in e's windows become spans of kind `term`. Numbers are generalised, words removed.
+All occurrences of t in the texts that hold e, in e's windows or not, become spans of kind `term`, but for those inside
+base spans. Numbers are generalised, words removed.
 
 Defined results: null and empty texts have no spans; a null id stays null; repeated rows have equal spans; an empty table
 gives an empty table; columns other than the id and the text are not read. All scans take time in proportion to the text.
@@ -102,8 +103,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> Iterator[tuple[str, int, int, bytes]]:
-    """(term, start, end, entity) of the tokens around each span, but for tokens inside spans; each once for an entity."""
+def free(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the tokens that aren't inside spans, in order."""
     covered, words = 0, []
     edges = iter([*spans, (len(text) + 1, 0, len(text) + 1)])
     a, _, b = next(edges)
@@ -113,6 +114,11 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -
             a, _, b = next(edges)
         if m.end() <= a and m.start() >= covered:
             words.append((m.start(), m.end(), m[0].lower()))
+    return words
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], words: list[tuple[int, int, str]], reach: int = REACH) -> Iterator[tuple[str, int, int, bytes]]:
+    """(term, start, end, entity) of the free tokens around each span; each once for an entity."""
     k, seen = 0, set()
     for start, kind, end in spans:
         while k < len(words) and words[k][0] < start:
@@ -129,13 +135,15 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -
 
 _SPANS = "array<struct<start: int, kind: int, end: int>>"
 _NEAR = "array<struct<term: string, start: int, end: int, entity: binary>>"
+_WORDS = "array<struct<start: int, end: int, term: string>>"
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
-    """One pass over the texts: a row per document (n null), and rows of a term and its count in a part of the table."""
+    """One pass over the texts: a row per document (n null; words where there are spans), and rows of a term and its count in a part of the table."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.binary())]))
-    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("spans", span), ("near", near), ("term", pa.string()), ("n", pa.int64())])
+    word = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("spans", span), ("near", near), ("words", word), ("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -146,8 +154,10 @@ def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
                     counts.update(_TERM.findall(text))
                     if len(counts) > HELD:
                         yield from flush(counts)
-                    close = [dict(zip(("term", "start", "end", "entity"), w)) for w in contexts(text, found, reach)] if found else []
-                    yield key, hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).digest(), [{"start": a, "kind": k, "end": e} for a, k, e in found], close, None, None
+                    words = free(text, found) if found else []
+                    close = [dict(zip(("term", "start", "end", "entity"), w)) for w in contexts(text, found, words, reach)]
+                    words = [dict(zip(("start", "end", "term"), w)) for w in words]
+                    yield key, hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).digest(), [{"start": a, "kind": k, "end": e} for a, k, e in found], close, words, None, None
             yield from flush(counts)
 
         def flush(counts):
@@ -156,11 +166,11 @@ def _scan(df: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
                 lower[w.lower()] += n
             counts.clear()
             for w, n in lower.items():
-                yield None, None, None, None, w, n
+                yield None, None, None, None, None, w, n
 
-        yield from rebatch(rows(), schema, lambda r: 32 + 100 * len(r[3] or ()))
+        yield from rebatch(rows(), schema, lambda r: 32 + 100 * len(r[3] or ()) + 40 * len(r[4] or ()))
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id long, key binary, spans {_SPANS}, near {_NEAR}, term string, n long")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id long, key binary, spans {_SPANS}, near {_NEAR}, words {_WORDS}, term string, n long")
 
 
 def _surprise(hits: Column, draws: Column, chance: Column) -> Column:
@@ -172,7 +182,7 @@ def _surprise(hits: Column, draws: Column, chance: Column) -> Column:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, share: float = SHARE, sure: float = SURE) -> DataFrame:
     """Per row: the id, `key` (a digest of the text) and `spans`: (start, kind as a number of KINDS, end), in order."""
     scanned = materialise(_scan(df, id_col, text_col, reach), "pii")
-    documents = scanned.filter(F.col("n").isNull()).select("id", "key", "spans", "near")
+    documents = scanned.filter(F.col("n").isNull()).select("id", "key", "spans", "near", "words")
     counts = scanned.filter(F.col("n").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_t"))
     total = scanned.agg(F.sum("n")).first()[0] or 1
     near = documents.filter(F.size("near") > 0).select("id", "key", F.explode("near").alias("w")).select("id", "key", "w.*")
@@ -186,8 +196,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
         .filter(_surprise(F.col("n_te"), F.col("n_t"), F.col("b")) > -math.log(1 - sure))
         .select("term", "entity")
     )
+    # By the term alone, then by whether the document holds the entity: telling terms are rare, so few rows pass the first join.
+    words = documents.filter(F.size("words") > 0).select("id", "key", F.explode("words").alias("w")).select("id", "key", "w.*").join(telling, "term")
+    holds = near.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), F.col("entity").alias("h_entity")).distinct()
+    held = words.join(holds, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")) & (F.col("entity") == F.col("h_entity")), "left_semi")
     term = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    added = near.join(telling, ["term", "entity"]).groupBy("id", "key").agg(F.collect_set(term).alias("terms"))
+    added = held.groupBy("id", "key").agg(F.collect_set(term).alias("terms"))
     base = documents.select("id", "key", "spans")
     joined = base.join(added, base["id"].eqNullSafe(added["id"]) & (base["key"] == added["key"]), "left").select(
         base["id"].alias(id_col), base["key"], F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.col("terms").cast(_SPANS)))).alias("spans")

@@ -227,6 +227,19 @@ class TestPii:
             assert {texts[k][s.start : s.end] for s in rows[k].spans if s.kind == 4} == {"Greetings", "from", "your", "old", "friend", "Zorblat", "of"}
         assert [s.kind for s in rows[404].spans] == [0]
 
+    def test_terms_far_from_the_value(self, spark):
+        rng = random.Random(11)
+        fill = lambda n: " ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(n))
+        letters = [f"Zorblat {fill(30)} zorblat bob@ex.com {fill(30)} ZORBLAT." for _ in range(2)]
+        texts = [fill(40) for _ in range(400)] + letters + [f"{fill(20)} zorblat bob@ex.com {fill(20)}" for _ in range(60)] + ["zorblat alone"]
+        df = docs(spark, texts).unionByName(spark.createDataFrame([(None, letters[0], None, None)], SCHEMA))
+        rows = {r.doc_id: r for r in pii.find(df).collect()}
+        for k in (400, 401, None):
+            text = letters[0] if k is None else texts[k]
+            assert [text[s.start : s.end] for s in rows[k].spans] == ["Zorblat", "zorblat", "bob@ex.com", "ZORBLAT"]
+        assert rows[462].spans == []
+        assert {r.text for r in pii.sanitise(df).collect() if "[EMAIL]" in r.text and "zorblat" in r.text.lower()} == set()
+
 
 def brute_join(rows, t=0.8, n=5):
     sets = []

@@ -178,6 +178,21 @@ class TestHtml:
             parts = (" ".join(html.unescape(re.sub("<br>|</?b>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inside))
             assert html_extract.main_text(r.html) == "\n".join(p for p in parts if p)
 
+    def test_article_is_a_hint(self):
+        prose = "The cat is on the mat and it was there for all of us. " * 5
+        cards = "".join(f"<article><h3>Card {k}</h3><p>Read on.</p></article>" for k in range(3))
+        assert prose.strip() in html_extract.main_text(f"<div><p>{prose}</p><p>{prose}</p></div>{cards}")
+        both = html_extract.main_text(f"<article><p>{prose}</p><p>Yes.</p></article><div>{prose}</div><div>Short.</div><div>{'Zrk vlad ' * 40}</div>")
+        assert both == f"{prose.strip()}\nYes.\n{prose.strip()}"
+
+    def test_without_the_article_tag(self, spark):
+        long = lambda text: [x for x in text.split("\n") if len(x) >= html_extract.LONG]
+        had = left = 0
+        for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+            had += sum(map(len, long(html_extract.main_text(r.html))))
+            left += sum(map(len, long(html_extract.main_text(r.html.replace("article>", "div>")))))
+        assert left >= 0.9 * had > 0
+
 
 class TestPii:
     EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -347,7 +347,7 @@ def edge_audit_topk(spark, d):
 
 @query("SELECT round(avg(CASE WHEN status = 'resolved' THEN 1.0e0 ELSE 0 END), 4) AS completeness, count(*) AS observed FROM fx_edges WHERE source_symbol_id < 100")
 def completeness(spark, d):
-    return fx.edges(spark, d).filter("source_symbol_id < 100").agg(F.round(F.avg((F.col("status") == "resolved").cast("double")), 4).alias("completeness"), F.count("*").alias("observed"))
+    return fx.edges(spark, d).agg(F.round(F.avg((F.col("status") == "resolved").cast("double")), 4).alias("completeness"), F.count("*").alias("observed"))
 
 
 @query("SELECT arm, count(*) AS n_runs, round(median(total_tokens), 4) AS median_tokens, round(median(latency_seconds), 4) AS median_latency, round(avg(CASE WHEN task_success THEN 1.0e0 ELSE 0 END), 4) AS success_rate FROM fx_runs GROUP BY arm")
@@ -642,7 +642,7 @@ def role_histogram(spark, d):
  SELECT count(*) AS n, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / nullif(count(CASE WHEN confidence >= 0.6 THEN 1 END), 0), 4) AS precision, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / count(*), 4) AS recall FROM g JOIN fx_edges USING (source_symbol_id, target_symbol_id)""")
 def edge_gold_pr(spark, d):
     e = fx.edges(spark, d)
-    sites = e.filter("source_symbol_id % 3 = 0").select(F.col("source_symbol_id").cast("string").alias("path"), F.col("target_symbol_id").alias("line"), F.lit("f").alias("name"), F.col("target_symbol_id").alias("expected"))
+    sites = e.select(F.col("source_symbol_id").cast("string").alias("path"), F.col("target_symbol_id").alias("line"), F.lit("f").alias("name"), F.col("target_symbol_id").alias("expected"))
     found = e.select(F.col("source_symbol_id").cast("string").alias("source_path"), F.col("target_symbol_id").alias("source_line"), F.lit("f").alias("target_name"), "target_symbol_id", "confidence")
     return evidence.precision_recall(evidence.call_sites(sites, found))
 

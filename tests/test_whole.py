@@ -26,3 +26,11 @@ def test_every_call_is_decided(spark):
     calls = fx.calls(spark, D).collect()
     got = [tuple(r) for r in QUERIES["rule_priority_resolve"](spark, D).collect()]
     assert len(got) == len(calls) and sorted(got, key=str) == sorted(map(decided, calls), key=str)
+
+
+def test_every_edge_counts(spark):
+    edges = fx.edges(spark, D).collect()
+    resolved, sure = sum(e.status == "resolved" for e in edges), sum(e.confidence >= 0.6 for e in edges)
+    assert [tuple(r) for r in QUERIES["completeness"](spark, D).collect()] == [(round(resolved / len(edges), 4), len(edges))]
+    r = QUERIES["edge_gold_pr"](spark, D).first()
+    assert (r["n"], r["precision"], r["recall"]) == (len(edges), 1.0, round(sure / len(edges), 4))

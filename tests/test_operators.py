@@ -99,6 +99,11 @@ def test_expansion_and_hubs(spark):
     assert found[2] == ("callee", 0.45) and found[3] == ("callee", 0.72) and found[4] == ("test", 0.35) and 5 not in found and found[20] == ("callee", 0.81)
 
 
+def test_closure_of_a_deep_chain(spark):
+    h = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(20)], "class_name string, parent_name string")
+    assert sorted(tuple(r) for r in graph.ancestors(h).collect()) == sorted((f"c{a}", f"c{b}", b - a) for a in range(21) for b in range(a + 1, 21))
+
+
 def test_closure_and_communities(spark):
     h = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("A", "C")], "class_name string, parent_name string")
     assert sorted(tuple(r) for r in graph.ancestors(h).filter("class_name = 'A'").collect()) == [("A", "B", 1), ("A", "C", 1)]

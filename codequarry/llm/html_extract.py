@@ -30,6 +30,8 @@ BLOCKS = frozenset(
 )
 #: Their content is not text at all.
 SKIPPED = frozenset("script style noscript template svg math iframe object audio video canvas textarea title head".split())
+#: Of these, what a slash at the tag's end closes.
+FOREIGN = frozenset("svg math".split())
 #: What stands in them is not the article.
 OUTSIDE = frozenset("nav footer aside form menu button select dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -126,6 +128,8 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
             continue
         if name in SKIPPED and name != "head":
             close() if name != "svg" else None
+            if name in FOREIGN and _self_closed(m["attrs"] or m["attrs2"] or ""):
+                continue
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
@@ -160,6 +164,12 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
     return out
 
 
+def _self_closed(attrs: str) -> bool:
+    """Whether the slash at the end is the tag's own, not the end of an unquoted value."""
+    before = attrs[: max(map(attrs.rfind, " \t\n\r\f\"'")) + 1]
+    return attrs.endswith("/") and "=" not in attrs[len(before) :] and not before.rstrip().endswith("=")
+
+
 def stop_density(text: str) -> float:
     words = [w.lower() for w in _WORD.findall(text)]
     return max((sum(map(s.__contains__, words)) for s in STOP_WORDS.values()), default=0) / len(words) if words else 0.0

@@ -185,6 +185,12 @@ class TestHtml:
         both = html_extract.main_text(f"<article><p>{prose}</p><p>Yes.</p></article><div>{prose}</div><div>Short.</div><div>{'Zrk vlad ' * 40}</div>")
         assert both == f"{prose.strip()}\nYes.\n{prose.strip()}"
 
+    def test_self_closed(self):
+        for tag in ("<svg/>", '<svg viewBox="0 0 1=1"/>', "<svg hidden />", "<math/>"):
+            assert html_extract.main_text(f"<article><p>One two.</p>{tag}<p>Three.</p></article>") == "One two.\nThree.", tag
+        for tag in ("<svg a=b/>x</svg>", "<svg a= b/>x</svg>", "<svg>x</svg>", "<script src=a />x</script>"):
+            assert html_extract.main_text(f"<article><p>One two.</p>{tag}<p>Three.</p></article>") == "One two.\nThree.", tag
+
     def test_without_the_article_tag(self, spark):
         long = lambda text: [x for x in text.split("\n") if len(x) >= html_extract.LONG]
         had = left = 0

@@ -1,9 +1,9 @@
-"""Similarity join on word n-grams: a MinHash LSH forest finds candidates, which are verified exactly.
+"""Similarity join on word n-grams: a MinHash banding finds candidates, which are verified exactly.
 
-Texts with the same set of n-grams are one node. Each node has a signature in each tree; sorted, the signatures are a
-prefix trie, in which nodes that share a prefix are neighbours. Prefixes are shortened from the full depth until two sets of the threshold's
-similarity share one in some tree with the target recall. What shares a prefix is linked to the least node of
-its subtree, never pair by pair; connected nodes form a candidate group. Groups are verified exactly, in blocks of bounded size
+Texts with the same set of n-grams are one node. Each node has one key in each tree: its least hashes down to one depth,
+which is set once, from the threshold, as the greatest at which two sets of the threshold's similarity share a key in some tree
+with the target recall. So this is fixed banding, not a forest searched adaptively. Nodes that share a key are linked to the
+least of them, never pair by pair; connected nodes form a candidate group. Groups are verified exactly, in blocks of bounded size
 against blocks: every pair of nodes of a group is compared by its intersection, and only counts and spanning links leave a block.
 
 Words are runs of characters that are not white space; a text of fewer words than n has the one gram of all its words. A

@@ -15,12 +15,14 @@ import array
 import functools
 import itertools
 import os
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, rebatch, slices, texts, tidy
@@ -29,25 +31,62 @@ from .vocabulary import Generations
 END = 1
 LONGEST = 2048
 CACHE = 250_000
+#: Words that go to the library as one text.
+TOGETHER = 256
 
 
 class WordTokenizer:
-    """Ids of a tokenizer file that drops white space: words between spaces and line ends are encoded once each."""
+    """Ids of a tokenizer file that drops white space: words between spaces and line ends are encoded once each.
+
+    Special tokens' strings in a text get their ids, as the library gives them. Words of letters alone are sent many at a time, and
+    their ids are told apart by the mark that ends a word's last token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache = Generations(CACHE)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cache, self.letters = Generations(CACHE), Generations(CACHE)
+        self.marks = {m: self._each([m])[0] for m in ".,"}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        out: list[bytes] = []
+        parts = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):  # letters to Python, but not to the library
+                out += self._each(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        cores = [w if w.isalpha() else w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else None for w in words]
+        known = self.letters.fill((c for c in cores if c is not None), self._together)
+        others = iter(self._each([w for w, c in zip(words, cores) if c is None]))
+        return [next(others) if c is None else known[c] if len(c) == len(w) else known[c] + self.marks[w[-1]] for w, c in zip(words, cores)]
+
+    def _plain(self, text: str) -> str:
+        """The text with A to Z as a to z, where that changes no id: the library composes characters before it lowers them."""
+        if any(s[:2] in text for s in self.special):
+            return text
+        lower = text.encode().lower().decode()
+        return lower if unicodedata.is_normalized("NFC", lower) else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [x.replace("\n", " ").split(" ") for x in texts]
+        words = [self._plain(x).replace("\n", " ").split(" ") for x in texts]
         known = self.cache.fill(itertools.chain.from_iterable(words), self._words)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
@@ -65,10 +104,10 @@ def binary_cuts(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * whole + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pieces(df: DataFrame, tokenizer_path: str, longest: int = LONGEST, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: the id, start, length, `ids` (binary, little-endian unsigned 32-bit), doc_tokens, and its place
-    (`part`, `place`): the task that made it, and its number among the task's pieces of that length."""
-    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
+def pieces(df: DataFrame, tokenizer_path: str, longest: int = LONGEST, end: int = END, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+    """One row per piece: the id, start, length, `ids` (binary, little-endian unsigned 32-bit; null if not asked for), ids_crc32,
+    doc_tokens, and its place (`part`, `place`): the task that made it, and its number among the task's pieces of that length."""
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
     binary_cuts(1, longest)
     last = np.array([end], "<u4").tobytes()
 
@@ -78,31 +117,35 @@ def pieces(df: DataFrame, tokenizer_path: str, longest: int = LONGEST, end: int
         def rows():
             for b in batches:
                 for s in slices(b):
-                    for key, ids in zip(s.column(0).to_pylist(), coder.encode(texts(s.column(1)))):
-                        ids += last
-                        n = len(ids) // 4
+                    for key, raw in zip(s.column(0).to_pylist(), coder.encode(texts(s.column(1)))):
+                        raw += last
+                        n = len(raw) // 4
                         at = 0
                         for length in binary_cuts(n, longest):
                             place = places[length] = places.get(length, -1) + 1
-                            yield key, at, length, ids[at * 4 : (at + length) * 4], n, part, place
+                            piece = raw[at * 4 : (at + length) * 4]
+                            yield key, at, length, piece if ids else None, zlib.crc32(piece), n, part, place
                             at += length
 
-        yield from rebatch(rows(), schema, lambda r: len(r[3]) + 48)
+        yield from rebatch(rows(), schema, lambda r: 4 * r[2] * ids + 48)
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, start long, length long, ids binary, doc_tokens long, part int, place long").withColumnRenamed("id", id_col)
+    made = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, place long")
+    return (made if ids else made.drop("ids")).withColumnRenamed("id", id_col)
 
 
 def number(df: DataFrame) -> DataFrame:
     """Sequence ids, gapless from 0 in order of (length, part, place), for any table that keeps those columns of `pieces`.
 
-    The table is written first, so that places are fixed. What reaches the driver is a count per task and length."""
+    The table is written first, so that places are fixed. A count per task and length is summed up in Spark, and one total per
+    length (of which there are as many as powers of two up to the longest) reaches the driver."""
     fixed = materialise(df, "pieces")
-    counts = sorted(tuple(r) for r in fixed.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
-    first, rows = 0, []
-    for length, part, n in counts:
-        rows.append((length, part, first))
-        first += n
-    offsets = df.sparkSession.createDataFrame(rows, "length long, part int, first long")
+    counts = fixed.groupBy("length", "part").agg(F.count("*").alias("n"))
+    first, base = F.lit(None).cast("long"), 0
+    for length, n in sorted(tuple(r) for r in fixed.groupBy("length").count().collect()):
+        first = F.when(F.col("length") == length, F.lit(base)).otherwise(first)
+        base += n
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "part", (first + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
     return fixed.join(offsets, ["length", "part"]).withColumn("sequence_id", F.col("first") + F.col("place")).withColumn("offset", F.lit(0).cast("long")).drop("first", "part", "place")
 
 

@@ -105,8 +105,7 @@ class TestPacking:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-        tokenizer.encode_special_tokens = True
-        texts = ODD + texts_like(6)
+        texts = ODD + texts_like(6) + ["hello <|endoftext|> world<|startoftext|>", "<|ENDOFTEXT|> A", "Été H\u0331 A\u0301 I\u0307 ΣΑΣ ǅ Ⅷ ª a_b x²", "don't, can't. .., a. B,", "ÀB. ﬁ"]
         rows = packing.pack(same_twice(spark, texts).repartition(5), P.path("word_bpe_49k.json")).collect()
         by = collections.defaultdict(list)
         for r in rows:

@@ -1,14 +1,20 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page is cut into blocks at block-level tags. The first pass decides each block from where it stands (menus, footers,
-forms and the like are never text), its link density, its length and its density of stop words; a short block without such
-evidence stays undecided. Standing in an article element speaks for a block, and standing outside the page's articles
-against it, so that it needs a high density; but articles without prose, as cards that lead to other pages, say nothing
-where prose stands outside them. In the second pass undecided blocks take the label of their nearest decided neighbour.
-
-Defined results: a null page is an empty one, whose text is empty; tags left open, stray signs and cut-off pages are
-read as they stand; text that is no markup stays, however long; repeated rows and empty tables are no special case;
-columns other than the id, the address and the page are not read.
+A page is cut into blocks at block-level tags. The first pass labels a block by its link density, its length and its density of
+stop words: linked text is bad, long text dense in stop words is good, long text without them bad, and what is short or of middling
+density stays undecided. In the second pass each undecided block takes the label of its nearest decided neighbour.
+
+Structure is one feature beside these three. What stands in an element made for something else (menus, forms and the like, or of such a
+class) is bad. An article element moves the bounds of the first pass: in it, dense text needs less length and sparse text stays
+undecided, and outside it only long and dense text is good. In the second pass the edge of an article or of an element made for
+something else counts as CROSSING steps, and beyond PRIOR steps what stands in an article counts as good and what stands outside it as bad. Articles without prose, as cards that
+lead to other pages, say nothing where prose stands outside them.
+
+Text inside a paragraph that stands in such an element (a button, an advert) is left out of it; scripts and the like don't split it.
+
+Defined results: a null page is an empty one, whose text is empty; where no block is decided and no article stands, all
+undecided ones are text; tags left open, stray signs and cut-off pages are read as they stand; text that is no markup stays,
+however long; repeated rows and empty tables are no special case; columns other than the id, the address and the page are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +44,12 @@ OUTSIDE = frozenset("nav footer aside form menu button select dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INSIDE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of an element's class names, id and role, split at spaces.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|pagination"
-    r"|popup|promo(?:ted|tion)?|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
+    r"(?:site|page|main|top|bottom|left|right|global|post|article|user|js|wp|c|l|o)?[-_]*"
+    r"(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|pagination"
+    r"|popup|promo(?:ted|tion)?|related|replies|respond|search|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|subscription|toolbar|widget)"
+    r"(?:[-_]*(?:area|articles?|bar|block|bottom|box|button|container|content|form|item|left|links?|list|main|message|news|posts?|right|section|slot|stories|top|unit|wrap|wrapper|\d+))*",
     re.I,
 )
 STOP_WORDS = {
@@ -53,41 +63,44 @@ SHORT, LONG = 70, 200
 LINKED = 0.33
 #: Of the densities of paragraphs of LONG or more, the least 10 % and 25 % quantile of the four languages (sf0.1, even page_id).
 LOW, HIGH = 0.17, 0.23
+#: Steps of the second pass: over such an edge, and to the label that the structure alone suggests.
+CROSSING, PRIOR = 3, 3
 
 _TOKEN = re.compile(
-    r"<(?:!--(?P<note>.*?)(?:-->|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|[!?/][^>]*+>)",
+    r"<(?:!--(?P<note>.*?)(?:-->|\Z)|!\[CDATA\[.*?\]\]>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|[!?/][^>]*+>)",
     re.S,
 )
 _CUT = re.compile(r"<(?:/?[a-zA-Z]|!)[^<>]*\Z")
-_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-class Block:
-    __slots__ = ("text", "linked", "tag", "inside", "outside", "n")
+class Block(NamedTuple):
+    text: str
+    #: Share of the text that is linked.
+    linked: float
+    #: Whether it stands in an article element, and in an element made for something else.
+    inside: bool
+    outside: bool
 
-    def __init__(self, tag: str, inside: bool, outside: bool):
-        self.text: list[str] = []
-        self.linked = 0
-        self.tag, self.inside, self.outside = tag, inside, outside
 
-
-def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
-    """(text, link density, tag, in an article, outside any) of each block that has text."""
-    out: list[tuple[str, float, str, bool, bool]] = []
-    opened: list[tuple[str, bool, bool]] = []  # name, whether it begins an article, whether it ends up outside
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text, in page order."""
+    out: list[Block] = []
+    opened: list[tuple[str, bool, bool]] = []  # name, whether it begins an article, whether it is made for something else
     inside = outside = links = breaks = 0
-    parts: list[str] = []
+    parts: list[str] = []  # of the open block
+    aside: list[str] = []  # its text in elements made for something else
     linked = 0
-    tag = "body"
 
     def close():
-        nonlocal parts, linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append((text, min(1.0, linked / len(text)), tag, inside > 0, outside > 0))
-        parts, linked = [], 0
+        nonlocal parts, aside, linked
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        if text:
+            out.append(Block(text, min(1.0, linked / len(text)), inside > 0, False))
+        elif aside and (text := " ".join(html.unescape("".join(aside)).split())):
+            out.append(Block(text, 0.0, inside > 0, True))
+        parts, aside, linked = [], [], 0
 
     def leave(k: int):
         nonlocal inside, outside, links
@@ -104,10 +117,10 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
         if not m and (cut := _CUT.search(piece)):
             piece = piece[: cut.start()]
         if piece:
-            parts.append(piece)
+            (aside if outside else parts).append(piece)
             if not piece.isspace():
                 breaks = 0
-                if links:
+                if links and not outside:
                     linked += len(" ".join(html.unescape(piece).split()))
         if not m:
             break
@@ -118,7 +131,6 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
         if m["end"] or m["end2"]:
             if name in BLOCKS:
                 close()
-                tag = "body"
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] == name:
                     leave(k)
@@ -127,7 +139,6 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
                     break
             continue
         if name in SKIPPED and name != "head":
-            close() if name != "svg" else None
             if name in FOREIGN and _self_closed(m["attrs"] or m["attrs2"] or ""):
                 continue
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -141,7 +152,6 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
             continue
         if name in BLOCKS:
             close()
-            tag = name
             breaks = 0
             if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") or name in HEADINGS:  # these end the one before
                 for k in range(len(opened) - 1, -1, -1):
@@ -153,9 +163,9 @@ def blocks(page: str) -> list[tuple[str, float, str, bool, bool]]:
         if name in VOID:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
-        marks = " ".join(a[1] or a[2] or a[3] for a in _MARKS.findall(attrs)) if "=" in attrs else ""
-        out_here = name in OUTSIDE or (name == "header" and not inside) or bool(marks and name not in ("body", "html", "article", "main") and BOILERPLATE.search(marks))
-        in_here = name in INSIDE or marks == "main"
+        marks = [x for a in _MARKS.findall(attrs) for x in (a[0] or a[1] or a[2]).split()] if "=" in attrs else []
+        in_here = name in INSIDE or "main" in marks
+        out_here = name in OUTSIDE or (name == "header" and not inside) or (not in_here and name not in ("body", "html") and any(map(BOILERPLATE.fullmatch, marks)))
         opened.append((name, in_here, out_here))
         inside += in_here
         outside += out_here
@@ -175,57 +185,61 @@ def stop_density(text: str) -> float:
     return max((sum(map(s.__contains__, words)) for s in STOP_WORDS.values()), default=0) / len(words) if words else 0.0
 
 
-def first_pass(found: list[tuple[str, float, str, bool, bool]]) -> list[int]:
-    """1: text; -1: not; 0: undecided."""
-    plain = [_by_content(text, linked) if not outside else -1 for text, linked, _, _, outside in found]
-    articles = {x for x, (*_, inside, outside) in zip(plain, found) if inside and not outside}
-    elsewhere = {x for x, (*_, inside, outside) in zip(plain, found) if not inside and not outside}
+def first_pass(found: list[Block]) -> tuple[list[int], bool]:
+    """Labels (1: text; -1: not; 0: undecided), and whether the page's articles say anything."""
+    features = [(len(b.text), b.linked, stop_density(b.text) if len(b.text) >= SHORT and not b.outside and b.linked <= LINKED else 0.0) for b in found]
+    plain = [-1 if b.outside else label(*f, False, False) for b, f in zip(found, features)]
+    articles = {x for x, b in zip(plain, found) if b.inside and not b.outside}
+    elsewhere = {x for x, b in zip(plain, found) if not b.inside and not b.outside}
     hint = bool(articles) and (1 in articles or 1 not in elsewhere)
-    labels = []
-    for x, (text, linked, tag, inside, outside) in zip(plain, found):
-        if outside or linked > LINKED or not hint:
-            labels.append(x)
-        elif inside:
-            labels.append(1 if len(text) >= SHORT or tag in HEADINGS or tag == "p" else 0)
-        else:
-            labels.append(1 if x == 1 and stop_density(text) >= HIGH else -1)
-    return labels
-
-
-def _by_content(text: str, linked: float) -> int:
-    """The label by links, length and stop words alone."""
+    return [-1 if b.outside else label(*f, hint and b.inside, hint and not b.inside) for b, f in zip(found, features)] if hint else plain, hint
+
+
+def label(length: int, linked: float, density: float, inside: bool, elsewhere: bool) -> int:
+    """One block's label; `inside` an article, `elsewhere` on a page with an article, or neither."""
     if linked > LINKED:
         return -1
-    if len(text) < SHORT:
-        return 0 if not linked else -1
-    density = stop_density(text)
+    if length < SHORT:
+        return -1 if linked else 0
     if density >= HIGH:
-        return 1
+        return 1 if length >= LONG or inside else 0
     if density >= LOW:
-        return 1 if len(text) >= LONG else 0
-    return -1 if len(text) >= LONG else 0
-
-
-def second_pass(labels: list[int]) -> list[bool]:
-    """Undecided blocks get the label of the nearest decided block; of two as near, text wins."""
-    far = len(labels) + 1
-
-    def distances(labels: list[int]) -> list[dict[int, int]]:
-        out, last = [], {1: -far, -1: -far}
-        for k, x in enumerate(labels):
-            if x:
-                last[x] = k
-            out.append({x: k - at for x, at in last.items()})
+        return 0 if length < LONG or elsewhere else 1
+    return -1 if length >= LONG and not inside else 0
+
+
+def second_pass(found: list[Block], labels: list[int], hint: bool) -> list[bool]:
+    """Undecided blocks get the label of the nearest decided block; of two as near, text wins but outside an article of the page."""
+    if not hint and not any(labels):
+        return [True] * len(labels)
+    far = 1 << 40
+
+    def distances(order: range) -> list[tuple[int, int]]:
+        """To the nearest good and bad block on one side."""
+        out, good, bad, before = [], far, far, None
+        for k in order:
+            here = (hint and found[k].inside, found[k].outside)
+            step = 1 + (CROSSING if before not in (None, here) else 0)
+            good, bad, before = good + step, bad + step, here
+            if labels[k]:
+                good, bad = (0, bad) if labels[k] > 0 else (good, 0)
+            out.append((good, bad))
         return out
 
-    before, after = distances(labels), distances(labels[::-1])[::-1]
-    near = [{x: min(b[x], a[x]) for x in (1, -1)} for b, a in zip(before, after)]
-    return [x == 1 or (x == 0 and d[1] < far and d[1] <= d[-1]) for x, d in zip(labels, near)]
+    n = len(labels)
+    kept = []
+    for b, x, one, other in zip(found, labels, distances(range(n)), distances(range(n - 1, -1, -1))[::-1]):
+        good, bad = min(one[0], other[0]), min(one[1], other[1])
+        if hint:
+            good, bad = (min(good, PRIOR), bad) if b.inside else (good, min(bad, PRIOR))
+        kept.append(x > 0 or (x == 0 and (good < bad or (good == bad and (b.inside or not hint)))))
+    return kept
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n".join(b[0] for b, kept in zip(found, second_pass(first_pass(found))) if kept)
+    labels, hint = first_pass(found)
+    return "\n".join(b.text for b, kept in zip(found, second_pass(found, labels, hint)) if kept)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> DataFrame:
+    """`df`, a written table, after Spark has been let drop the shuffle files of what it was made from."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which the worker gives unused memory back: workers are kept for later tasks, of other operators too.
 

@@ -1,40 +1,55 @@
-"""Removal of repeated byte strings by prefix doubling over synchronised positions.
+"""Removal of repeated byte strings by distributed prefix doubling over synchronised positions.
 
 Each byte covered by a string of LENGTH bytes that also starts earlier (smaller id, or same document and smaller start) goes.
 Strings are compared on the input and never cross documents.
 
-Names of prefixes grow by doubling: the name of 2h bytes at p is made from the names of h bytes at p and p + h. Sorting all
-positions would take one row for each byte in every round, many times the input. So positions are sampled where the name of GRAM bytes is
-the least among the LENGTH - GRAM + 1 of some string (all of them on ties): equal strings of LENGTH bytes have their samples at
-equal offsets, so no repeat is missed. Spark sorts the samples by pairs of ranks: first by the name of GRAM bytes (alone: the
-position is unique and drops out), then by the name of all bytes that any string around the sample can have, on both sides. Of
-positions with equal pairs all but the first repeat whole. The first ones of different pairs with equal first rank
-share a part only: their bytes are fetched, and their strings ranked one offset after the other, which is exact.
-
-Copies within a batch of texts are settled before the shuffle, so a text of a million copies costs a row per batch. Where one rank has
-more than CROWD different surroundings, its strings are named and ranked by an aggregation over the cluster instead of in one task.
-
-Defined results: a null text is empty; texts below LENGTH bytes stay whole; a null id sorts before all; rows that share an id are told apart by
-their order of text hashes, so each keeps its own result, and of equal rows the later is a repeat; an empty table gives an
-empty table; columns other than the id and the text aren't read.
+Round 0 ranks prefixes of GRAM bytes. Their names double within the text (1, 2, 4 ... GRAM bytes), and of all positions it takes
+samples: those whose name is the least among the LENGTH - GRAM + 1 of some string. A string that repeats has its samples at equal
+offsets, so the samples stand for all strings, and this first round has 3 rows for each 100 bytes. Each further round ranks what is
+left by longer strings around the samples, at growing offsets, until they are unique or LENGTH bytes long. In each round Spark sorts pairs:
+
+* A cell is a sample and a range of offsets; its strings start that many bytes before the sample. All have the `core` in common and all
+  lie in the `outer` bytes. In round 0 the cell has all offsets, its core is the GRAM bytes; at the end it has one, and core and outer
+  are the LENGTH bytes themselves.
+* Cells are sorted by (name of the core, digest of the outer bytes). A core that occurs once is unique, and its cell drops out. Of
+  cells with equal outer bytes all but the earliest repeat, whole. Where equal cores have different outer bytes, the earliest of each go
+  on to the next round, cut into PARTS cells of longer cores.
+
+Names only bring candidates together and 128-bit BLAKE2 digests of the bytes themselves decide, so that a collision of names costs time
+and changes nothing. Only the cells of strings that round 0 left open are built: a string with a repeated sample repeats, and each other
+one is looked at by the sample whose name is its least (which is unique, or goes on).
+
+Rows that a batch can settle are settled before the shuffle: a text of a million copies costs a row per batch, and of a core that
+occurs with many different surroundings one row per batch meets all others, while the rest, known not to be unique, is spread by
+its outer bytes. The sorted rows are read as a stream, so no group is held in memory. Very long texts are cut into overlapping parts.
+
+Defined results: a null text is empty; texts below LENGTH bytes stay whole; a null id sorts before all; rows that share an id are
+ordered as the table is read, so each keeps its own result, and of equal rows the later is a repeat; an empty table gives an
+empty table; columns other than the id (an integer) and the text aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from .shared import materialise, rebatch, slices, tidy
+from .shared import collected, materialise, rebatch, slices, tidy
 
 LENGTH, GRAM = 100, 32
-CROWD = 20_000
-#: Bytes of text whose samples are computed at once.
-CHUNK = 512 << 10
+#: Cells that a cell is cut into from one round to the next.
+PARTS = 5
+#: Bytes of text, and cells, that are worked on at once.
+CHUNK, CELLS = 512 << 10, 16_384
+#: With it goes a tie below 0, so that it isn't taken for an id of this value.
 NULL_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -55,6 +70,10 @@ def names(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return mixed(x)
 
 
+def core_name(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw)
+
+
 def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     """The least (or greatest) of each `width` neighbours, by doubling."""
     h = 1
@@ -64,302 +83,312 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - h)], x[width - h :]) if width > h else x
 
 
-class Chunk:
-    """Texts laid out with room between them, their samples, and names of what is around a sample."""
-
-    def __init__(self, raws: list[bytes], length: int, gram: int):
-        self.length, self.gram, self.side = length, gram, length - gram
-        self.sizes = np.array([len(r) for r in raws], np.int64)
-        room = b"\0" * (2 * length)
-        self.starts = np.cumsum(np.concatenate([[2 * length], self.sizes[:-1] + 2 * length])) if raws else np.zeros(0, np.int64)
-        self.raw = np.frombuffer(room + room.join(raws) + room, np.uint8)
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, position, first rank's name and second rank's name of each sample."""
-        name = names(self.raw, self.gram)
-        width = self.length - self.gram + 1
-        least = sliding(name, width, np.minimum)
-        real = np.zeros(len(least), np.uint64)
-        for s, n in zip(self.starts.tolist(), self.sizes.tolist()):
-            if n >= self.length:
-                real[s : s + n - self.length + 1] = 1
-        least = np.where(real > 0, least, np.uint64(0))
-        greatest = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least]), width, np.maximum)
-        at = np.flatnonzero((greatest == name[: len(greatest)]) & (greatest > 0))
-        text = np.searchsorted(self.starts, at, "right") - 1
-        at, text = at[text >= 0], text[text >= 0]
-        pos = at - self.starts[text]
-        before, after = np.minimum(pos, self.side), np.minimum(self.sizes[text] - pos, self.length)
-        whole = mixed(before.astype(np.uint64) * np.uint64(1024) + after.astype(np.uint64))
-        for shift in range(-self.side, self.length, self.gram):  # beyond a text's ends there are zeros, and the two lengths tell how many
-            shift = min(shift, self.length - self.gram)
-            inside = self._clipped(name, at, before, after, shift)
-            whole = mixed(whole * _ODD[4] + inside)
-        return text, pos, name[at], whole
-
-    def _clipped(self, name, at, before, after, shift):
-        """Names at a distance from the samples; those that reach over an end are made of the bytes inside alone."""
-        out = name[at + shift]
-        over = np.flatnonzero((shift < -before) | (shift + self.gram > after))
-        if len(over):
-            k = np.arange(self.gram)
-            bytes_ = self.raw[(at[over] + shift)[:, None] + k]
-            off = shift + k
-            inside = (off >= -before[over][:, None]) & (off < after[over][:, None])
-            v = np.where(inside, bytes_.astype(np.uint64) + np.uint64(1), np.uint64(0))
-            x = np.zeros(len(over), np.uint64)
-            for c in range(self.gram):
-                x = mixed(x * _ODD[5] + v[:, c])
-            out = out.copy()
-            out[over] = x
-        return out
-
-
-def _ordered(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    """doc, tie (tells rows of one id apart), raw bytes and, if carried, the other columns, laid out by doc."""
-    rest = [df[c].alias(f"rest{k}") for k, c in enumerate(df.columns) if c not in (id_col, text_col)] if carry else []
-    rows = df.select(F.coalesce(df[id_col], F.lit(NULL_ID)).alias("doc"), df[text_col].cast("binary").alias("raw"), *rest)
-    return rows.withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("raw"))))
+#: A part of a text: the number of its row, its bytes, where they begin in the text, the text's size, and the positions it answers for.
+Part = tuple[int, bytes, int, int, int, int]
 
 
-_FOUND = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("doc", pa.int64()), ("tie", pa.int32()), ("pos", pa.int32()), ("kind", pa.int8())])
-_FOUND_SQL = "g long, f long, doc long, tie int, pos int, kind tinyint"
-#: Kinds of rows: a sample to be ranked; one that repeats whole; one whose bytes are needed; one in a crowd.
-SAMPLE, WHOLE, PART, CROWDED = 0, 1, 2, 3
+def parts_of(raw: bytes, length: int) -> Iterator[tuple]:
+    """A text in parts (without the row) of CHUNK positions, with so many bytes around them that nothing about these positions is cut off."""
+    for at in range(0, len(raw), CHUNK):
+        begin, end = max(0, at - 2 * length), min(len(raw), at + CHUNK + 2 * length)
+        yield raw[begin:end], begin, len(raw), at, at + CHUNK
 
 
-def _batch(g, f, doc, tie, pos, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(f, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int32()), pa.array(pos, pa.int32()), pa.array(kind, pa.int8())], schema=_FOUND)
-
+class Chunk:
+    """Parts of texts laid out with room between them, and their samples."""
 
-def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int = CHUNK) -> Iterator[list[tuple]]:
-    kept, total = [], 0
+    def __init__(self, parts: list[Part], length: int, gram: int):
+        self.length, self.gram, self.side = length, gram, length - gram
+        self.row, begin, self.size, self.low, self.high = (np.array([p[k] for p in parts], np.int64) for k in (0, 2, 3, 4, 5))
+        lengths = np.array([len(p[1]) for p in parts], np.int64)
+        room = b"\0" * (2 * length)
+        starts = np.cumsum(np.concatenate([[2 * length], lengths[:-1] + 2 * length]))
+        self.raw = room + room.join(p[1] for p in parts) + room
+        #: What to take from a place here for the position in the text.
+        self.shift = starts - begin
+        self.name = names(np.frombuffer(self.raw, np.uint8), gram) | np.uint64(1)
+        width = self.side + 1
+        least = sliding(self.name, width, np.minimum)
+        real = np.zeros(len(least), bool)
+        for s, n in zip(starts.tolist(), lengths.tolist()):
+            if n >= length:
+                real[s : s + n - length + 1] = True
+        #: The least name in the string that starts at each place, 0 where none does.
+        self.least = np.where(real, least, np.uint64(0))
+        greatest = sliding(np.concatenate([np.zeros(width - 1, np.uint64), self.least]), width, np.maximum)
+        #: Places of the samples and the parts they stand in.
+        self.at = np.flatnonzero(greatest == self.name[: len(greatest)])
+        self.part = np.searchsorted(starts, self.at, "right") - 1
+        self.pos = self.at - self.shift[self.part]
+
+    def own(self) -> np.ndarray:
+        """Whether a sample is of the positions that its part answers for."""
+        return (self.pos >= self.low[self.part]) & (self.pos < self.high[self.part])
+
+    def around(self, k: int, first: int, last: int) -> tuple[bytes, int]:
+        """The outer bytes of a sample's strings that start `first` to `last` bytes before it, and how many stand before it."""
+        at, pos, size = int(self.at[k]), int(self.pos[k]), int(self.size[self.part[k]])
+        before = min(pos, last)
+        return self.raw[at - before : at + min(size - pos, self.length - first)], before
+
+    def open_offsets(self, wanted: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the samples at `wanted` places, those by which strings are to be looked at, and their least and greatest offsets: a string
+        is looked at by the first sample whose name is its least, unless it has a sample at one of the `repeated` places."""
+        is_wanted = np.isin(self.at, wanted)
+        settled = np.zeros(len(self.raw) + 1, np.int32)
+        settled[repeated + 1] = 1
+        settled = np.cumsum(settled, dtype=np.int32)
+        order = np.lexsort((self.at, self.name[self.at], self.part))
+        same = (self.part[order][1:] == self.part[order][:-1]) & (self.name[self.at[order]][1:] == self.name[self.at[order]][:-1])
+        before = np.full(len(self.at), -1, np.int64)
+        before[order[1:]] = np.where(same, self.at[order[:-1]], -1)
+        mine = np.flatnonzero(is_wanted & self.own())
+        found, low, high = [], [], []
+        for a in range(0, len(mine), 8_192):
+            k = mine[a : a + 8_192]
+            places = self.at[k][:, None] - np.arange(self.side + 1)
+            good = self.least[places] == self.name[self.at[k]][:, None]
+            good &= (settled[places + self.side + 1] == settled[places]) & (places > before[k][:, None])
+            some = good.any(1)
+            found.append(k[some])
+            low.append(good[some].argmax(1))
+            high.append(self.side - good[some][:, ::-1].argmax(1))
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, low, high))
+
+
+def digest(raw: bytes, before: int, whole: bool) -> bytes:
+    """Of a cell's outer bytes; if they reach over a text's end, of how they lie as well."""
+    return blake2b(raw, digest_size=16).digest() if whole else blake2b(raw, digest_size=16, person=struct.pack("<II", before + 1, len(raw))).digest()
+
+
+#: Kinds of rows: to be ranked; the same, but known not to be unique; repeats; goes on to the next round.
+RANK, AGAIN, REPEAT, OPEN = 0, 1, 2, 3
+_KEYS = [("q", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())]
+_SAMPLES = pa.schema(_KEYS)
+_CELLS = pa.schema([*_KEYS, ("first", pa.int16()), ("last", pa.int16()), ("low", pa.int16()), ("high", pa.int16()), ("around", pa.binary()), ("before", pa.int16())])
+_SAMPLES_SQL = "q long, o1 long, o2 long, doc long, tie long, pos int, kind tinyint"
+_CELLS_SQL = _SAMPLES_SQL + ", first smallint, last smallint, low smallint, high smallint, around binary, before smallint"
+
+
+def dealt(core: np.ndarray, outer: list[bytes], doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of the rows, and their columns q to kind in that order, with what these rows alone can settle."""
+    o1, o2 = np.frombuffer(b"".join(outer), "<i8").reshape(-1, 2).T
+    order = np.lexsort((pos, tie, doc, o2, o1, core))
+    core, o1, o2, doc, tie, pos = (x[order] for x in (core, o1, o2, doc, tie, pos))
+    new = np.concatenate([[True], core[1:] != core[:-1]])
+    repeats = ~new & np.concatenate([[False], (o1[1:] == o1[:-1]) & (o2[1:] == o2[:-1])])
+    group = np.cumsum(new) - 1
+    several = (np.bincount(group, ~repeats) > 1)[group]
+    place = mixed((doc * 31 + tie * 17 + pos).view(np.uint64))
+    apart = mixed(core * _ODD[4] + o1.view(np.uint64))
+    q = np.where(repeats, place, np.where(several & ~new, apart, core)).view(np.int64)
+    return order, [q, o1, o2, doc, tie, pos.astype(np.int32), np.where(repeats, REPEAT, np.where(several, AGAIN, RANK)).astype(np.int8)]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], length: int) -> Iterator[tuple[list[tuple], list[Part]]]:
+    """Rows (raw bytes first) and the parts of their texts, CHUNK bytes at a time."""
+    rows, parts, total = [], [], 0
     for b in batches:
         for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)):
-            kept.append((row[0] or b"", *row[1:]))
-            total += len(kept[-1][0])
-            if total >= most:
-                yield kept
-                kept, total = [], 0
-    if kept:
-        yield kept
+            if len(row[0] or b"") < length:
+                continue
+            mine = -1
+            for part in parts_of(row[0], length):
+                if mine < 0:
+                    mine = len(rows)
+                    rows.append(row[1:])
+                parts.append((mine, *part))
+                total += len(part[0])
+                if total >= CHUNK:
+                    yield rows, parts
+                    rows, parts, total, mine = [], [], 0, -1
+    if parts:
+        yield rows, parts
 
 
 def find_samples(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Samples of each chunk. Of those with equal ranks the first stands for all; the others repeat whole."""
-    for rows in _chunks(batches, ("raw", "doc", "tie")):
-        chunk = Chunk([r[0] for r in rows], length, gram)
-        doc_of, tie_of = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32)
-        text, pos, g, f = chunk.samples()
-        if not len(text):
-            continue
-        doc, tie = doc_of[text], tie_of[text]
-        order = np.lexsort((pos, tie, doc, f, g))
-        g, f, doc, tie, pos = g[order].view(np.int64), f[order].view(np.int64), doc[order], tie[order], pos[order]
-        again = np.concatenate([[False], (g[1:] == g[:-1]) & (f[1:] == f[:-1])])
-        # What repeats goes on under a key of its own place, so that it spreads evenly.
-        g = np.where(again, mixed((doc * 31 + pos).view(np.uint64)).view(np.int64), g)
-        for a in range(0, len(g), 65_536):
-            s = slice(a, a + 65_536)
-            yield _batch(g[s], f[s], doc[s], tie[s], pos[s], again[s].astype(np.int8))
-
-
-def rank_samples(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (g, f, doc, tie, pos): unique ones drop out, the others get their kind."""
-    held: list[np.ndarray] = []
-
-    def columns(b):
-        return [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-
-    def settle(c):
-        whole = c[5] == WHOLE
-        done = [x[whole] for x in c]
-        g, f, doc, tie, pos, _ = (x[~whole] for x in c)
-        n = len(g)
-        kind = np.full(n, -1, np.int8)
-        if n:
-            new_g = np.concatenate([[True], g[1:] != g[:-1]])
-            new_f = new_g | np.concatenate([[True], f[1:] != f[:-1]])
-            group = np.cumsum(new_g) - 1
-            different = np.bincount(group[new_f])[group]
-            kind = np.where(~new_f, WHOLE, np.where(different > crowd, CROWDED, np.where(different > 1, PART, -1))).astype(np.int8)
-        use = kind >= 0
-        out = [np.concatenate([a, b[use]]) for a, b in zip(done, (g, f, doc, tie, pos, kind))]
-        return _batch(*out) if len(out[0]) else None
-
-    for b in batches:
-        now = columns(b)
-        if held:
-            now = [np.concatenate([h, x]) for h, x in zip(held, now)]
-        if not len(now[0]):
+    """Round 0: the samples of each chunk."""
+    side = length - gram
+    for rows, parts in _chunks(batches, ("raw", "doc", "tie"), length):
+        chunk = Chunk(parts, length, gram)
+        mine = np.flatnonzero(chunk.own())
+        if not len(mine):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-        held = [x[cut:] for x in now]
-        if cut and (out := settle([x[:cut] for x in now])):
-            yield out
-    if held and (out := settle(held)):
-        yield out
-
-
-#: Groups up to this size are compared row by row; in larger ones, strings are ranked offset by offset.
-FEW = 12
-
-
-def compare(g: np.ndarray, before: np.ndarray, after: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
-    """Marks of rows sorted by (g, doc, tie, pos): bit j of a row says that the string that starts j bytes before its sample also starts
-    earlier. `around` has the bytes beside each sample, of which `before` and `after` are real."""
-    n, side = len(g), around.shape[1] - length
-    offsets = np.arange(side + 1)
-    marks = np.zeros((n, side + 1), bool)
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    size = np.diff(np.concatenate([first, [n]]))
-    rank = np.arange(n) - np.repeat(first, size)
-    few = np.repeat(size, size) <= FEW
-    for lag in range(1, FEW):
-        later = np.flatnonzero((rank >= lag) & few)
-        for a in range(0, len(later), 32_768):
-            i = later[a : a + 32_768]
-            same = around[i] == around[i - lag]
-            left, right = same[:, side - 1 :: -1] if side else same[:, :0], same[:, side:]
-            reach_left = np.where(left.all(1), side, left.argmin(1)) if side else np.zeros(len(i), np.int64)
-            reach_right = np.where(right.all(1), length, right.argmin(1))
-            reach_left = np.minimum(reach_left, np.minimum(before[i], before[i - lag]))
-            reach_right = np.minimum(reach_right, np.minimum(after[i], after[i - lag]))
-            marks[i] |= (offsets >= (length - reach_right)[:, None]) & (offsets <= reach_left[:, None])
-    for a, m in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
-        rows = slice(a, a + m)
-        for j in range(side + 1):
-            has = a + np.flatnonzero((before[rows] >= j) & (after[rows] >= length - j))
-            if len(has) > 1:
-                strings = np.ascontiguousarray(around[has, side - j : side - j + length]).view(np.dtype((np.void, length)))[:, 0]
-                earliest = np.unique(strings, return_index=True)[1]
-                marks[has, j] = True
-                marks[has[earliest], j] = False
-    return marks
-
-
-_MARKS = "array<struct<tie: int, pos: int, mark: binary>>"
-
-
-def _fetch(laid: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """g, doc, tie, pos and the bytes around each wanted sample."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("tie", "pos", "g")).alias("wanted"))
-    schema = pa.schema([("g", pa.int64()), ("doc", pa.int64()), ("tie", pa.int32()), ("pos", pa.int32()), ("around", pa.binary()), ("before", pa.int32()), ("after", pa.int32())])
+        row = chunk.row[chunk.part[mine]]
+        doc, tie = np.array([r[0] for r in rows], np.int64)[row], np.array([r[1] for r in rows], np.int64)[row]
+        outer = []
+        for k in mine.tolist():
+            raw, before = chunk.around(k, 0, side)
+            outer.append(digest(raw, before, len(raw) == length + side))
+        columns = dealt(chunk.name[chunk.at[mine]], outer, doc, tie, chunk.pos[mine])[1]
+        for a in range(0, len(mine), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 65_536], f.type) for c, f in zip(columns, _SAMPLES)], schema=_SAMPLES)
+
+
+def open_cells(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple]:
+    """The samples that round 0 left open, as cells to be cut: doc, tie, pos, first, last, low, high, around, before."""
     side = length - gram
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for whole in batches:
-                for b in slices(whole):
-                    flat = b.column("wanted").flatten()
-                    ties, places, gs = (flat.field(k).to_pylist() for k in range(3))
-                    counts = pc.list_value_length(b.column("wanted")).to_pylist()
-                    at = 0
-                    for doc, tie, raw, n in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw")), counts):
-                        padded = b"\0" * side + raw + b"\0" * length
-                        for k in range(at, at + n):
-                            if ties[k] == tie:
-                                p = places[k]
-                                yield gs[k], doc, tie, p, padded[p : p + side + length], min(p, side), min(len(raw) - p, length)
-                        at += n
-
-        yield from rebatch(rows(), schema, lambda r: 240)
-
-    joined = laid.join(per_doc, "doc")  # all columns, so that the layout is the same one wherever it is read
-    return joined.mapInArrow(tidy(run), "g long, doc long, tie int, pos int, around binary, before int, after int")
-
-
-def _by_task(fetched: DataFrame, length: int, gram: int) -> DataFrame:
-    """Marks of samples whose bytes are compared within their first rank."""
-    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("pos", pa.int32()), ("mark", pa.binary())])
-
-    def settle(c: list[np.ndarray]) -> pa.RecordBatch | None:
-        order = np.lexsort((c[3], c[2], c[1], c[0]))
-        g, doc, tie, pos, before, after, around = (x[order] for x in c)
-        marks = compare(g, before, after, around, length)
-        hit = np.flatnonzero(marks.any(1))
-        packed = np.packbits(marks[hit], axis=1, bitorder="little")
-        return pa.RecordBatch.from_arrays([pa.array(doc[hit], pa.int64()), pa.array(tie[hit], pa.int32()), pa.array(pos[hit], pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            if not b.num_rows:
+    for rows, parts in _chunks(batches, ("raw", "doc", "tie", "wanted", "repeated"), length):
+        chunk = Chunk(parts, length, gram)
+        begin, end = np.array([p[2] for p in parts], np.int64), np.array([p[2] + len(p[1]) for p in parts], np.int64)
+
+        def places(column: int) -> np.ndarray:
+            each = [np.asarray(r[column] or (), np.int64) for r in rows]
+            mine = [each[r] for r in chunk.row.tolist()]
+            part = np.repeat(np.arange(len(parts)), [len(w) for w in mine])
+            pos = np.concatenate(mine)
+            inside = (pos >= begin[part]) & (pos < end[part])
+            return pos[inside] + chunk.shift[part[inside]]
+
+        for k, low, high in zip(*(x.tolist() for x in chunk.open_offsets(places(2), places(3)))):
+            raw, before = chunk.around(k, 0, side)
+            yield *rows[chunk.row[chunk.part[k]]][:2], int(chunk.pos[k]), 0, side, low, high, raw, before
+
+
+def cut(cells: Iterator[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """Cells cut into PARTS, those without open offsets left out."""
+    held: list[tuple] = []
+
+    def settle():
+        core = np.array([h[0] for h in held], np.uint64)
+        doc, tie, pos = (np.array([h[k] for h in held], np.int64) for k in (2, 3, 4))
+        order, columns = dealt(core, [h[1] for h in held], doc, tie, pos)
+        rest = list(zip(*(held[k][5:] for k in order.tolist())))
+        rest[4] = [None if kind == REPEAT else x for kind, x in zip(columns[6].tolist(), rest[4])]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, *rest], _CELLS)], schema=_CELLS)
+
+    for doc, tie, pos, first, last, low, high, around, before in cells:
+        step = -(-(last - first + 1) // PARTS)
+        for a in range(first, last + 1, step):
+            e = min(a + step - 1, last)
+            if high < a or low > e:
                 continue
-            now = [b.column(k).to_numpy() for k in ("g", "doc", "tie", "pos", "before", "after")]
-            now.append(np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint8).reshape(b.num_rows, -1))
-            if held:
-                now = [np.concatenate([h, x]) for h, x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            held = [x[cut:] for x in now]
-            if cut:
-                yield settle([x[:cut] for x in now])
-        if held:
-            yield settle(held)
-
-    return fetched.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "doc long, tie int, pos int, mark binary")
-
-
-def _by_aggregation(fetched: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for crowded ranks: a row per string, ranked by its digest over the cluster."""
-    offset = F.explode(F.expr(f"filter(sequence(0, {length - gram}), j -> before >= j and after >= {length} - j)")).alias("j")
-    strings = fetched.select("doc", "tie", "pos", "around", offset).select(F.md5(F.expr(f"substring(around, {length - gram} - j + 1, {length})")).alias("string"), "doc", "tie", "pos", "j")
-    place = F.struct("doc", "tie", F.col("pos"))
-    first = strings.groupBy("string", "j").agg(F.min(place).alias("first"))
-    again = strings.join(first, ["string", "j"]).filter(place != F.col("first"))
-    width = -(-(length - gram + 1) // 8)
-    mark = F.udf(lambda js: np.packbits(np.isin(np.arange(width * 8), js), bitorder="little").tobytes(), "binary")
-    return again.groupBy("doc", "tie", "pos").agg(F.collect_set("j").alias("js")).select("doc", "tie", "pos", mark("js").alias("mark"))
-
-
-def removed_runs(b: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, bytes | None, list[tuple[int, int]]]]:
-    """Per row of the layout and its marks: doc, raw bytes, and the maximal runs of bytes to remove. A mark without bits covers all
-    strings around its sample."""
-    side = length - gram
-    lists = b.column("marks")
+            # Within `around`, the sample stands at `before`.
+            own = min(before, e)
+            outer = around[before - own : before + length - a]
+            core = around[before - a : before + length - e]
+            name = digest(outer, own, len(outer) == length + e - a)
+            # The last cells are as long as their core, and meet by their digests.
+            held.append((core_name(core + b"%d" % a) if e > a else int.from_bytes(name[:8], "little"), name, doc, tie, pos, a, e, max(low, a), min(high, e), outer if e > a else None, own))
+            if len(held) >= CELLS:
+                yield settle()
+                held.clear()
+    if held:
+        yield settle()
+
+
+def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (q, o1, o2, doc, tie, pos): unique ones drop out, the others repeat or go on. Rows that repeat carry no bytes.
+
+    Of a group that goes on in the next batch only its last key and, as long as it may be unique, its one row are kept."""
+    last, more, held = None, False, None
+    for b in batches:
+        kind = b.column(6).to_numpy()
+        if (done := kind == REPEAT).any():
+            yield b.filter(pa.array(done))
+            b = b.filter(pa.array(~done))
+            kind = kind[~done]
+        if not b.num_rows:
+            continue
+        q, o1, o2 = (b.column(k).to_numpy() for k in range(3))
+        goes_on = last is not None and q[0] == last[0]
+        new = np.concatenate([[not goes_on], q[1:] != q[:-1]])
+        other = new | np.concatenate([[not goes_on or (o1[0], o2[0]) != last[1:]], (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])])
+        group = np.cumsum(new) - (0 if goes_on else 1)  # 0 is the group that goes on, if one does
+        several = (np.bincount(group, other) + (np.arange(group[-1] + 1) == 0) * goes_on > 1) | (np.bincount(group, kind == AGAIN) > 0)
+        several[0] |= goes_on and more
+        if held is not None and goes_on and several[0]:
+            yield _as(held, OPEN)
+        if held is not None and (not goes_on or several[0]):
+            held = None
+        repeats = ~other
+        if repeats.any():
+            yield _as(b.filter(pa.array(repeats)), REPEAT)
+        stays = other & several[group]
+        if stays.any():
+            yield _as(b.filter(pa.array(stays)), OPEN)
+        last, more = (q[-1], o1[-1], o2[-1]), bool(several[-1])
+        if not more and (mine := np.flatnonzero(other & (group == group[-1]))).size:
+            held = b.slice(int(mine[0]), 1)
+
+
+def _as(b: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    b = b.set_column(6, "kind", pa.array(np.full(b.num_rows, kind, np.int8)))
+    at = b.schema.get_field_index("around")
+    return b if kind == OPEN or at < 0 else b.set_column(at, "around", pa.nulls(b.num_rows, pa.binary()))
+
+
+def _ranked(rows: DataFrame, run: Callable, schema: str, name: str) -> DataFrame:
+    """One round: rows are made, sorted and told apart."""
+    made = rows.mapInArrow(tidy(run), schema)
+    return collected(materialise(made.repartition("q").sortWithinPartitions("q", "o1", "o2", "doc", "tie", "pos").mapInArrow(tidy(classify), schema), name))
+
+
+def _laid(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """doc, tie (tells rows of one id apart, below 0 if the id is null), raw bytes and, if carried, the other columns."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer")
+    rest = [df[c].alias(f"rest{k}") for k, c in enumerate(df.columns) if c not in (id_col, text_col)] if carry else []
+    columns = [F.coalesce(df[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), df[text_col].cast("binary").alias("raw"), *rest]
+    rows = df.select(*columns, F.when(df[id_col].isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("tie"))
+    shared = df.groupBy(df[id_col].alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select(F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("id").isNull().alias("unnamed"))
+    if shared.isEmpty():
+        return rows
+    shared = materialise(shared, "shared")
+    same = (rows["doc"] == shared["doc"]) & ((rows["tie"] < 0) == shared["unnamed"])
+    # Written once, so that the numbers are fixed.
+    again = materialise(rows.join(shared, same, "left_semi").withColumn("tie", F.when(F.col("tie") < 0, -2 - F.monotonically_increasing_id()).otherwise(1 + F.monotonically_increasing_id())), "shared")
+    return rows.join(shared, same, "left_anti").unionByName(again)
+
+
+def removed_runs(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes | None, list[tuple[int, int]]]]:
+    """Per row of the layout and its marks: doc, tie, raw bytes, and the maximal runs of bytes to remove."""
+    lists = b.column(b.schema.get_field_index("marks"))
     flat = lists.flatten()
-    tie_of, pos_of, bits_of = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64), flat.field(2)
-    whole = bits_of.is_null().to_numpy(zero_copy_only=False)
-    packed = b"".join(bits_of.drop_null().to_pylist())
-    bits = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(int((~whole).sum()), -1), axis=1, bitorder="little") if packed else np.zeros((0, 8), np.uint8)
-    number = np.cumsum(~whole) - 1
+    first, last = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
     at = 0
-    for doc, tie, raw, n in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "raw")), counts):
-        mine = at + np.flatnonzero(tie_of[at : at + n] == tie)
-        at += n
+    for doc, tie, raw, n in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("doc", "tie", "raw")), counts):
         runs = []
-        if len(mine):
+        if n:
             size = len(raw)
             edges = np.zeros(size + 1, np.int32)
-            w = pos_of[mine[whole[mine]]]
-            np.add.at(edges, np.maximum(w - side, 0), 1)
-            np.add.at(edges, np.minimum(w + length, size), -1)
-            some = mine[~whole[mine]]
-            row, j = np.nonzero(bits[number[some]])
-            starts = pos_of[some[row]] - j
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + length, -1)
+            np.add.at(edges, np.maximum(first[at : at + n], 0), 1)
+            np.add.at(edges, np.minimum(last[at : at + n], size), -1)
             gone = np.concatenate([[0], (np.cumsum(edges)[:size] > 0).view(np.int8), [0]])
             change = np.flatnonzero(np.diff(gone))
             runs = list(zip(change[::2].tolist(), change[1::2].tolist()))
-        yield doc, raw, runs
+        at += n
+        yield doc, tie, raw, runs
 
 
-def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, crowd: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The texts laid out by document, and each document's marks."""
+def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, carry: bool = False) -> DataFrame:
+    """The layout with each row's marks, places of bytes that go; they may overlap and reach over the text's ends."""
     if gram & (gram - 1) or not 0 < gram < length:
         raise ValueError("gram must be a power of two below the length")
-    laid = _ordered(df, id_col, text_col, carry)
-    samples = laid.mapInArrow(tidy(lambda it: find_samples(it, length, gram)), _FOUND_SQL)
-    ranked = samples.repartition("g").sortWithinPartitions("g", "f", "doc", "tie", "pos").mapInArrow(tidy(lambda it: rank_samples(it, crowd)), _FOUND_SQL)
-    found = materialise(ranked.select("g", "doc", "tie", "pos", "kind"), "ranks")
-    marks = found.filter(F.col("kind") == WHOLE).select("doc", "tie", "pos", F.lit(None).cast("binary").alias("mark"))
-    marks = marks.unionByName(_by_task(_fetch(laid, found.filter(F.col("kind") == PART), length, gram), length, gram))
-    crowded = found.filter(F.col("kind") == CROWDED)
-    if not crowded.isEmpty():
-        marks = marks.unionByName(_by_aggregation(_fetch(laid, crowded, length, gram), length, gram))
-    return laid, marks.groupBy("doc").agg(F.collect_list(F.struct("tie", "pos", "mark")).alias("marks"))
+    side = length - gram
+    laid = _laid(df, id_col, text_col, carry)
+    found = _ranked(laid.select("doc", "tie", "raw"), lambda it: find_samples(it, length, gram), _SAMPLES_SQL, "round0")
+    mark = F.struct((F.col("pos") - F.col("last")).alias("first"), (F.col("pos") - F.col("first") + length).alias("last")).alias("mark")
+    marks = found.filter(F.col("kind") == REPEAT).select("doc", "tie", F.struct((F.col("pos") - side).alias("first"), (F.col("pos") + length).alias("last")).alias("mark"))
+    places = [F.collect_list(F.when(F.col("kind") == kind, F.col("pos"))).alias(name) for kind, name in ((OPEN, "wanted"), (REPEAT, "repeated"))]
+    wanted = found.groupBy("doc", "tie").agg(*places).filter(F.size("wanted") > 0)
+    cells = laid.select("doc", "tie", "raw").join(wanted, ["doc", "tie"])
+    take = ["doc", "tie", "pos", "first", "last", "low", "high", "around", "before"]
+
+    def first_cut(batches):
+        return cut(open_cells(batches, length, gram), length)
+
+    def next_cut(batches):
+        return cut((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), length)
+
+    run, width, k = first_cut, side + 1, 0
+    while width > 1:
+        width, k = -(-width // PARTS), k + 1
+        ranked = _ranked(cells, run, _CELLS_SQL, f"round{k}")
+        marks = marks.unionByName(ranked.filter(F.col("kind") == REPEAT).select("doc", "tie", mark))
+        cells, run = ranked.filter(F.col("kind") == OPEN).select(*take), next_cut
+    return laid.join(marks.groupBy("doc", "tie").agg(F.collect_list("mark").alias("marks")), ["doc", "tie"], "left")
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -370,9 +399,8 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, `spans` (removed runs) and `kept` (the remaining bytes)."""
-    laid, marks = _marked(df, id_col, text_col, length, gram, crowd)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", spans), ("kept", pa.binary())])
 
@@ -380,26 +408,27 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         def rows():
             for whole in batches:
                 for b in slices(whole):
-                    for doc, raw, runs in removed_runs(b, length, gram):
+                    for doc, tie, raw, runs in removed_runs(b):
                         raw = raw or b""
-                        yield None if doc == NULL_ID else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], without(raw, runs)
+                        yield None if tie < 0 else doc, len(raw), sum(e - a for a, e in runs), [{"start": a, "end": e} for a, e in runs], without(raw, runs)
 
         yield from rebatch(rows(), schema, lambda r: len(r[4]) + 64)
 
-    return laid.join(marks, "doc", "left").mapInArrow(tidy(run), "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("doc", id_col)
+    found = _marked(df, id_col, text_col, length, gram).mapInArrow(tidy(run), "doc long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return found.withColumnRenamed("doc", id_col)
 
 
-def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The same rows and columns without the removed bytes; characters that are cut go whole. A null text stays null."""
-    laid, marks = _marked(df, id_col, text_col, length, gram, crowd, carry=True)
+    marked = _marked(df, id_col, text_col, length, gram, carry=True)
     names_ = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                new = [None if raw is None else without(raw, runs).decode("utf-8", "ignore") for _, raw, runs in removed_runs(b, length, gram)]
-                ids = pa.array([None if d == NULL_ID else d for d in b.column("doc").to_pylist()], pa.int64())
-                out = [ids if c == id_col else pa.array(new, pa.string()) if c == text_col else b.column(f"rest{k}") for k, c in enumerate(names_)]
-                yield pa.RecordBatch.from_arrays(out, names=names_)
+                found = [(None if tie < 0 else doc, None if raw is None else without(raw, runs).decode("utf-8", "ignore")) for doc, tie, raw, runs in removed_runs(b)]
+                ids, new = pa.array([d for d, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())
+                yield pa.RecordBatch.from_arrays([ids if c == id_col else new if c == text_col else b.column(b.schema.get_field_index(f"rest{k}")) for k, c in enumerate(names_)], names=[f"c{k}" for k in range(len(names_))])
 
-    return laid.join(marks, "doc", "left").mapInArrow(tidy(run), df.schema)
+    out = marked.mapInArrow(tidy(run), StructType([StructField(f"c{k}", LongType() if f.name == id_col else f.dataType) for k, f in enumerate(df.schema)]))
+    return out.select(*[F.col(f"c{k}").cast(f.dataType).alias(f.name) for k, f in enumerate(df.schema)])

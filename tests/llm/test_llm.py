@@ -386,24 +386,73 @@ def brute_dedup(rows, length):
     return sorted(out, key=str)
 
 
+def dedup_here(rows, length, gram, batch=7):
+    """The rounds of suffix_dedup without Spark, so that its parts can be exchanged: (doc, n_removed) of each row."""
+    D = suffix_dedup
+    made = pa.table({"raw": [t.encode() for _, t in rows], "doc": pa.array([d for d, _ in rows], pa.int64()), "tie": pa.array([0] * len(rows), pa.int64())})
+
+    def ranked(batches):
+        table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("q", "o1", "o2", "doc", "tie", "pos")])
+        out = list(D.classify(iter(table.to_batches(max_chunksize=batch))))
+        return pa.Table.from_batches(out, schema=table.schema).to_pylist()
+
+    found = ranked(D.find_samples(iter(made.to_batches(max_chunksize=3)), length, gram))
+    marks = [(r["doc"], r["pos"] - (length - gram), r["pos"] + length) for r in found if r["kind"] == D.REPEAT]
+    laid = made
+    for name, kind in (("wanted", D.OPEN), ("repeated", D.REPEAT)):
+        laid = laid.append_column(name, pa.array([[r["pos"] for r in found if r["doc"] == d and r["kind"] == kind] for d, _ in rows], pa.list_(pa.int32())))
+    cells, width = D.open_cells(iter(laid.to_batches(max_chunksize=5)), length, gram), length - gram + 1
+    while width > 1:
+        width = -(-width // D.PARTS)
+        batches = list(D.cut(cells, length))
+        found = ranked(batches) if batches else []
+        marks += [(r["doc"], r["pos"] - r["last"], r["pos"] - r["first"] + length) for r in found if r["kind"] == D.REPEAT]
+        cells = iter([tuple(r[c] for c in ("doc", "tie", "pos", "first", "last", "low", "high", "around", "before")) for r in found if r["kind"] == D.OPEN])
+    gone = {d: bytearray(len(t.encode())) for d, t in rows}
+    for d, a, e in marks:
+        for k in range(max(a, 0), min(e, len(gone[d]))):
+            gone[d][k] = 1
+    return {d: sum(g) for d, g in gone.items()}
+
+
+def dedup_texts(rng, alphabet, n=60):
+    base = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(10)]
+    texts = []
+    for _ in range(n):
+        t = ""
+        for _ in range(rng.randint(0, 4)):
+            b, a = rng.choice(base), rng.randint(0, 200)
+            t += b[a : a + rng.randint(0, 200)]
+        texts.append("ab" * rng.randint(0, 150) if rng.random() < 0.2 else t)
+    return texts
+
+
 class TestSuffixDedup:
-    @pytest.mark.parametrize("alphabet,length,gram,crowd", [("ab", 100, 32, 20_000), ("abé \n", 100, 32, 20_000), ("ab", 40, 16, 3), ("abé \n", 40, 16, 3)])
-    def test_brute_force(self, spark, alphabet, length, gram, crowd):
-        rng = random.Random(12)
-        base = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(10)]
-        texts = []
-        for _ in range(60):
-            t = ""
-            for _ in range(rng.randint(0, 4)):
-                b, a = rng.choice(base), rng.randint(0, 200)
-                t += b[a : a + rng.randint(0, 200)]
-            texts.append("ab" * rng.randint(0, 150) if rng.random() < 0.2 else t)
-        texts += [None, "", "x" * 5000]
-        df = same_twice(spark, texts).repartition(3)
-        rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, "lone text")]
-        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(df, length=length, gram=gram, crowd=crowd).collect()), key=str)
+    @pytest.mark.parametrize("alphabet,length,gram", [("ab", 100, 32), ("abé \n", 100, 32), ("abé \n", 40, 16)])
+    def test_brute_force(self, spark, alphabet, length, gram):
+        texts = dedup_texts(random.Random(12), alphabet) + [None, "", "x" * 5000]
+        df = same_twice(spark, texts).unionByName(spark.createDataFrame([(None, texts[7], "", "")], SCHEMA)).repartition(3)
+        rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, "lone text"), (None, texts[7])]
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(df, length=length, gram=gram).collect()), key=str)
         assert got == brute_dedup(rows, length)
 
+    @pytest.mark.parametrize("kind", ["as it is", "names collide", "short chunks"])
+    def test_rounds(self, monkeypatch, kind):
+        names = suffix_dedup.names
+        if kind == "names collide":
+            monkeypatch.setattr(suffix_dedup, "names", lambda raw, gram: names(raw, gram) % np.uint64(5))
+            monkeypatch.setattr(suffix_dedup, "core_name", lambda raw: raw[0] % 3)
+        if kind == "short chunks":
+            monkeypatch.setattr(suffix_dedup, "CHUNK", 130)
+            monkeypatch.setattr(suffix_dedup, "CELLS", 9)
+        for seed in range(12):
+            length, gram = [(100, 32), (40, 16), (20, 4)][seed % 3]
+            rows = list(enumerate(dedup_texts(random.Random(seed), ["ab", "abcdé \n", "xyz"][seed // 3 % 3], 25) + ["ab" * 400]))
+            assert dedup_here(rows, length, gram) == {d: n for d, _, n, _, _ in brute_dedup(rows, length)}
+
+    def test_empty_table(self, spark):
+        assert suffix_dedup.dedup(docs(spark, [])).count() == 0 and suffix_dedup.cleaned(docs(spark, [])).count() == 0
+
     def test_cleaned_keeps_rows_and_columns(self, spark):
         passage = "é" * 10 + " ".join(texts_like(13, 3)[0].split()[:40])
         df = docs(spark, [passage + " one", "two " + passage, None, ""])

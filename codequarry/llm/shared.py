@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all of Spark is one process, as in tests, may it be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder[len("file://"):], ignore_errors=True)
@@ -36,21 +40,35 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    The files are removed when the Spark session ends."""
+    The files are removed when the Spark session ends, or by `forget`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _file(spark, path)
+    files.deleteOnExit(target)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
 
 
-def collected(df: DataFrame) -> DataFrame:
-    """`df`, a written table, after Spark has been let drop the shuffle files of what it was made from."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def forget(written: DataFrame) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    target, files = _file(written.sparkSession, written.written_to)
+    files.delete(target, True)
+    files.cancelDeleteOnExit(target)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from .shared import collected, materialise, rebatch, slices, tidy
+from .shared import collect_garbage, materialise, rebatch, slices, tidy
 
 LENGTH, GRAM = 100, 32
 #: Cells that a cell is cut into from one round to the next.
@@ -321,7 +321,7 @@ def _as(b: pa.RecordBatch, kind: int) -> pa.RecordBatch:
 def _ranked(rows: DataFrame, run: Callable, schema: str, name: str) -> DataFrame:
     """One round: rows are made, sorted and told apart."""
     made = rows.mapInArrow(tidy(run), schema)
-    return collected(materialise(made.repartition("q").sortWithinPartitions("q", "o1", "o2", "doc", "tie", "pos").mapInArrow(tidy(classify), schema), name))
+    return materialise(made.repartition("q").sortWithinPartitions("q", "o1", "o2", "doc", "tie", "pos").mapInArrow(tidy(classify), schema), name)
 
 
 def _laid(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
@@ -369,6 +369,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     side = length - gram
     laid = _laid(df, id_col, text_col, carry)
     found = _ranked(laid.select("doc", "tie", "raw"), lambda it: find_samples(it, length, gram), _SAMPLES_SQL, "round0")
+    collect_garbage(df.sparkSession)
     mark = F.struct((F.col("pos") - F.col("last")).alias("first"), (F.col("pos") - F.col("first") + length).alias("last")).alias("mark")
     marks = found.filter(F.col("kind") == REPEAT).select("doc", "tie", F.struct((F.col("pos") - side).alias("first"), (F.col("pos") + length).alias("last")).alias("mark"))
     places = [F.collect_list(F.when(F.col("kind") == kind, F.col("pos"))).alias(name) for kind, name in ((OPEN, "wanted"), (REPEAT, "repeated"))]
@@ -386,6 +387,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     while width > 1:
         width, k = -(-width // PARTS), k + 1
         ranked = _ranked(cells, run, _CELLS_SQL, f"round{k}")
+        collect_garbage(df.sparkSession)
         marks = marks.unionByName(ranked.filter(F.col("kind") == REPEAT).select("doc", "tie", mark))
         cells, run = ranked.filter(F.col("kind") == OPEN).select(*take), next_cut
     return laid.join(marks.groupBy("doc", "tie").agg(F.collect_list("mark").alias("marks")), ["doc", "tie"], "left")

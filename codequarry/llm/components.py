@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import forget, materialise
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of `edges` (u, v) with the least node of its component. Nodes may be of any ordered type.
 
-    Every round links nodes to the least neighbour of their neighbourhood, so the number of rounds grows with the
-    logarithm of a component's size. Edges are written to the shared folder in each round."""
+    Edges lead from the greater node to the lesser. Each round links the greater end of an edge to the least neighbour of the
+    lesser end, then all lesser neighbours of a node to the least of them, until nothing changes; the number of rounds grows with the
+    logarithm of a component's size. Least neighbours are tables of their own, so that the edges of a node with very many neighbours
+    are one side of a join between two written tables, which adaptive plans split."""
     e = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: each node's greater neighbours go to the least of its neighbourhood.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    for k in itertools.count():
+        least = materialise(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # Large star: a root has no lesser neighbour, so the edges to it stay.
+        large = materialise(e.join(least.withColumnRenamed("u", "x"), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
         # Small star: each node and its lesser neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
+        nearest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "nearest")
+        moved = large.join(nearest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialise(nearest.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "edges")
+        for old in (e, least, large, nearest):
+            forget(old)
+        e = after
+        sums = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if sums == before:
             break
-        before = after
+        before = sums
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

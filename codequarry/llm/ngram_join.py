@@ -1,10 +1,18 @@
-"""Similarity join on word n-grams: a MinHash banding finds candidates, which are verified exactly.
+"""Similarity join on word n-grams: a MinHash LSH forest finds candidates, which are verified exactly.
 
-Texts with the same set of n-grams are one node. Each node has one key in each tree: its least hashes down to one depth,
-which is set once, from the threshold, as the greatest at which two sets of the threshold's similarity share a key in some tree
-with the target recall. So this is fixed banding, not a forest searched adaptively. Nodes that share a key are linked to the
-least of them, never pair by pair; connected nodes form a candidate group. Groups are verified exactly, in blocks of bounded size
-against blocks: every pair of nodes of a group is compared by its intersection, and only counts and spanning links leave a block.
+Texts with the same set of n-grams are one node. In each tree a node has a signature, its DEEPEST least hashes, and the sorted
+signatures of a tree are its prefix trie: Spark sorts them, and neighbours in the order tell how long a prefix a node shares with
+any other. Prefixes shorter than `shortest` are not looked at: searched to that depth, all trees together meet the target recall
+for two sets of the threshold's similarity, so a node that shares no such prefix in any tree has no candidates and leaves.
+
+The others start in each tree from the longest prefix they share. All sets that share the searched prefixes of d_i hashes are
+candidates, and one of the threshold's similarity s escapes all trees with probability prod(1 - s ** d_i) at most: a set
+that shares more than the others is met by starting from it, and one that shares less is independent of where they start. As long as
+that is above 1 - RECALL, a node's longest prefixes are shortened by one hash, in all trees at once.
+
+Candidates are linked to the least node of their prefix, never pair by pair; connected nodes form a candidate group. Groups are verified
+exactly, in blocks of bounded size against blocks: every pair of nodes of a group is compared by its intersection, and only counts and
+spanning links leave a block.
 
 Words are runs of characters that are not white space; a text of fewer words than n has the one gram of all its words. A
 document's links are the other documents at the threshold or above, copies included.
@@ -16,6 +24,7 @@ table; columns other than the id and the text aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,13 +38,14 @@ from .components import components
 from .shared import materialise, rebatch, slices, texts, tidy
 
 GRAMS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 32, 8, 0.999995
+#: Hashes of a signature are of 16 bits: prefixes that are equal by chance only make candidates.
+TREES, DEEPEST, RECALL = 32, 8, 0.99999
 #: Grams and nodes of a block of a candidate group, about (nodes are dealt to blocks by their hashes).
 BLOCK, NODES = 400_000, 1_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
+def shortest(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
     """The longest prefix by which two sets of the threshold's similarity meet in some tree with the target recall."""
     d = deepest
     while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
@@ -43,6 +53,12 @@ def depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPE
     return d
 
 
+def fewest(threshold: float = THRESHOLD) -> int:
+    """Sets of fewer grams have no other set at the threshold."""
+    t = Fraction(str(threshold))
+    return math.ceil(t / (1 - t)) if t < 1 else 1 << 62
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _ODD[1]
     return x ^ (x >> np.uint64(29))
@@ -62,22 +78,29 @@ def grams(text: str, n: int = GRAMS) -> np.ndarray:
     return np.unique(out)
 
 
-def signatures(g: np.ndarray, trees: int, d: int) -> np.ndarray:
-    """One key per tree: a name of the first d of the tree's least hashes."""
+def signatures(g: np.ndarray, trees: int, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each tree's least hashes, the first four and the next in a 64-bit integer each."""
     low = (g ^ (g >> np.uint64(32))).astype(np.uint32)
     rng = np.random.default_rng(7)
-    a = (rng.integers(0, 1 << 31, trees * d, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, trees * d, dtype=np.uint32)
-    least = np.full(trees * d, np.uint32(0xFFFFFFFF))
+    a = (rng.integers(0, 1 << 31, trees * deepest, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, trees * deepest, dtype=np.uint32)
+    least = np.full(trees * deepest, np.uint32(0xFFFFFFFF))
     for k in range(0, len(low), 2048):
         h = low[k : k + 2048] * a[:, None] + b[:, None]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         np.minimum(least, h.min(1), out=least)
-    key = np.arange(trees, dtype=np.uint64)
-    for k in range(d):
-        key = mixed(key * _ODD[2] + least.reshape(trees, d)[:, k])
-    return key.view(np.int64)
+    values = np.zeros((trees, 8), ">u2")
+    values[:, :deepest] = (least ^ (least >> np.uint32(16))).reshape(trees, deepest) & np.uint32(0xFFFF)
+    head, tail = values.view(">u8").astype(np.uint64).view(np.int64).T
+    return head, tail
+
+
+def shared_prefix(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Of each signature and the one before it, the number of hashes that the two share from the first on; 0 for the first."""
+    x = np.concatenate([head[1:, None] ^ head[:-1, None], tail[1:, None] ^ tail[:-1, None]], 1).view(np.uint64)
+    equal = (x.astype(">u8").view(">u2").reshape(-1, 8) == 0).cumprod(1).sum(1)
+    return np.concatenate([[0], equal]).astype(np.int64)
 
 
 def _name(g: np.ndarray) -> bytes | None:
@@ -88,8 +111,8 @@ def _md5(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, d: int) -> DataFrame:
-    schema = pa.schema([("doc", pa.int64()), ("md5", pa.string()), ("node", pa.binary()), ("n_grams", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, deepest: int) -> DataFrame:
+    schema = pa.schema([("doc", pa.int64()), ("md5", pa.string()), ("node", pa.binary()), ("n_grams", pa.int64()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -100,12 +123,12 @@ def _signed(df: DataFrame, id_col: str, text_col: str, n: int, trees: int, d: in
                     for doc, md5, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts(part.column(1))):
                         if text not in seen:
                             g = grams(text, n)
-                            seen[text] = (_name(g), len(g), signatures(g, trees, d) if len(g) else None)
+                            seen[text] = (_name(g), len(g), *(signatures(g, trees, deepest) if len(g) else (None, None)))
                         yield doc, md5, *seen[text]
 
-        yield from rebatch(rows(), schema, lambda r: 320)
+        yield from rebatch(rows(), schema, lambda r: 64 + 16 * trees)
 
-    return df.select(df[id_col].alias("doc"), df[text_col].alias("text"), _md5(df[text_col]).alias("md5")).mapInArrow(tidy(run), "doc long, md5 string, node binary, n_grams long, keys array<long>")
+    return df.select(df[id_col].alias("doc"), df[text_col].alias("text"), _md5(df[text_col]).alias("md5")).mapInArrow(tidy(run), "doc long, md5 string, node binary, n_grams long, heads array<long>, tails array<long>")
 
 
 def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
@@ -118,7 +141,7 @@ def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarra
     out = np.zeros((left, len(sets) - right), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = max(256, min(8192, (16 << 20) // max(1, len(sets))))
+    width = max(256, min(8192, (4 << 20) // max(1, len(sets))))
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         s = slice(*np.searchsorted(column, [a, a + width]))
         dense = np.zeros((len(sets), width), np.float32)
@@ -166,10 +189,73 @@ def verify(rows: list[tuple[bytes, int, bool, np.ndarray]], threshold: float, sa
         yield rows[k][0], int(links[k]), least[root(k)]
 
 
+def _forest(nodes: DataFrame, threshold: float, trees: int, deepest: int, recall: float) -> DataFrame:
+    """Edges (u, v) that connect candidates: nodes that share a searched prefix, to the least of them."""
+    if not 0 < deepest <= 8:
+        raise ValueError("a signature has 1 to 8 hashes")
+    least = shortest(threshold, trees, deepest, recall)
+    rows = nodes.filter(F.col("n_grams") >= fewest(threshold)).select("node", F.posexplode(F.arrays_zip("heads", "tails")).alias("tree", "s")).select("tree", F.col("s.heads").alias("head"), F.col("s.tails").alias("tail"), "node")
+    schema = pa.schema([("tree", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("node", pa.binary()), ("shared", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The longest prefix that each row shares with a neighbour. The neighbours of a task's first and last row are in other tasks: these rows
+        count as sharing all, so that their prefixes are looked at."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+            yield from matched(now, held is None, False)
+            held = now.slice(max(0, now.num_rows - 2))
+        if held is not None:
+            yield from matched(held, held.num_rows < 2, True)
+
+    def matched(b: pa.RecordBatch, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        # Of a batch, all rows but the last are told; the first one was told before unless it is the task's first.
+        tree, head, tail = (b.column(k).to_numpy() for k in range(3))
+        up = np.where(np.concatenate([[False], tree[1:] == tree[:-1]]), shared_prefix(head, tail), 0)
+        down = np.concatenate([up[1:], [0]])
+        both = np.maximum(up, down)
+        if first:
+            both[0] = deepest
+        if last:
+            both[-1] = deepest
+        told = slice(0 if first else 1, len(both) if last else len(both) - 1)
+        keep = np.zeros(len(both), bool)
+        keep[told] = both[told] >= least
+        if keep.any():
+            out = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(both[keep], pa.int32())], schema=schema)
+
+    ordered = rows.repartitionByRange("tree", "head", "tail", "node").sortWithinPartitions("tree", "head", "tail", "node")
+    found = materialise(ordered.mapInArrow(tidy(run), "tree int, head long, tail long, node binary, shared int"), "matched")
+    # How deep each node searches: its longest prefixes are cut down to one depth, the greatest that meets the target.
+    escapes = lambda d: math.log(max(1 - threshold**d, 1e-300))
+    counts = [F.count(F.when(F.col("shared") == d, 1)).alias(f"n{d}") for d in range(least, deepest + 1)]
+    searched = found.groupBy("node").agg(*counts)
+    depth = F.lit(least)
+    for d in range(least + 1, deepest + 1):
+        missed = F.lit(trees * escapes(least)) + sum(F.col(f"n{k}") * F.lit(escapes(min(k, d)) - escapes(least)) for k in range(least, deepest + 1))
+        depth = F.when(missed <= math.log(max(1 - recall, 1e-300)), d).otherwise(depth)
+    deep = found.join(searched.select("node", depth.alias("depth")), "node")
+
+    def prefix(d):
+        cut = lambda c, hashes: F.when(hashes >= 4, F.col(c)).when(hashes > 0, F.expr(f"shiftright({c}, cast(64 - 16 * ({d}{' - 4' if c == 'tail' else ''}) as int))")).otherwise(F.lit(0).cast("long"))
+        return F.xxhash64("tree", F.col(d), cut("head", F.col(d)), cut("tail", F.col(d) - 4))
+
+    asked = deep.withColumn("own", F.least("shared", "depth")).select(prefix("own").alias("key")).distinct()
+    all_ = found.withColumn("d", F.explode(F.sequence(F.lit(least), F.col("shared")))).select("node", prefix("d").alias("key"))
+    members = materialise(all_.join(asked, "key", "left_semi"), "members")
+    centre = materialise(members.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("m")).filter("m > 1").drop("m"), "centres")
+    return members.join(centre, "key").select(F.col("node").alias("u"), "v")
+
+
 def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int, threshold: float, block: int) -> DataFrame:
-    """Links and least linked node of each node, one row per block pair that links it."""
-    groups = nodes.groupBy("root").agg(F.greatest(F.floor(F.sum("n_grams") / block) + 1, F.floor(F.count("*") / NODES) + 1).cast("int").alias("blocks"))
-    placed = nodes.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links and least linked node of each node, one row per block pair that links it. `nodes` is a written table."""
+    sizes = nodes.groupBy("root").agg(F.greatest(F.floor(F.sum("n_grams") / block) + 1, F.floor(F.count("*") / NODES) + 1).cast("int").alias("blocks"))
+    # Only groups of several blocks are looked up, from a written table: a large group's nodes are split among tasks.
+    several = materialise(sizes.filter("blocks > 1"), "blocks")
+    placed = nodes.join(several, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.select("doc", "node", "copies", "root", "block", "blocks")
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     # A node's text is one of those with its least id.
@@ -216,20 +302,15 @@ def _verified(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: in
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAMS, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Per row: the id, class_id (the least id of all that links reach), n_links and the text's md5."""
-    d = depth(threshold, trees, deepest, recall)
-    signed = materialise(_signed(df, id_col, text_col, n, trees, d), "signed")
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys"))
-    branches = nodes.select("node", F.explode("keys").alias("key"))
-    # The least node of each subtree; a subtree of one node gives no edge.
-    centre = branches.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    roots = components(branches.join(centre, "key").select(F.col("node").alias("u"), "v"))
-    grouped = nodes.drop("keys").join(roots, "node")
-    verified = materialise(_verified(df, grouped, id_col, text_col, n, threshold, block), "verified")
+    signed = materialise(_signed(df, id_col, text_col, n, trees, deepest), "signed")
+    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
+    roots = components(_forest(nodes, threshold, trees, deepest, recall))
+    members = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"))
+    verified = materialise(_verified(df, materialise(members.join(roots, "node"), "grouped"), id_col, text_col, n, threshold, block), "verified")
     classes = components(verified.select(F.col("node").alias("u"), F.col("least").alias("v")))
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    members = signed.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")).filter(F.col("node").isNotNull())
-    members = members.join(linked, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = members.groupBy("root").agg(F.min("doc").alias("class_id"))
+    members = materialise(members.join(linked, "node", "left").join(classes, "node", "left").select("node", "doc", "copies", "links", F.coalesce("root", "node").alias("root")), "members")
+    names = materialise(members.groupBy("root").agg(F.min("doc").alias("class_id")), "names")
     per_node = members.join(names, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = signed.select("doc", "node", "md5")
     return rows.join(per_node, "node", "left").select(
@@ -249,4 +330,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     stays = alone.unionByName(first).distinct()
     keyed = df.withColumn("__key", _md5(df[text_col]))
     found = keyed.join(stays, keyed[id_col].eqNullSafe(stays["__id"]) & (keyed["__key"] == stays["__md5"]), "left_semi")
-    return found.dropDuplicates([id_col, "__key"]).drop("__key")
+    # Texts are dealt out by id and text only where some rows are equal in both.
+    equal = materialise(joined.groupBy(F.col(id_col).alias("__id"), F.col("md5").alias("__md5")).count().filter("count > 1").drop("count"), "equal")
+    if equal.isEmpty():
+        return found.drop("__key")
+    same = found[id_col].eqNullSafe(equal["__id"]) & (found["__key"] == equal["__md5"])
+    return found.join(equal, same, "left_anti").unionByName(found.join(equal, same, "left_semi").dropDuplicates([id_col, "__key"])).drop("__key")

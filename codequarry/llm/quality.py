@@ -26,22 +26,22 @@ from .html_extract import STOP_WORDS
 from .shared import rebatch, texts, tidy
 
 GOOD, NONE, BAD = 1, 0, -1
-#: Documents that the scorer is fitted on (about: they are drawn by their ids' hashes). Counts of votes cover all.
+#: Documents that the scorer is fitted on (about: they are drawn by the hashes of their ids and texts). Counts of votes cover all.
 SAMPLE = 6_000
 WIDTH = 4_096
-ROUNDS = 60
+ROUNDS = 100
 #: Shares that a labeller finds and spares, before the first round.
 START = (0.4, 0.98)
 _SIGNS = re.compile(r"[#$%&*|~^<>=\\{}_@+]")
 _STOP = frozenset().union(*STOP_WORDS.values())
-STATS = ("signs", "upper", "again", "stop", "kinds", "shout", "length", "lines", "tails", "bare", "runs", "pairs")
-_RUN = re.compile(r"[^\w\s]{2,}")
+STATS = ("signs", "upper", "again", "stop", "kinds", "length", "lines", "tails", "bare", "pairs", "marks")
+_MARK = re.compile(r"[^\w\s]")
 
 
 def statistics(text: str) -> list[float] | None:
-    """Shares of signs, upper-case words, words equal to the one before, stop words, distinct words and exclamation marks; mean
-    length of a word; shares of repeated lines, of words that end in two signs or have signs at both ends, runs of signs a word,
-    and share of distinct pairs of neighbours. None without words."""
+    """Shares of signs, upper-case words, words equal to the one before, stop words and distinct words; mean length of a word; shares of
+    repeated lines, of words that end in two signs and of words with signs at both ends, share of distinct pairs of neighbours, and share of
+    marks (neither letters, digits nor white space). None without words."""
     words = text.split()
     n = len(words)
     if not n:
@@ -57,38 +57,42 @@ def statistics(text: str) -> list[float] | None:
         again / n,
         lower / n,
         len(counts) / n,
-        text.count("!") / n,
         (len(text) - n) / n,
         1 - len(set(lines)) / len(lines),
         sum(c for w, c in counts.items() if len(w) > 1 and not w[-1].isalnum() and not w[-2].isalnum()) / n,
         sum(c for w, c in counts.items() if not w[0].isalnum() and not w[-1].isalnum()) / n,
-        len(_RUN.findall(text)) / n,
         len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 1.0,
+        len(_MARK.findall(text)) / len(text),
     ]
 
 
+#: Labellers, as many as `votes` gives.
+LABELLERS = ("signs", "upper", "again", "stop", "kinds", "length", "tails", "bare", "pairs", "marks")
+
+
 def votes(s: list[float] | None, n_words: int) -> list[int]:
-    """One vote of each labeller. Short texts give too little evidence for shares, so only gross signs count there."""
+    """One vote of each labeller. They overlap (signs, marks, tails and bare words; repeated words, kinds and pairs) and err: short words,
+    few kinds of words and repeated pairs stand in plain prose, too. Short texts give too little evidence for shares, so only gross
+    faults count there."""
     if s is None:
-        return [NONE] * 11
-    signs, upper, again, stop, kinds, shout, length, lines, tails, bare, runs, pairs = s
+        return [NONE] * len(LABELLERS)
+    signs, upper, again, stop, kinds, length, lines, tails, bare, pairs, marks = s
     enough = n_words >= 20
 
     def vote(bad: bool, good: bool) -> int:
         return BAD if bad else GOOD if good and enough else NONE
 
     return [
-        vote(signs > 0.06 and n_words >= 4, signs < 0.015),
-        vote(upper > 0.5 and n_words >= 8, upper < 0.15),
-        vote(again > 0.25 and n_words >= 8, again < 0.05),
-        vote(stop < 0.04 and enough, stop > 0.12),
-        vote(kinds < 0.15 and enough, kinds > 0.35),
-        vote(shout > 0.3 and n_words >= 4, shout < 0.05),
-        vote(tails > 0.3 and n_words >= 4, tails < 0.05),
-        vote(bare > 0.2 and n_words >= 8, bare < 0.05),
-        vote(runs > 0.3 and n_words >= 4, runs < 0.05),
-        vote(pairs < 0.3 and n_words >= 8, pairs > 0.6),
-        vote((length > 20 or length < 1.5) and enough, 2.5 < length < 12),
+        vote(signs > 0.03 and n_words >= 4, signs < 0.005),
+        vote(upper > 0.2 and n_words >= 8, upper < 0.05),
+        vote(again > 0.15 and n_words >= 8, again < 0.03),
+        vote(stop < 0.15 and enough, stop > 0.22),
+        vote(kinds < 0.6 and enough, kinds > 0.7),
+        vote((length > 5.6 or length < 4.2) and enough, 4.6 < length < 5.4),
+        vote(tails > 0.1 and n_words >= 4, tails < 0.01),
+        vote(bare > 0.2 and n_words >= 8, bare < 0.01),
+        vote(pairs < 0.95 and enough, pairs > 0.975),
+        vote(marks > 0.1 and n_words >= 8, marks < 0.05),
     ]
 
 
@@ -114,8 +118,7 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
 
     Each labeller tests for one fault, so it is judged on both classes: `finds` is the share of bad texts among those it votes on
     that it calls bad, `spares` the share of good ones that it calls good. Not voting says nothing. They start at START, which
-    settles which class is which, and keep within bounds: the thresholds lie where plain prose hardly comes, so no labeller may
-    be explained away by calling much of the good text bad. The counts below are a weak prior, so that unseen votes keep some chance."""
+    settles which class is which. One text of each kind is added to each count, so that unseen votes keep some chance."""
     rows = [(p, n) for p, n in patterns.items() if any(p)]
     m = len(rows[0][0]) if rows else 0
     v = np.array([p for p, _ in rows], float).reshape(len(rows), m)
@@ -125,9 +128,9 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
         odds = math.log(prior / (1 - prior)) + (v > 0) @ np.log(spares / (1 - finds)) + (v < 0) @ np.log((1 - spares) / finds)
         q = 1 / (1 + np.exp(-odds))
         good, bad = n * q, n * (1 - q)
-        finds = np.clip((bad @ (v < 0) + 3) / (bad @ (v != 0) + 10), 0.1, 0.98)
-        spares = np.clip((good @ (v > 0) + 98) / (good @ (v != 0) + 100), 0.99, 0.9999)
-        prior = float(np.clip((n @ q + 8) / (n.sum() + 10), 0.05, 0.95))
+        finds = (bad @ (v < 0) + 1) / (bad @ (v != 0) + 2)
+        spares = (good @ (v > 0) + 1) / (good @ (v != 0) + 2)
+        prior = float((n @ q + 1) / (n.sum() + 2))
     total = sum(patterns.values()) or 1
     known = dict(zip((p for p, _ in rows), q.tolist()))
     return {p: known.get(p, prior) for p in patterns}, [
@@ -182,7 +185,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
 
     grain = 1 << 24
     share = math.ceil(grain * min(1.0, sample / max(1, sum(patterns.values()))))
-    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(grain)) < share)
+    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(grain)) < share)
     weights = train([tuple(r) for r in drawn.mapInArrow(tidy(featured), "at binary, weight binary, p double").limit(4 * sample).collect()])
     return {"posterior": posterior, "labellers": accuracies, "weights": weights}
 

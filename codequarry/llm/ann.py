@@ -4,8 +4,11 @@ A vector is approximated by the sum of one word from each of several full-dimens
 residuals of a bounded sample and chosen by beam search. The norm of the approximation is stored beside the codes. A
 query scores all codes by tables of its products with all words; the best are ranked again on the original vectors.
 
-Every row is indexed and every query meets every block of the index: blocks of queries times blocks of rows, both of bounded
-size. Equal vectors in a block are scored once and stand for their smallest ids.
+Rows are dealt by their ids' hashes to blocks of BLOCK bytes of vectors. First the codes of each block stand in one task while all queries
+pass by, a batch at a time: codes and vectors are never copied, queries once for each block. Of a block a query takes its share
+of RERANKED candidates and six deviations more (they are dealt by hash), and of all blocks' the best RERANKED. Then only the queries that have
+candidates in a block pass by its vectors. Rows of equal codes are one candidate and stand for all their rows; equal vectors are scored once
+and stand for their smallest ids.
 
 Defined results: vectors that are null, all zero, hold a null or non-finite component, or differ in length from the
 sampled ones take no part; of rows that share an id the one with the smallest vector counts; a row with a null id takes no
@@ -15,22 +18,22 @@ part; with fewer candidates than asked for, all are returned; without candidates
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, tidy
+from .shared import materialise, rebatch, tidy
 
 #: Vectors that the codebooks are fitted on, at most (about: the sample is drawn by the ids' hashes).
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 6, 10
-#: Distinct vectors of a block that are ranked again, and rows of a block of the index and of the queries.
-RERANKED = 1_024
-BLOCK, QUERIES = 32_768, 4_096
+#: Candidates of a query that are ranked again.
+RERANKED = 2_048
+#: Bytes of vectors in a block, and rows below which blocks aren't made smaller to keep all cores busy.
+BLOCK, LEAST = 32 << 20, 4_096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -110,52 +113,132 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, reranked: int, measure: str):
-    """(query, id, score) of the k nearest in one block, for each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors, codes, norms = ids[order], np.ascontiguousarray(vectors[order]) + 0.0, codes[order], norms[order]
-    _, first, same = np.unique(vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1])))[:, 0], return_index=True, return_inverse=True)
-    members = np.split(np.argsort(same, kind="stable"), np.cumsum(np.bincount(same))[:-1])
-    members = [m[: k + 1] for m in members]  # the query's own row may be among them
-    vectors, codes, norms = vectors[first], codes[first], norms[first]
-    most = min(reranked, len(first))
-    for a in range(0, len(queries), 64):
-        q = queries[a : a + 64]
-        tables = np.einsum("qd,mkd->mqk", q.astype(np.float32), books, optimize=True)
-        score = sum(t[:, codes[:, m]] for m, t in enumerate(tables))
-        if measure == "l2":
-            score = 2 * score - norms
-        near = np.argpartition(-score, most - 1, axis=1)[:, :most]
-        for own, vector, candidates in zip(q_ids[a : a + 64], q, near):
-            x = vectors[candidates]
-            exact = (x * vector).sum(1) if measure == "ip" else -((x - vector) ** 2).sum(1)
-            found = []
-            for c in np.lexsort((ids[first[candidates]], -exact)):
-                if len(found) >= k and exact[c] < found[k - 1][1]:
-                    break
-                found += [(ids[r], exact[c]) for r in members[candidates[c]] if ids[r] != own]
-                if len(found) >= k:
-                    found = sorted(found, key=lambda f: (-f[1], f[0]))[: max(k, len(found))]
-            for i, s in sorted(found, key=lambda f: (-f[1], f[0]))[:k]:
-                yield own, i, s
-
-
-def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 20, reranked: int = RERANKED, measure: str = "ip", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def void(rows: np.ndarray) -> np.ndarray:
+    """Rows as values that can be compared as a whole."""
+    rows = np.ascontiguousarray(rows)
+    return rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1])))[:, 0]
+
+
+class Codes:
+    """A block's codes; rows of equal codes are one class, named by its smallest id."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        _, first = np.unique(void(codes[order]), return_index=True)
+        self.names, self.codes, self.norms = ids[order][first], codes[order][first], norms[order][first]
+
+    def nearest(self, queries: np.ndarray, books: np.ndarray, most: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Names and scores of the nearest classes of each query."""
+        most = min(most, len(self.names))
+        for a in range(0, len(queries), 32):
+            tables = np.einsum("qd,mkd->mqk", queries[a : a + 32].astype(np.float32), books, optimize=True)
+            score = np.zeros((tables.shape[1], len(self.names)), np.float32)
+            for m, t in enumerate(tables):
+                score += t[:, self.codes[:, m]]
+            if measure == "l2":
+                score = 2 * score - self.norms
+            near = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            for row, best in zip(score, near):
+                yield self.names[best], row[best]
+
+
+class Vectors:
+    """A block's distinct vectors, with the smallest ids of each, by class of codes."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        ids, codes, vectors = ids[order], codes[order], vectors[order] + 0.0
+        _, first, same = np.unique(void(vectors), return_index=True, return_inverse=True)
+        at = np.argsort(same, kind="stable")
+        starts = np.cumsum(np.bincount(same))[:-1]
+        # The query's own row may be among them.
+        self.members, self.vectors, self.least = [ids[m[: k + 1]] for m in np.split(at, starts)], vectors[first], ids[first]
+        _, begin, kind = np.unique(void(codes), return_index=True, return_inverse=True)
+        self.names, names_at = np.unique(ids[begin], return_index=True)
+        kinds = kind[first]
+        grouped = np.argsort(kinds, kind="stable")
+        parts = np.split(grouped, np.cumsum(np.bincount(kinds, minlength=len(begin)))[:-1])
+        self.of_class = [parts[k] for k in names_at]
+
+    def nearest(self, own: int, query: np.ndarray, names: np.ndarray, k: int, measure: str) -> list[tuple[int, float]]:
+        """(id, score) of the k nearest rows of the named classes."""
+        which = np.concatenate([self.of_class[j] for j in np.searchsorted(self.names, names)])
+        x = self.vectors[which]
+        exact = (x * query).sum(1) if measure == "ip" else -((x - query) ** 2).sum(1)
+        found: list[tuple[int, float]] = []
+        for c in np.lexsort((self.least[which], -exact)):
+            if len(found) >= k and exact[c] < found[k - 1][1]:
+                break
+            found += [(int(i), float(exact[c])) for i in self.members[which[c]] if i != own]
+            if len(found) >= k:
+                found.sort(key=lambda f: (-f[1], f[0]))
+        return sorted(found, key=lambda f: (-f[1], f[0]))[:k]
+
+
+def passing_by(rows: DataFrame, load: Callable, answer: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
+    """`rows` (block, kind, ...): each block's rows of kind 0 are loaded, then those of kind 1 are answered a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            block, parts, loaded = None, [], None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                at, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+                cuts = [0, *(1 + np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1]))).tolist(), b.num_rows]
+                for s, e in zip(cuts, cuts[1:]):
+                    if at[s] != block:
+                        block, parts, loaded = at[s], [], None
+                    if not kind[s]:
+                        parts.append(b.slice(s, e - s))
+                    elif parts or loaded:
+                        if loaded is None:
+                            loaded, parts = load(pa.Table.from_batches(parts).combine_chunks()), []
+                        yield from answer(int(block), loaded, b.slice(s, e - s))
+
+        yield from rebatch(each(), arrow, lambda r: 64 + (20 * len(r[2]) if hasattr(r[2], "__len__") else 0))
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidy(run), schema)
+
+
+def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 20, reranked: int = RERANKED, measure: str = "ip", block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """query_id, rank, id and score of each query's k nearest. `queries` has id and vector; its own id is no candidate."""
-    n_blocks = max(1, -(-indexed.count() // block))
-    n_queries = max(1, -(-queries.count() // query_block))
-
-    def run(key, base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if base.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
-        found = search_block(base["id"].to_numpy(), np.stack(base["vector"]), codes, base["norm"].to_numpy(), asked["id"].to_numpy(), np.stack(asked["vector"]), books, k, reranked, measure)
-        return pd.DataFrame(list(found), columns=["query_id", "id", "score"])
-
-    left = indexed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    near = left.groupBy("block", "part").cogroup(right.select("block", "part", "id", "vector").groupBy("block", "part")).applyInPandas(run, "query_id long, id long, score double")
+    rows, cores = indexed.count(), indexed.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-rows * 8 * max(1, books.shape[2]) // block), min(cores, -(-rows // least)))
+    share = math.ceil(reranked / n + 6 * math.sqrt(reranked / n) + 16) if n > 1 else reranked
+    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kind = lambda x: F.lit(x).cast("tinyint").alias("kind")
+
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), kind(1), "id", null("binary", "codes"), null("float", "norm"), F.col("vector").cast("array<float>").alias("vector"))
+    codes = dealt.select("block", kind(0), "id", "codes", "norm", null("array<float>", "vector"))
+
+    def codes_of(t: pa.Table) -> Codes:
+        return Codes(t["id"].to_numpy(), np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(t.num_rows, -1), t["norm"].to_numpy())
+
+    def scanned(at: int, loaded: Codes, b: pa.RecordBatch):
+        for q, (names, near) in zip(b.column(2).to_pylist(), loaded.nearest(matrix(b.column(5)), books, share, measure)):
+            yield q, at, names.tolist(), near.tolist()
+
+    schema = pa.schema([("query_id", pa.int64()), ("block", pa.int32()), ("names", pa.list_(pa.int64())), ("near", pa.list_(pa.float32()))])
+    near = materialise(passing_by(codes.unionByName(asked), codes_of, scanned, "query_id long, block int, names array<long>, near array<float>", schema), "near")
+    bound = near.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("all")).select(F.col("query_id").alias("q"), F.coalesce(F.get("all", F.lit(reranked - 1)), F.array_min("all")).alias("bound"))
+    kept = near.join(bound, F.col("query_id") == F.col("q")).select("query_id", "block", F.transform(F.filter(F.arrays_zip("names", "near"), lambda x: x["near"] >= F.col("bound")), lambda x: x["names"]).alias("names")).filter(F.size("names") > 0)
+
+    vectors = dealt.select("block", kind(0), "id", "codes", "vector", null("array<bigint>", "names"))
+    wanted = kept.join(queries.select(F.col("id").alias("query_id"), "vector"), "query_id").select("block", kind(1), F.col("query_id").alias("id"), null("binary", "codes"), "vector", "names")
+
+    def vectors_of(t: pa.Table) -> Vectors:
+        return Vectors(t["id"].to_numpy(), np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(t.num_rows, -1), matrix(t["vector"].combine_chunks()), k)
+
+    def ranked(at: int, loaded: Vectors, b: pa.RecordBatch):
+        for q, vector, names in zip(b.column(2).to_pylist(), matrix(b.column(4)), b.column(5).to_pylist()):
+            for i, s in loaded.nearest(q, vector, np.array(names, np.int64), k, measure):
+                yield q, i, s
+
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    found = passing_by(vectors.unionByName(wanted), vectors_of, ranked, "query_id long, id long, score double", schema)
     # Each block has at most k rows for a query: the merge keeps the k first.
     row = F.struct((-F.col("score")).alias("s"), F.col("id"))
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("rows"))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("rows"))
     return best.select("query_id", F.posexplode("rows").alias("pos", "row")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("row.id").alias("id"), (-F.col("row.s")).alias("score"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import struct
@@ -362,14 +363,64 @@ class TestNgramJoin:
         ids = [r.doc_id for r in stays.collect()]
         assert sorted(i for i in ids if i is not None) == sorted(k for k, c in classes.items() if k == c) and ids.count(None) == 1
 
-    def test_recall_and_components(self, spark):
-        d = ngram_join.depth()
-        assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
-        edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
+    def test_prefixes(self, spark):
+        rng = np.random.default_rng(16)
+        least = ngram_join.shortest()
+        assert 1 - (1 - 0.8**least) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (least + 1)) ** ngram_join.TREES
+        head, tail = ngram_join.signatures(np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 32, 8)
+        assert len(set(head.tolist())) == 32 and head.dtype == np.int64
+        # Few different hashes, so that prefixes of all lengths are shared.
+        values = rng.integers(0, 3, (200, 3, 8)).astype(">u2")
+        packed = values.view(">u8").astype(np.uint64).view(np.int64)
+        rows = [(bytes([k]), 1, 1, 40, packed[k, :, 0].tolist(), packed[k, :, 1].tolist()) for k in range(200)]
+        nodes = spark.createDataFrame(rows, "node binary, doc long, copies long, n_grams long, heads array<long>, tails array<long>").repartition(4)
+        a, b = values[:, None], values[None, :]
+        common = np.cumprod(a == b, axis=3).sum(3)
+        for k in range(200):
+            common[k, k] = 0
+        for recall in (0.9, 0.99):
+            least = ngram_join.shortest(0.95, 3, 8, recall)
+            longest = common.max(1)
+            pairs = set()
+            for x in range(200):
+                d = 8
+                while d > least and math.prod(1 - 0.95 ** max(least, min(d, m)) for m in longest[x]) > 1 - recall:
+                    d -= 1
+                pairs |= {frozenset((x, y)) for y in range(200) if y != x and any(common[x, y, t] >= min(d, longest[x, t]) >= least for t in range(3))}
+            parent = list(range(200))
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for x, y in map(sorted, pairs):
+                parent[max(root(x), root(y))] = min(root(x), root(y))
+            found = {r.node[0]: r.root[0] for r in components.components(ngram_join._forest(nodes, 0.95, 3, 8, recall)).collect()}
+            whole = {k for p in pairs for k in p}
+            # Rows at a task's border may add candidates, and none may be missing.
+            assert whole <= set(found) and all(found[x] == found[y] for x, y in map(sorted, pairs))
+            assert len(set(found.values())) >= 0.5 * len({root(x) for x in whole})
+
+    def test_components(self, spark):
+        edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(1000, 1000 + k) for k in range(1, 300)]
         found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-        assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+        assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100} | {1000 + k: 1000 for k in range(300)}
         assert ngram_join.join(docs(spark, [])).count() == 0
 
+    def test_recall(self, spark):
+        """Pairs just above the threshold are found: 300 of them, each alone."""
+        rng = random.Random(17)
+        texts = []
+        for k in range(300):
+            w = [f"w{k}_{j}" for j in range(rng.randint(60, 120))]
+            for n in range(len(w), 0, -1):
+                if 5 * (n - 4) >= 4 * (len(w) - 4):
+                    least = n
+            texts += [" ".join(w), " ".join(w[:least])]
+        rows = ngram_join.join(docs(spark, texts)).collect()
+        assert [(r.doc_id // 2 * 2, 1) for r in rows] == [(r.class_id, r.n_links) for r in rows]
+
 
 def brute_dedup(rows, length):
     seen, out = set(), []
@@ -478,12 +529,47 @@ class TestQuality:
         counts = collections.Counter()
         for _ in range(20_000):
             bad = rng.random() < 0.2
-            counts[tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < (f if bad else 0.005) else 1) for f in (0.9, 0.7, 0.5, 0.8))] += 1
+            counts[tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < (f if bad else g) else 1) for f, g in ((0.9, 0.02), (0.7, 0.01), (0.5, 0.1), (0.8, 0.05)))] += 1
         posterior, labellers = quality.expectation_maximisation(counts)
-        assert all(abs(x["finds"] - f) < 0.06 for x, f in zip(labellers, (0.9, 0.7, 0.5, 0.8)))
+        for x, (f, g) in zip(labellers, ((0.9, 0.02), (0.7, 0.01), (0.5, 0.1), (0.8, 0.05))):
+            assert abs(x["finds"] - f) < 0.06 and abs(1 - x["spares"] - g) < 0.02
         assert posterior[-1, -1, -1, -1] < 0.01 and posterior[1, 1, 1, 1] > 0.9
+        # One labeller that errs often does not make a text bad; a surer one against it does not either.
+        assert posterior[1, 1, -1, 1] > 0.9 and posterior[-1, -1, 1, 1] < 0.5
         assert quality.expectation_maximisation({})[0] == {}
 
+    def test_em_text_by_text(self):
+        rng = random.Random(18)
+        texts = [tuple(rng.choice([-1, 0, 1, 1, 1]) for _ in range(3)) for _ in range(80)]
+        finds, spares, prior = [quality.START[0]] * 3, [quality.START[1]] * 3, 0.8
+        for _ in range(quality.ROUNDS):
+            q = []
+            for t in texts:
+                good, bad = prior, 1 - prior
+                for k, x in enumerate(t):
+                    good *= 1 if not x else spares[k] if x > 0 else 1 - spares[k]
+                    bad *= 1 if not x else 1 - finds[k] if x > 0 else finds[k]
+                q.append(good / (good + bad))
+            voted = [(t, x) for t, x in zip(texts, q) if any(t)]
+            for k in range(3):
+                finds[k] = (sum(1 - x for t, x in voted if t[k] < 0) + 1) / (sum(1 - x for t, x in voted if t[k]) + 2)
+                spares[k] = (sum(x for t, x in voted if t[k] > 0) + 1) / (sum(x for t, x in voted if t[k]) + 2)
+            prior = (sum(x for _, x in voted) + 1) / (len(voted) + 2)
+        posterior, found = quality.expectation_maximisation(collections.Counter(texts))
+        assert np.allclose([x["finds"] for x in found], finds) and np.allclose([x["spares"] for x in found], spares)
+        assert np.allclose([posterior[t] for t, _ in voted], [x for _, x in voted])
+
+    def test_labellers_differ(self, spark):
+        """No two labellers vote alike, each votes bad somewhere, and their weights decide: not every bad vote makes a text bad."""
+        texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+        patterns = [quality.pattern(t) for t in texts]
+        bad = [frozenset(k for k, p in enumerate(patterns) if p[j] < 0) for j in range(len(quality.LABELLERS))]
+        assert all(bad) and len(set(bad)) == len(bad)
+        posterior, found = quality.expectation_maximisation(collections.Counter(patterns))
+        any_bad = [p for p in patterns if min(p) < 0]
+        assert 0.05 * len(any_bad) < sum(posterior[p] >= 0.5 for p in any_bad) < 0.5 * len(any_bad)
+        assert max(x["spares"] for x in found) - min(x["spares"] for x in found) > 0.01
+
     def test_empty_table(self, spark):
         assert quality.score(docs(spark, []), quality.fit(docs(spark, []))).count() == 0
 
@@ -511,7 +597,7 @@ class TestNearest:
         indexed, books = ann.index(df, books=8)
         assert indexed.count() == 600
         found = collections.defaultdict(list)
-        for r in ann.search(indexed, books, indexed.filter("id % 20 = 0"), block=200, query_block=16, reranked=64).orderBy("query_id", "rank").collect():
+        for r in ann.search(indexed, books, indexed.filter("id % 20 = 0"), block=200 * 16 * 8, reranked=256).orderBy("query_id", "rank").collect():
             found[r.query_id].append((r.id, r.score))
         want = self.brute(vectors, 20)
         assert set(found) == set(want) and all(len(v) == 20 for v in found.values())
@@ -519,6 +605,24 @@ class TestNearest:
         assert hits / sum(map(len, want.values())) > 0.95
         assert [i for i, _ in found[20]] == list(range(300, 320))  # ties to smaller ids
 
+    @pytest.mark.parametrize("clusters", [0, 50])
+    def test_recall_with_the_querys_parameters(self, spark, clusters):
+        rng = np.random.default_rng(19)
+        x = rng.standard_normal((16_000, 64))
+        if clusters:
+            x = 0.3 * x + rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))]
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        indexed, books = ann.index(df)
+        found = collections.defaultdict(set)
+        for r in ann.search(indexed, books, indexed.filter("id % 20 = 0"), block=4_000 * 64 * 8).collect():
+            found[r.query_id].add(r.id)
+        hits = 0
+        for q in range(0, len(x), 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hits / len(x) >= 0.95
+
     def test_few_and_none(self, spark):
         few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
         indexed, books = ann.index(few)

@@ -41,7 +41,7 @@ GRAMS, THRESHOLD = 5, 0.8
 #: Hashes of a signature are of 16 bits: prefixes that are equal by chance only make candidates.
 TREES, DEEPEST, RECALL = 32, 8, 0.99999
 #: Grams and nodes of a block of a candidate group, about (nodes are dealt to blocks by their hashes).
-BLOCK, NODES = 400_000, 1_000
+BLOCK, NODES = 400_000, 500
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

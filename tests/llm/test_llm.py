@@ -149,6 +149,37 @@ class TestAudio:
         want = np.convolve(spread, h)[8 * max(up, down) :][: len(spread)][::down]
         assert np.allclose(audio.resample(x, up, down), want, atol=1e-5)
 
+    def test_log_mel(self):
+        """Frame by frame and filter by filter, with a plain Fourier sum."""
+        x = np.random.RandomState(1).randn(1500).astype(np.float32) * 0.3
+        mel, energy = audio.log_mel(x)
+        hz = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * math.log10(1 + 4000 / 700), audio.MELS + 2)]
+        assert len(mel) == len(energy) == 1 + math.ceil((1500 - audio.FRAME) / audio.HOP)
+        for k in (0, 7, len(mel) - 1):
+            frame = np.zeros(audio.FRAME)
+            part = x[k * audio.HOP : k * audio.HOP + audio.FRAME]
+            frame[: len(part)] = part
+            assert abs(energy[k] - 10 * math.log10(sum(v * v for v in frame) / audio.FRAME + 1e-10)) < 1e-3
+            shaped = [v * (0.5 - 0.5 * math.cos(2 * math.pi * j / (audio.FRAME - 1))) for j, v in enumerate(frame)]
+            power = [abs(sum(v * np.exp(-2j * math.pi * b * j / audio.FFT) for j, v in enumerate(shaped))) ** 2 for b in range(audio.FFT // 2 + 1)]
+            for m in range(audio.MELS):
+                total = 0.0
+                for b, p in enumerate(power):
+                    f = b * audio.TARGET / audio.FFT
+                    total += p * max(0.0, min((f - hz[m]) / (hz[m + 1] - hz[m]), (hz[m + 2] - f) / (hz[m + 2] - hz[m + 1])))
+                assert abs(float(mel[k, m]) - math.log(total + 1e-6)) < 0.02
+
+    def test_at_its_own_rate(self):
+        """8 kHz needs no resampling: the features are those of the samples themselves."""
+        payload = bytes(np.random.RandomState(2).randint(0, 256, 4000, dtype=np.uint8))
+        x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+        mel, energy = audio.log_mel(audio.resample(x, 1, 1))
+        got, n, found = audio.features(8000, payload)
+        assert n == len(mel) and got == audio.tensors(mel) and len(found) == len(audio.segments(energy))
+
+    def test_empty_table(self, spark):
+        assert audio.audio_columns(docs(spark, []).withColumnRenamed("text", "payload")).count() == 0
+
     def test_hysteresis(self):
         energy = np.array([-30, -10, -15, -15, -17, -20, -10, -30, -16.0])
         assert audio.segments(energy) == [(1, 5)]
@@ -279,6 +310,54 @@ class TestPii:
         assert "bob@ex.com" not in clean[200] and "zorblat" not in clean[200] and "[EMAIL]" in clean[200] and clean[0] == texts[0] and clean[207] is None
         assert pii.find(docs(spark, [])).count() == 0
 
+    def test_terms_against_brute_force(self, spark):
+        rng = random.Random(21)
+        words = ["red", "green", "blue", "grey", "white"]
+        texts = []
+        for k in range(300):
+            t = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+            if rng.random() < 0.3:
+                n = rng.randint(0, 9)
+                t[rng.randint(0, len(t)) : 0] = [rng.choice([f"name{n}", f"boss{n % 3}", "red"]), f"u{n}@ex.com" if rng.random() < 0.7 else f"10.0.0.{n}", rng.choice([f"Desk{n}", "blue", f"tel{n}"])]
+            texts.append(" ".join(t))
+        token = re.compile(r"\w+")
+        total, n_t, n_e, n_te = 0, collections.Counter(), collections.Counter(), collections.Counter()
+        of_doc = []
+        for t in texts:
+            spans = self.brute(t)
+            every = [(m.start(), m.end(), m[0].lower()) for m in token.finditer(t)]
+            total += len(every)
+            n_t.update(w for *_, w in every)
+            outside = [w for w in every if all(w[1] <= a or w[0] >= b for a, _, b in spans)]
+            near = set()
+            for a, kind, b in spans:
+                entity = (kind, t[a:b].lower())
+                left, right = [w for w in outside if w[1] <= a][-pii.REACH :], [w for w in outside if w[0] >= b][: pii.REACH]
+                near |= {(entity, w) for w in left + right}
+            n_e.update(e for e, _ in near)
+            n_te.update((w[2], e) for e, w in near)
+            of_doc.append((spans, outside, {e for e, _ in near}))
+        telling = set()
+        for (w, e), hits in n_te.items():
+            draws, chance = n_t[w], (n_e[e] / total) ** (1 - pii.SHARE)
+            missed = draws - hits
+            surprise = hits * math.log(hits / (draws * chance)) + (missed * math.log(missed / (draws * (1 - chance))) if missed else 0)
+            if hits >= draws * chance and surprise > -math.log(1 - pii.SURE):
+                telling.add((w, e))
+        assert len(telling) > 10
+        got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.spans) for r in pii.find(docs(spark, texts)).collect()}
+        for k, (spans, outside, held) in enumerate(of_doc):
+            terms = [(a, pii.KINDS.index("term"), b) for a, b, w in outside if any((w, e) in telling for e in held)]
+            assert got[k] == sorted(spans + terms), texts[k]
+
+    def test_odd_rows(self, spark):
+        df = same_twice(spark, ["a@b.cc x", None, "", "1.2.3.4", "q", "w", "9"]).unionByName(spark.createDataFrame([(None, "a@b.cc z", None, None)], SCHEMA))
+        found = pii.find(df).collect()
+        assert len(found) == df.count() and sum(r.doc_id is None for r in found) == 2
+        clean = pii.sanitise(df)
+        assert clean.columns == df.columns and sorted(str(r.text) for r in clean.collect()) == sorted(["[EMAIL] x", "None", "", "[IP]", "q", "w", "w", "9", "lone text", "[EMAIL] z"])
+        assert pii.sanitise(docs(spark, [])).count() == 0
+
     def test_terms_of_one_signature(self, spark):
         rng = random.Random(10)
         fill = lambda n: " ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(n))
@@ -662,9 +741,11 @@ class TestQueries:
         for r in QUERIES["op3_pii"](spark, self.D).collect():
             base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans.brute(texts[r.doc_id])]
             assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r.spans.split(","))
-        coder = packing.word_tokenizer(P.path("word_bpe_49k.json"))
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
         for r in QUERIES["op9_packing"](spark, self.D).collect():
-            ids = coder.encode([texts[r.doc_id]])[0] + struct.pack("<I", 1)
+            ids = np.array(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, "<u4").tobytes() + struct.pack("<I", 1)
             assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
 
     def test_pipeline(self, spark):
@@ -679,3 +760,26 @@ class TestQueries:
         ids = {r.doc_id for r in df.collect()}
         rows = corpus_pipeline.run(spark, self.D).collect()
         assert {r.doc_id for r in rows} == ids and 0.6 * documents.count() < len(ids) < documents.count()
+
+    def test_stages_with_odd_rows(self, spark):
+        """Nulls, empty texts, repeated rows, clashing names and empty tables: each stage keeps the columns, and what it must do is done."""
+        import corpus_pipeline
+
+        stages = dict(corpus_pipeline.STAGES)
+        schema = "doc_id long, text string, lang string, source string, n_chars long, id string, spans string, rest0 string"
+        prose = texts_like(22, 30)
+        rows = [(k, t, "en", "s", len(t), "a", "b", "c") for k, t in enumerate(prose)]
+        rows += [rows[3], (None, prose[4], "en", None, None, None, None, None), (None, None, None, None, None, None, None, None), (90, None, "en", "s", 0, "", "", ""), (91, "", "en", "s", 0, "", "", ""), (92, f"{prose[5]} me@ex.com", "en", "s", 5, "", "", "")]
+        df, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+        for name, stage in list(stages.items())[:-1]:
+            assert stage(spark, empty, self.D).count() == 0, name
+            got = stage(spark, df, self.D)
+            assert [f.dataType for f in got.schema] == [f.dataType for f in df.schema] and got.columns == df.columns, name
+        assert list(stages.values())[-1](spark, empty, self.D).count() == 0
+        kept = collections.Counter((r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, df, self.D).collect())
+        assert kept[3, prose[3]] == 1 and kept[None, prose[4]] == 0 and kept[None, None] == 1 and kept[91, ""] == 1
+        after = stages["suffix-array dedup"](spark, df, self.D).collect()
+        assert len(after) == len(rows) and sorted(len(r.text or "") for r in after if r.doc_id == 3)[0] < 100 <= len(prose[3])
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
+        assert [r.text for r in stages["PII"](spark, df, self.D).collect() if r.doc_id == 92][0].endswith("[EMAIL]")
+        assert sum(r.length for r in list(stages.values())[-1](spark, df, self.D).collect() if r.doc_id in (90, 91)) == 2

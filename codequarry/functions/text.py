@@ -25,10 +25,11 @@ STOP_WORDS = (
 
 
 def split_identifier(name: Column) -> Column:
-    """Parts of camel, Pascal, acronym, digit and snake case, lower case and distinct, then the whole word."""
-    spaced = F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1 $2"), r"([a-z0-9])([A-Z])", "$1 $2")
-    parts = F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return F.array_distinct(F.concat(parts, F.array(F.lower(name))))
+    """Parts of camel, Pascal, acronym, digit and snake case, lower case and distinct, then the whole word; none of a blank name."""
+    bare = F.regexp_replace(name, r"^\s+|\s+$", "")
+    spaced = F.regexp_replace(F.regexp_replace(bare, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"), r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2")
+    parts = F.concat(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), F.array(F.lower(bare)))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
 def terms(text: Column) -> Column:
@@ -82,9 +83,12 @@ def injection_lines(text: Column) -> Column:
 
 
 def path_tokens(path: Column) -> Column:
-    """Parts of a path without a leading src and without the extension."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"^src/", ""), r"\.[^./]+$", "")
-    return F.array_distinct(F.filter(F.split(F.lower(bare), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    """Folders but a leading src, and the file's name without its ending, each whole and then in its parts, lower case and distinct."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    parts = F.when(F.get(parts, F.lit(0)) == "src", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    named = F.transform(parts, lambda x, k: F.when(k == F.size(parts) - 1, F.regexp_replace(x, r"^(.+)\.[^.]+$", "$1")).otherwise(x))
+    tokens = F.flatten(F.transform(named, lambda x: F.concat(F.array(F.lower(F.trim(x))), split_identifier(x))))
+    return F.array_distinct(F.filter(tokens, lambda x: x != ""))
 
 
 def module_candidates(path: Column) -> Column:

@@ -33,11 +33,10 @@ def ignore_regex(patterns: list[str]) -> list[tuple[str, bool]]:
     return out
 
 
-def tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """path, size, mtime_ns, language and content of the files below `root` that may be indexed.
-
-    Denied paths, ignored ones, binaries and large files go before contents are read (length and path are the file listing's own columns)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _listed(spark: SparkSession, root: str, ignore: list[str] | None, max_bytes: int, only: list[str] | None) -> DataFrame:
+    """The file source's rows below `root` that no rule excludes, with the path from the root as `rel`. Contents are read only if a plan uses them."""
+    escaped = None if only is None else [f"{root.rstrip('/')}/" + re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p in only]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if escaped is None else escaped)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString()
     path = F.regexp_replace(F.col("path"), "^" + re.escape(base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file:///") else base) + "/?", "")
@@ -47,9 +46,25 @@ def tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_by
     for pattern, exclude in ignore_regex(ignore or []):
         hit = F.col("rel").rlike(pattern)
         gone = (gone | hit) if exclude else (gone & ~hit)
-    kept = listing.filter(~gone).filter(~T.probably_binary(F.col("content")))
-    found = kept.select(F.col("rel").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), T.language(F.col("rel")).alias("language"), "content")
-    return found.withColumn("__n", F.assert_true(F.lit(max_files > 0))).drop("__n")
+    return listing.filter(~gone)
+
+
+_ROW = "path string, size long, mtime_ns long, language string"
+
+
+def listing(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, size, mtime_ns and language of what `tree` reads (and of binaries), without reading any content."""
+    return _listed(spark, root, ignore, max_bytes, None).select(F.col("rel").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), T.language(F.col("rel")).alias("language"))
+
+
+def tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES, only: list[str] | None = None) -> DataFrame:
+    """path, size, mtime_ns, language and content of the files below `root` (or of `only` some) that may be indexed.
+
+    Denied paths, ignored ones and large files go before contents are read (length and path are the file listing's own columns), then binaries."""
+    if only is not None and not only:
+        return spark.createDataFrame([], _ROW + ", content binary")
+    kept = _listed(spark, root, ignore, max_bytes, only).filter(~T.probably_binary(F.col("content")))
+    return kept.select(F.col("rel").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), T.language(F.col("rel")).alias("language"), "content")
 
 
 def count_guard(listing: DataFrame, max_files: int = MAX_FILES) -> None:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,25 @@ def test_incremental_equals_full_and_answers(spark, tree, tmp_path_factory):
             snap.find_symbols("x", limit=bad)
 
 
+def test_unchanged_files_are_not_read_again(spark, tree, tmp_path_factory):
+    store = Store(spark, f"file://{tmp_path_factory.mktemp('store')}", "repo")
+    util = tree / "src" / "pkg" / "util.py"
+    for f in tree.rglob("*.py"):
+        os.utime(f, (1_600_000_000, 1_600_000_000))
+    build.index(spark, str(tree), store)
+    # The same size and time: the build must not notice, since it must not look.
+    util.write_text(util.read_text().replace("quiet", "loudx"))
+    os.utime(util, (1_600_000_000, 1_600_000_000))
+    (tree / "src" / "app.py").write_text(APP + "\ndef more():\n    return shout(1)\n")
+    (tree / "src" / "odd [name].py").write_text("def odd():\n    return 1\n")
+    (tree / "tests" / "test_app.py").unlink()
+    build.index(spark, str(tree), store)
+    snap = api.Snapshot(store)
+    assert sorted(r.name for r in snap.table("symbols").collect() if not r.name.startswith("<")) == ["App", "Base", "main", "more", "odd", "quiet", "run", "shout", "stop"]
+    assert {r.path for r in snap.table("files").collect()} == {"pyproject.toml", "src/app.py", "src/odd [name].py", "src/pkg/util.py"}
+    assert "quiet" in [r.text for r in snap.table("module_text").collect() if r.path == "src/pkg/util.py"][0]
+
+
 def test_memory(spark, tmp_path):
     memory = api.Memory(Store(spark, f"file://{tmp_path}", "memory"))
     rows = [("s", "n", "a", 1, "red fox", 0.0, None), ("s", "n", "a", 2, "red fox runs", 1.0, 50.0), ("s", "n", "b", 1, "token = abcdefgh", 0.0, None)]

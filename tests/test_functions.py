@@ -10,11 +10,17 @@ def one(spark, column, **values):
 
 
 def test_identifiers(spark):
-    want = {"parseV2Config": ["parse", "v2", "config", "parsev2config"], "HTTPServer": ["http", "server", "httpserver"], "snake_case": ["snake", "case", "snake_case"], "x": ["x"]}
+    want = {"parseV2Config": ["parse", "v2", "config", "parsev2config"], "HTTPServer": ["http", "server", "httpserver"], "snake_case": ["snake", "case", "snake_case"], "x": ["x"], "": [], "  ": [], " aB ": ["a", "b", "ab"], "ÉtéÀÉa": ["été", "à", "éa", "étéàéa"], "a2B": ["a2", "b", "a2b"]}
     for name, parts in want.items():
         assert one(spark, T.split_identifier(F.col("n")), n=name) == parts
 
 
+def test_path_parts(spark):
+    want = {"src/my_dir/HTTPServer.py": ["my_dir", "my", "dir", "httpserver", "http", "server"], "src": [], "a/src/x.test.py": ["a", "src", "x.test", "x", "test"], "": [], "lib\\.env": ["lib", ".env", "env"]}
+    for path, parts in want.items():
+        assert one(spark, T.path_tokens(F.col("p")), p=path) == parts, path
+
+
 def test_tokens_and_refs(spark):
     for text, n in (("", 0), ("a", 1), ("abcd", 1), ("abcde", 2), ("é" * 4, 2)):
         assert one(spark, T.estimate_tokens(F.col("t")), t=text) == n
@@ -39,7 +45,7 @@ def test_paths(spark):
         got = tuple(one(spark, f(F.col("p")), p=path) for f in (T.test_path_graph, T.test_path_expansion, T.test_path_search))
         assert got == want, path
     assert one(spark, T.module_candidates(F.col("p")), p="src/pkg/__init__.py") == ["src.pkg", "pkg"]
-    assert one(spark, T.path_tokens(F.col("p")), p="src/app/user_store.py") == ["app", "user", "store"]
+    assert one(spark, T.path_tokens(F.col("p")), p="src/app/user_store.py") == ["app", "user_store", "user", "store"]
     assert one(spark, T.namespace_ancestors(F.lit("A.B.C"))) == ["A.B.C", "A.B", "A"]
     assert one(spark, T.language(F.col("p")), p="a/B.CS") == "c_sharp" and one(spark, T.language(F.col("p")), p="README") is None
 

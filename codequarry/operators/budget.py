@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from .folds import ordered_fold
 
 
 def first_fit(costs: Column, budget: int) -> Column:
@@ -16,12 +19,14 @@ def first_fit(costs: Column, budget: int) -> Column:
 
 
 def pack_first_fit(items: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Items with `taken`, per group, in order. A group is one response's candidates, which limits bound."""
-    entry = F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"), F.struct(*items.columns).alias("row"))
-    grouped = items.groupBy(F.col(group).alias("g")).agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-    taken = first_fit(F.transform("xs", lambda x: x["c"]), budget)
-    zipped = F.explode(F.arrays_zip(F.col("xs"), taken.alias("taken")))
-    return grouped.select(zipped.alias("z")).select("z.xs.row.*", F.col("z.taken").alias("taken"))
+    """Items with `taken`, per group, in order. Rows stream by; of a group only the used sum is kept."""
+    at = items.columns.index(cost)
+
+    def step(used, row):
+        ok = used is None or used + row[at] <= budget
+        return ((used or 0) + row[at] if ok else used), (*row, ok)
+
+    return ordered_fold(items, [group], [order], lambda: None, step, StructType([*items.schema, StructField("taken", BooleanType())]))
 
 
 def prefix_fit(items: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:

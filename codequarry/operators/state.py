@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+
+from .folds import ordered_fold
 
 KEY = ["scope", "namespace", "key"]
 
@@ -42,63 +48,69 @@ def get(entries: DataFrame, requests: DataFrame, now: float, keys: list[str] = K
     return found.select(*keys, status.alias("status"), F.when(status == "found", F.col("value")).alias("value"))
 
 
-def _fold(events: DataFrame, keys: list[str], order: list[str], start: Column, step, finish) -> DataFrame:
-    """Ordered fold of each key's events, in the JVM. Keys are those of users or resources; a key's events are one group."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in events.columns if c not in order and c not in keys])))
-    return events.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.explode(F.aggregate("rows", start, step, finish)).alias("r")).select(*keys, "r.*")
-
-
 def rate_limit(events: DataFrame, key: str, time: str, limit: int, window: float, id_col: str = "id") -> DataFrame:
     """(key, id, accepted): an event is accepted if fewer than `limit` accepted ones lie within the window before it, its border included."""
-    e = events.select(key, F.col(time).cast("double").alias("t"), F.col(id_col).alias("id"))
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out"))
+    e = events.select(key, F.col(time).cast("double").alias("t"), F.col(id_col).cast("long").alias("id"))
+    schema = StructType([e.schema[key], StructField("id", LongType()), StructField("accepted", BooleanType())])
 
-    def step(acc, x):
-        kept = F.filter(acc["kept"], lambda t: t >= x["t"] - window)
-        ok = F.size(kept) < limit
-        return F.struct(F.when(ok, F.array_append(kept, x["t"])).otherwise(kept).alias("kept"), F.array_append(acc["out"], F.struct(x["id"].cast("long").alias("id"), ok.alias("accepted"))).alias("out"))
+    def step(kept, row):
+        name, t, i = row
+        while kept and kept[0] < t - window:
+            kept.popleft()
+        ok = len(kept) < limit
+        if ok:
+            kept.append(t)
+        return kept, (name, i, ok)
 
-    return _fold(e, [key], ["t", "id"], start, step, lambda acc: acc["out"])
+    return ordered_fold(e, [key], ["t", "id"], deque, step, schema)
 
 
 def locks(requests: DataFrame, timeout: float) -> DataFrame:
     """(resource_key, seq, agent_id, acquired): a lock is free when it has expired by now or the same agent holds it."""
     r = requests.select("resource_key", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"), "agent_id")
-    start = F.struct(F.lit(None).cast("string").alias("held"), F.lit(-1e300).alias("until"), F.array().cast("array<struct<seq:bigint,agent_id:string,acquired:boolean>>").alias("out"))
+    schema = StructType([r.schema["resource_key"], StructField("seq", LongType()), StructField("agent_id", StringType()), StructField("acquired", BooleanType())])
 
-    def step(acc, x):
-        ok = (acc["until"] <= x["at"]) | acc["held"].eqNullSafe(x["agent_id"])
-        out = F.array_append(acc["out"], F.struct(x["seq"].alias("seq"), x["agent_id"].alias("agent_id"), ok.alias("acquired")))
-        return F.struct(F.when(ok, x["agent_id"]).otherwise(acc["held"]).alias("held"), F.when(ok, x["at"] + timeout).otherwise(acc["until"]).alias("until"), out.alias("out"))
+    def step(state, row):
+        (held, until), (key, at, seq, agent) = state, row
+        ok = until <= at or held == agent
+        return ((agent, at + timeout) if ok else state), (key, seq, agent, ok)
 
-    return _fold(r, ["resource_key"], ["at", "seq"], start, step, lambda acc: acc["out"])
+    return ordered_fold(r, ["resource_key"], ["at", "seq"], lambda: (None, -math.inf), step, schema)
 
 
 def ledger(submissions: DataFrame) -> DataFrame:
     """(sig_hash, status, confirmations, n_submissions) after each signature's submissions in order.
 
-    The first one asserts. The same answer from another run confirms, another answer from another run is a conflict, which stays; the
-    same run may change its answer, which asserts anew."""
-    s = submissions.select("sig_hash", F.col("seq").cast("long").alias("seq"), "run_id", "answer")
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("run"), F.lit(None).cast("string").alias("answer"))
-
-    def step(acc, x):
-        first, stuck = acc["status"].isNull(), acc["status"] == "conflicted"
-        same, other = acc["answer"] == x["answer"], acc["run"] != x["run_id"]
-        status = F.when(first, "asserted").when(stuck, "conflicted").when(same & other, "confirmed").when(same, acc["status"]).when(other, "conflicted").otherwise("asserted")
-        n = F.when(first, 1).when(stuck, acc["n"]).when(same & other, acc["n"] + 1).when(same | other, acc["n"]).otherwise(1)
-        answer = F.when(first | (~stuck & ~other), x["answer"]).otherwise(acc["answer"])
-        return F.struct(status.alias("status"), n.alias("n"), x["run_id"].alias("run"), answer.alias("answer"))
-
-    rows = F.array_sort(F.collect_list(F.struct("seq", "run_id", "answer")))
-    folded = s.groupBy("sig_hash").agg(rows.alias("rows")).select("sig_hash", F.aggregate("rows", start, step).alias("f"), F.size("rows").cast("long").alias("n_submissions"))
-    return folded.select("sig_hash", "f.status", F.col("f.n").cast("long").alias("confirmations"), "n_submissions")
-
-
-def best_card(cards: DataFrame, score: str = "score") -> DataFrame:
-    """The card that is confirmed, then the most alike, then the most confirmed, then the first."""
-    order = F.struct((F.col("status") == "confirmed").alias("c"), F.round(score, 6).alias("s"), F.col("confirmations"), (-F.col("card_id")).alias("i"))
-    return cards.orderBy(order.desc()).limit(1)
+    A submission has `answers` and `decoys` (arrays), or retires the card (`retire`). The first one asserts. An answer that was a decoy, or
+    the reverse, is a conflict, whatever the card's state. A retired card is asserted anew by the next submission. Otherwise a conflict
+    stays; the same answers from another run confirm; other answers from another run are a conflict, and from the same run they assert anew.
+    What a conflict brings does not replace the card's items."""
+    columns = submissions.columns
+    pick = lambda c, kind: F.col(c).cast(kind).alias(c) if c in columns else F.lit(None).cast(kind).alias(c)
+    answers = F.col("answers") if "answers" in columns else F.array("answer")
+    s = submissions.select("sig_hash", F.col("seq").cast("long").alias("seq"), "run_id", answers.cast("array<string>").alias("answers"), pick("decoys", "array<string>"), pick("retire", "boolean"))
+    schema = StructType([s.schema["sig_hash"], StructField("status", StringType()), StructField("confirmations", LongType()), StructField("n_submissions", LongType())])
+
+    def step(card, row):
+        _, _, run, answers, decoys, retire = row
+        status, n, last, known, wrong, total = card
+        new, bad = frozenset(answers or ()), frozenset(decoys or ())
+        total += 1
+        if status is None:
+            return ("asserted", 1, run, new, bad, total), None
+        if retire:
+            return ("retired", n, last, known, wrong, total), None
+        if known & bad or wrong & new:
+            return ("conflicted", n, run, known, wrong, total), None
+        if status == "retired":
+            return ("asserted", 1, run, new, bad, total), None
+        if status == "conflicted":
+            return (status, n, run, known, wrong, total), None
+        if known and known == new:
+            return ("confirmed", n + 1, run, new, bad, total) if last != run else (status, n, run, new, bad, total), None
+        return ("conflicted", n, run, known, wrong, total) if last != run else ("asserted", 1, run, new, bad, total), None
+
+    return ordered_fold(s, ["sig_hash"], ["seq"], lambda: (None, 0, None, frozenset(), frozenset(), 0), step, schema, lambda key, card: (key[0], card[0], card[1], card[5]))
 
 
 def evict(cards: DataFrame, most: int) -> DataFrame:

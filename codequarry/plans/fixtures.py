@@ -48,7 +48,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").filter("l_quantity >= 45")
+    line = table(spark, d, "lineitem")
     parts = table(spark, d, "part").count()
     target = F.when(F.col("l_linenumber") == 1, F.col("l_suppkey") % 7).otherwise((F.col("l_suppkey") * 17 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % parts)
     return line.groupBy(F.col("l_partkey").alias("source_symbol_id"), target.alias("target_symbol_id")).agg(
@@ -116,6 +116,8 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("run"), (F.col("o_orderkey") % 3).cast("string")).alias("run_id"),
         F.concat(F.lit("a"), (F.col("o_orderkey") % 2).cast("string")).alias("answer"),
+        F.concat(F.lit("a"), (F.col("o_orderkey") % 7 + 2 - F.when(F.col("o_orderkey") % 41 == 0, 2).otherwise(0)).cast("string")).alias("decoy"),
+        (F.col("o_orderkey") % 13 == 0).alias("retire"),
         F.col("o_orderpriority").alias("agent"),
     )
 
@@ -139,13 +141,13 @@ DUCKDB = {
     "fx_lines": "SELECT path, CAST(i AS BIGINT) AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT path, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM fx_files)",
     "fx_terms": r"SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM fx_files) GROUP BY path, term",
     "fx_symbols": "SELECT p_partkey AS symbol_id, concat('src/', lower(replace(p_brand, '#', '_')), '.py') AS path, replace(p_name, ' ', '_') AS name, concat(replace(p_brand, '#', '_'), '.', replace(p_name, ' ', '_')) AS qualified_name, CASE p_size % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'function' ELSE 'interface' END AS kind, CAST(p_size * 10 AS BIGINT) AS start_line, CAST(p_size * 10 + p_partkey % 37 AS BIGINT) AS end_line, p_partkey % 11 = 0 AS is_private FROM part",
-    "fx_edges": "SELECT l_partkey AS source_symbol_id, CASE WHEN l_linenumber = 1 THEN l_suppkey % 7 ELSE (l_suppkey * 17 + l_partkey * 3 + l_linenumber) % (SELECT count(*) FROM part) END AS target_symbol_id, 1.0e0 - 5.0e0 * max(l_discount) AS confidence, CASE WHEN min(l_returnflag) = 'A' THEN 'ambiguous' ELSE 'resolved' END AS status, min(l_linestatus) AS edge_kind, 'lexical' AS backend, count(*) AS n_calls FROM lineitem WHERE l_quantity >= 45 GROUP BY 1, 2",
+    "fx_edges": "SELECT l_partkey AS source_symbol_id, CASE WHEN l_linenumber = 1 THEN l_suppkey % 7 ELSE (l_suppkey * 17 + l_partkey * 3 + l_linenumber) % (SELECT count(*) FROM part) END AS target_symbol_id, 1.0e0 - 5.0e0 * max(l_discount) AS confidence, CASE WHEN min(l_returnflag) = 'A' THEN 'ambiguous' ELSE 'resolved' END AS status, min(l_linestatus) AS edge_kind, 'lexical' AS backend, count(*) AS n_calls FROM lineitem GROUP BY 1, 2",
     "fx_imports": "SELECT DISTINCT concat('src/c', CAST(o_custkey % 40 AS STRING), '.py') AS path, concat('m', CAST(o_orderkey % 60 AS STRING)) AS module FROM orders",
     "fx_hierarchy": "SELECT concat('S', CAST(s_suppkey AS STRING)) AS class_name, concat('N', CAST(s_nationkey AS STRING)) AS parent_name FROM supplier UNION ALL SELECT concat('N', CAST(n_nationkey AS STRING)), concat('R', CAST(n_regionkey AS STRING)) FROM nation",
     "fx_calls": "SELECT l.l_orderkey AS call_id, concat('src/', lower(replace(p.p_brand, '#', '_')), '.py') AS path, replace(p.p_name, ' ', '_') AS call_name, min(l.l_linenumber) AS arg_count FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1, 2, 3",
     "fx_audit": "SELECT event_id AS id, ts, concat('u', CAST(user_id AS STRING)) AS agent_id, event_type AS tool_name, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 100 THEN 'DENIED' ELSE 'SUCCESS' END AS status, value AS duration_ms, props AS details_json FROM events",
     "fx_memory": "SELECT role AS scope, concat('c', CAST(conv_id AS STRING)) AS namespace, concat('k', CAST(turn % 3 AS STRING)) AS key, turn AS seq, text AS value, CAST(conv_id * 100 + turn AS DOUBLE) AS created_at, CASE WHEN turn % 4 = 0 THEN NULL ELSE CAST(conv_id * 100 + turn + 50 AS DOUBLE) END AS expires_at FROM conversations",
-    "fx_ledger": "SELECT concat('q', CAST(o_custkey % 50 AS STRING)) AS sig_hash, o_orderkey AS seq, concat('run', CAST(o_orderkey % 3 AS STRING)) AS run_id, concat('a', CAST(o_orderkey % 2 AS STRING)) AS answer, o_orderpriority AS agent FROM orders",
+    "fx_ledger": "SELECT concat('q', CAST(o_custkey % 50 AS STRING)) AS sig_hash, o_orderkey AS seq, concat('run', CAST(o_orderkey % 3 AS STRING)) AS run_id, concat('a', CAST(o_orderkey % 2 AS STRING)) AS answer, concat('a', CAST(o_orderkey % 7 + 2 - CASE WHEN o_orderkey % 41 = 0 THEN 2 ELSE 0 END AS STRING)) AS decoy, o_orderkey % 13 = 0 AS retire, o_orderpriority AS agent FROM orders",
     "fx_runs": "SELECT concat('B', CAST(l_suppkey % 3 AS STRING)) AS arm, l_orderkey % 200 AS task_id, l_linenumber AS seed, max(l_extendedprice) AS total_tokens, max(l_quantity) AS latency_seconds, min(l_returnflag) <> 'A' AS task_success FROM lineitem GROUP BY 1, 2, 3",
     "fx_gold": "SELECT d.lang AS task_id, d.doc_id, d.n_chars, greatest(coalesce(l.quality, 0) * 3 - coalesce(l.toxic, 0), 0) AS grade FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 }

@@ -100,26 +100,28 @@ def class_parent_join(spark, d):
     return lookup.parents(fx.hierarchy(spark, d), n.unionByName(r).withColumns({"path": F.lit(""), "start_line": F.lit(0)}))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY symbol_id) AS pos FROM fx_symbols WHERE kind = 'class'),
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY symbol_id) AS pos FROM fx_symbols),
  f AS (SELECT symbol_id, pos, row_number() OVER (PARTITION BY name ORDER BY pos) > 3 OR row_number() OVER (PARTITION BY qualified_name ORDER BY pos) > 1 AS deferred FROM r)
  SELECT symbol_id, pos, deferred, row_number() OVER (ORDER BY deferred, pos) AS new_pos FROM f""")
 def family_defer(spark, d):
-    ranked = fx.symbols(spark, d).filter("kind = 'class'").withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
+    ranked = fx.symbols(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
     return lookup.family_defer(ranked, 3).select("symbol_id", "pos", "deferred", F.col("new_pos").cast("long").alias("new_pos"))
 
 
-@query("""WITH r AS (SELECT symbol_id, path, row_number() OVER (ORDER BY symbol_id) AS pos FROM fx_symbols WHERE kind = 'class')
+@query("""WITH r AS (SELECT symbol_id, path, row_number() OVER (ORDER BY symbol_id) AS pos FROM fx_symbols)
  SELECT symbol_id, pos, CASE WHEN pos <= 20 THEN 0 WHEN max(CASE WHEN pos <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY path) = 1 THEN 1 ELSE 2 END AS tier FROM r""")
 def compact_map_order(spark, d):
-    ranked = fx.symbols(spark, d).filter("kind = 'class'").withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
+    ranked = fx.symbols(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
     return lookup.compact_map_order(ranked).select("symbol_id", "pos", "tier")
 
 
 # Text.
-@query(r"""SELECT p_partkey AS symbol_id, array_to_string(list_distinct_ordered, ',') AS parts FROM (SELECT p_partkey, list_filter(list_concat(w, [lower(p_type)]), lambda x, i: list_position(list_concat(w, [lower(p_type)]), x) = i) AS list_distinct_ordered
- FROM (SELECT p_partkey, p_type, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM part))""")
+@query(r"""WITH n AS (SELECT p_partkey, concat(p_type, 'HTTPServer', CAST(p_size AS STRING), 'Été_ÀÉa') AS name FROM part UNION ALL SELECT p_partkey, ' ' FROM part),
+ w AS (SELECT p_partkey, name, SPLIT AS w FROM n) SELECT p_partkey AS symbol_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ',') AS parts FROM w""".replace("SPLIT", r"list_filter(list_concat(string_split_regex(lower(regexp_replace(regexp_replace(trim(name), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([\p{Ll}\p{Nd}])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), [lower(trim(name))]), lambda x: x <> '')"))
 def identifier_split(spark, d):
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.array_join(T.split_identifier(F.col("p_type")), ",").alias("parts"))
+    part = fx.table(spark, d, "part")
+    names = part.select("p_partkey", F.concat("p_type", F.lit("HTTPServer"), F.col("p_size").cast("string"), F.lit("Été_ÀÉa")).alias("name")).unionByName(part.select("p_partkey", F.lit(" ").alias("name")))
+    return names.select(F.col("p_partkey").alias("symbol_id"), F.array_join(T.split_identifier(F.col("name")), ",").alias("parts"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0 ELSE CAST(ceil(strlen(text) / 4.0) AS BIGINT) END AS tokens FROM documents")
@@ -152,17 +154,24 @@ def injection_hits(spark, d):
     return rows.select("path", F.explode(T.injection_lines(F.col("text"))).alias("n")).select("path", F.col("n").cast("long").alias("line_no"))
 
 
-@query("""SELECT path, starts_with(path, 'tests/') OR starts_with(path, 'evals/') OR path LIKE '%/tests/%' AS is_test, regexp_matches(path, '(^|/)(vendor|third_party|node_modules)/|\\.min\\.') AS is_vendored,
- array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(path, '^src/', ''), '\\.[^./]+$', '')), '[^a-z0-9]+'), lambda x: x <> ''), ',') AS parts FROM fx_files""".replace("\\\\", "\\"))
+_SPLIT = r"list_filter(list_concat(string_split_regex(lower(regexp_replace(regexp_replace(trim({0}), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), [lower(trim({0}))]), lambda x: x <> '')"
+
+
+@query(r"""WITH p AS (SELECT path, list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x <> '' AND x <> '.') AS a FROM (SELECT path FROM fx_files UNION ALL SELECT replace(path, 'src/', 'lib/MyDir_x/') FROM fx_files UNION ALL SELECT concat(path, '/HTTPServerV2.test.py') FROM fx_files)),
+ b AS (SELECT path, CASE WHEN a[1] = 'src' THEN a[2:] ELSE a END AS a FROM p), t AS (SELECT path, list_concat(a[:len(a) - 1], [regexp_replace(a[len(a)], '^(.+)\.[^.]+$', '\1')]) AS a FROM b)
+ SELECT path, starts_with(path, 'tests/') OR starts_with(path, 'evals/') OR path LIKE '%/tests/%' AS is_test, regexp_matches(path, '(^|/)(vendor|third_party|node_modules)/|\.min\.') AS is_vendored,
+ array_to_string(list_sort(list_distinct(flatten(list_transform(a, lambda y: list_concat([lower(y)], SPLIT))))), ',') AS parts FROM t""".replace("\\\\", "\\").replace("SPLIT", _SPLIT.format("y")))
 def path_predicates(spark, d):
+    given = fx.files(spark, d).select("path")
+    paths = given.unionByName(given.select(F.replace("path", F.lit("src/"), F.lit("lib/MyDir_x/")).alias("path"))).unionByName(given.select(F.concat("path", F.lit("/HTTPServerV2.test.py")).alias("path")))
     p = F.col("path")
-    parts = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(p, r"^src/", ""), r"\.[^./]+$", "")), r"[^a-z0-9]+"), lambda x: x != "")
-    return fx.files(spark, d).select("path", T.test_path_search(p).alias("is_test"), T.vendored_path(p).alias("is_vendored"), F.array_join(parts, ",").alias("parts"))
+    return paths.select("path", T.test_path_search(p).alias("is_test"), T.vendored_path(p).alias("is_vendored"), F.array_join(F.array_sort(T.path_tokens(p)), ",").alias("parts"))
 
 
 @query()
 def porter_stem(spark, d):
-    words = fx.files(spark, d).select(F.explode(T.terms(F.col("text"))).alias("word")).filter(F.col("word").rlike("^[a-z]+$")).distinct()
+    """SQL cannot express the stemmer; the tests hold published pairs against it."""
+    words = fx.files(spark, d).select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("word")).distinct()
     return words.select("word", stems_udf()(F.array("word"))[0].alias("stem"))
 
 
@@ -268,8 +277,7 @@ def _numbered(spark, d):
  l2 AS (SELECT DISTINCT e.target_symbol_id AS s FROM fx_edges e JOIN l1 ON e.source_symbol_id = l1.s WHERE e.target_symbol_id <> 11 AND e.target_symbol_id NOT IN (SELECT s FROM l1))
  SELECT 11 AS symbol_id, 0 AS level UNION ALL SELECT s, 1 FROM l1 UNION ALL SELECT s, 2 FROM l2""")
 def impact_bfs_depth2(spark, d):
-    nodes, _, _ = graph.bounded_bfs(_numbered(spark, d), 11, "callees", 2, 1_000_000)
-    return nodes.select("symbol_id", "level")
+    return graph.levels(_numbered(spark, d), 11, "callees", 2)[0]
 
 
 @query("""WITH f AS (SELECT b, row_number() OVER (ORDER BY side, eid) AS k FROM (SELECT b, min(side * 1000000000000 + eid) AS o, min(side) AS side, arg_min(eid, side * 1000000000000 + eid) AS eid FROM (
@@ -284,33 +292,51 @@ def impact_bfs_capped(spark, d):
 @query("""WITH l1 AS (SELECT DISTINCT source_symbol_id AS s FROM fx_edges WHERE target_symbol_id = 5 AND source_symbol_id <> 5)
  SELECT source_symbol_id, target_symbol_id FROM fx_edges WHERE target_symbol_id = 5 OR target_symbol_id IN (SELECT s FROM l1)""")
 def impact_edges(spark, d):
-    _, kept, _ = graph.bounded_bfs(_numbered(spark, d), 5, "callers", 2, 1_000_000)
-    return kept.select("source_symbol_id", "target_symbol_id")
+    return graph.levels(_numbered(spark, d), 5, "callers", 2)[1].select("source_symbol_id", "target_symbol_id")
 
 
-@query("""WITH e AS (SELECT * FROM fx_edges WHERE confidence >= 0.6 AND source_symbol_id IN (SELECT symbol_id FROM fx_symbols) AND target_symbol_id IN (SELECT symbol_id FROM fx_symbols)),
+_RANKS = (
+    """WITH e AS (SELECT * FROM fx_edges WHERE confidence >= 0.6 AND source_symbol_id IN (SELECT symbol_id FROM fx_symbols) AND target_symbol_id IN (SELECT symbol_id FROM fx_symbols)),
  w AS (SELECT src, dst, sum(w) AS w FROM (SELECT source_symbol_id AS src, target_symbol_id AS dst, confidence AS w FROM e UNION ALL SELECT target_symbol_id, source_symbol_id, confidence * 0.3e0 FROM e) GROUP BY 1, 2),
  sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w), c AS (SELECT count(*) * 1.0e0 AS n FROM fx_symbols),
  lone AS (SELECT count(*) * 1.0e0 AS k FROM fx_symbols WHERE symbol_id NOT IN (SELECT src FROM sh)), p0 AS (SELECT symbol_id, 1.0e0 / n AS p FROM fx_symbols CROSS JOIN c)"""
     + "".join(f""", p{i} AS MATERIALIZED (SELECT s.symbol_id, 0.15e0 / n + 0.85e0 * coalesce((SELECT sum(p) FROM p{i - 1} WHERE symbol_id NOT IN (SELECT src FROM sh)), 0) / n + 0.85e0 * coalesce(f.f, 0) AS p
  FROM fx_symbols s CROSS JOIN c LEFT JOIN (SELECT dst, sum(p * share) AS f FROM sh JOIN p{i - 1} ON symbol_id = src GROUP BY dst) f ON f.dst = s.symbol_id)""" for i in range(1, 31))
-    + " SELECT symbol_id, round(p * n, 4) AS rank FROM p30 CROSS JOIN c")
+)
+
+
+@query(_RANKS + " SELECT symbol_id, round(p * n, 4) AS rank FROM p30 CROSS JOIN c")
 def pagerank_30(spark, d):
     return graph.pagerank(fx.symbols(spark, d), fx.edges(spark, d)).select("symbol_id", F.round("rank", 4).alias("rank"))
 
 
-@query()
+@query(_RANKS + """, dg AS (SELECT symbol_id, sum(i) AS ins, sum(o) AS outs FROM (SELECT source_symbol_id AS symbol_id, 0 AS i, 1 AS o FROM fx_edges WHERE confidence >= 0.6 UNION ALL SELECT target_symbol_id, 1, 0 FROM fx_edges WHERE confidence >= 0.6) GROUP BY 1),
+ j AS (SELECT s.symbol_id, s.kind, s.path, p * n AS rank, coalesce(ins, 0) AS ins, coalesce(outs, 0) AS outs FROM fx_symbols s JOIN p30 USING (symbol_id) CROSS JOIN c LEFT JOIN dg USING (symbol_id)), m AS (SELECT avg(ins) AS mean, stddev_pop(ins) AS std FROM j)
+ SELECT symbol_id, round(round(rank * CASE WHEN std > 0 AND (ins - mean) / std > 3 AND outs <= 2 THEN 0.5e0 ELSE 1.0e0 END + CASE WHEN kind IN ('class', 'interface') THEN 0.25e0 ELSE 0 END - CASE WHEN path LIKE 'src/%' THEN 0.5e0 ELSE 0 END, 6), 4) AS score FROM j CROSS JOIN m""")
 def global_ranks(spark, d):
     s, e = fx.symbols(spark, d), fx.edges(spark, d)
-    return graph.global_ranks(s, e, graph.pagerank(s, e), {"declared_entry_point": 3.0, "registry_wiring": 2.4, "protocol_definition": 2.1}, {"scripts": 1.5, "evaluation": 1.0})
+    ranked = graph.global_ranks(s, e, graph.pagerank(s, e), {"declared_entry_point": 3.0, "registry_wiring": 2.4, "protocol_definition": 2.1}, {"scripts": 1.5, "src": 0.5})
+    return ranked.withColumn("score", F.round("score", 4))
 
 
-@query()
+_BEST = "(SELECT anchor, anchor_rank, node, product, relation FROM (SELECT *, row_number() OVER (PARTITION BY anchor, node ORDER BY product DESC, relation DESC) AS k FROM ({0})) WHERE k = 1)"
+
+
+@query(_HUBS + """, ge AS (SELECT * FROM fx_edges WHERE status = 'resolved' AND confidence >= 0.6),
+ st AS (SELECT source_symbol_id AS node, target_symbol_id AS other, confidence, 'callee' AS step FROM ge UNION ALL SELECT target_symbol_id, source_symbol_id, confidence, 'caller' FROM ge),
+ a AS (SELECT 3 AS anchor, 0 AS anchor_rank UNION ALL SELECT 11, 1 UNION ALL SELECT 40, 2),
+ b1 AS """ + _BEST.format("SELECT anchor, anchor_rank, other AS node, confidence AS product, step AS relation FROM a JOIN st ON st.node = anchor WHERE other <> anchor")
+    + ", b2 AS " + _BEST.format("SELECT anchor, anchor_rank, other AS node, product * confidence AS product, relation FROM b1 JOIN st USING (node) WHERE other <> anchor")
+    + ", r AS " + _BEST.format("SELECT * FROM b1 UNION ALL SELECT * FROM b2")
+    + """, f AS (SELECT r.*, s.path, s.start_line, s.name, product * CASE WHEN node IN (SELECT symbol_id FROM hub) THEN 0.5e0 ELSE 1.0e0 END * (1 + 0.5e0 * len(list_intersect(list_concat(string_split(lower(s.name), '_'), [lower(s.name)]), ['red', 'small']))) AS score
+  FROM r JOIN fx_symbols s ON s.symbol_id = r.node WHERE node NOT IN (3, 11, 40)),
+ t AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, path, start_line, node) AS n FROM f), u AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, anchor_rank) AS m FROM t WHERE n <= 5)
+ SELECT node AS symbol_id, path, start_line, name, relation, round(score, 6) AS score, anchor, anchor_rank FROM u WHERE m = 1""")
 def expand_anchors_2hop(spark, d):
     return graph.expand(fx.symbols(spark, d), fx.edges(spark, d), [3, 11, 40], ["red", "small"]).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH RECURSIVE a(class_name, ancestor, depth) AS (SELECT class_name, parent_name, 1 FROM fx_hierarchy UNION ALL SELECT a.class_name, h.parent_name, a.depth + 1 FROM a JOIN fx_hierarchy h ON h.class_name = a.ancestor WHERE a.depth < 16)
+@query("""WITH RECURSIVE a(class_name, ancestor, depth) AS (SELECT class_name, parent_name, 1 FROM fx_hierarchy UNION ALL SELECT a.class_name, h.parent_name, a.depth + 1 FROM a JOIN fx_hierarchy h ON h.class_name = a.ancestor)
  SELECT class_name, ancestor, min(depth) AS depth FROM a GROUP BY 1, 2""".replace("WITH RECURSIVE", "WITH"), recursive=True)
 def ancestors_closure(spark, d):
     return graph.ancestors(fx.hierarchy(spark, d))
@@ -318,14 +344,24 @@ def ancestors_closure(spark, d):
 
 @query()
 def label_propagation(spark, d):
-    i = fx.imports(spark, d)
-    links = i.alias("x").join(i.alias("y"), (F.col("x.module") == F.col("y.module")) & (F.col("x.path") < F.col("y.path"))).select(F.col("x.path").alias("a"), F.col("y.path").alias("b")).distinct()
-    return graph.communities(i.select("path").distinct(), links)
+    """Each step reads the last one's result, which SQL cannot express; the tests hold it against the definition."""
+    links = fx.imports(spark, d).select(F.col("path").alias("a"), F.concat(F.lit("src/"), "module", F.lit(".py")).alias("b"))
+    return graph.communities(links.select(F.col("a").alias("path")).unionByName(links.select(F.col("b").alias("path"))).distinct(), links)
 
 
-@query()
+def _push(i: int) -> str:
+    return f""", s{i} AS MATERIALIZED (SELECT s.symbol_id, degree, CASE WHEN degree > 0 AND r >= 1e-4 * degree THEN p + 0.15e0 * r ELSE p END AS p, CASE WHEN degree > 0 AND r >= 1e-4 * degree THEN 0 ELSE r END + coalesce(f, 0) AS r FROM s{i - 1} s
+ LEFT JOIN (SELECT b, sum(0.85e0 * r * w / degree) AS f FROM s{i - 1} JOIN ad ON a = symbol_id WHERE degree > 0 AND r >= 1e-4 * degree GROUP BY b) ON b = s.symbol_id)"""
+
+
+@query("""WITH v AS (SELECT * FROM fx_edges WHERE confidence >= 0.5 AND source_symbol_id IN (SELECT symbol_id FROM fx_symbols) AND target_symbol_id IN (SELECT symbol_id FROM fx_symbols)),
+ ad AS MATERIALIZED (SELECT a, b, sum(w) AS w FROM (SELECT source_symbol_id AS a, target_symbol_id AS b, confidence AS w FROM v UNION ALL SELECT target_symbol_id, source_symbol_id, confidence FROM v) GROUP BY 1, 2),
+ dg AS (SELECT a, sum(w) AS degree FROM ad GROUP BY a), sd AS (SELECT symbol_id, CASE symbol_id WHEN 3 THEN 1.0e0 WHEN 11 THEN 2.25e0 ELSE 1.75e0 END / 5.0e0 AS x FROM fx_symbols WHERE symbol_id IN (3, 11, 40)),
+ s0 AS (SELECT s.symbol_id, coalesce(degree, 0) AS degree, CASE WHEN degree IS NULL THEN coalesce(x, 0) ELSE 0 END AS p, CASE WHEN degree IS NULL THEN 0 ELSE coalesce(x, 0) END AS r FROM fx_symbols s LEFT JOIN dg ON a = s.symbol_id LEFT JOIN sd ON sd.symbol_id = s.symbol_id)"""
+    + "".join(map(_push, range(1, 65))) + " SELECT symbol_id, round(p / (SELECT avg(p) FROM s64), 6) AS rank FROM s64")
 def local_push_ppr(spark, d):
-    return graph.local_push_ppr(fx.edges(spark, d), [3, 11, 40]).withColumn("rank", F.round("rank", 6))
+    seeds = spark.createDataFrame([(3, 1.0), (11, 2.25), (40, 1.75)], "symbol_id long, weight double")
+    return graph.local_push_ppr(fx.symbols(spark, d), fx.edges(spark, d), seeds).withColumn("rank", F.round("rank", 6))
 
 
 # Statistics.
@@ -345,7 +381,7 @@ def edge_audit_topk(spark, d):
     return stats.edge_audit(fx.edges(spark, d))
 
 
-@query("SELECT round(avg(CASE WHEN status = 'resolved' THEN 1.0e0 ELSE 0 END), 4) AS completeness, count(*) AS observed FROM fx_edges WHERE source_symbol_id < 100")
+@query("SELECT round(avg(CASE WHEN status = 'resolved' THEN 1.0e0 ELSE 0 END), 4) AS completeness, count(*) AS observed FROM fx_edges")
 def completeness(spark, d):
     return fx.edges(spark, d).agg(F.round(F.avg((F.col("status") == "resolved").cast("double")), 4).alias("completeness"), F.count("*").alias("observed"))
 
@@ -496,13 +532,14 @@ def lock_holders(spark, d):
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY sig_hash ORDER BY seq) AS k, count(*) OVER (PARTITION BY sig_hash) AS total FROM fx_ledger),
- f(sig_hash, k, total, status, n, run, ans) AS (SELECT sig_hash, k, total, 'asserted', 1, run_id, answer FROM o WHERE k = 1 UNION ALL SELECT o.sig_hash, o.k, o.total,
-  CASE WHEN f.status = 'conflicted' THEN 'conflicted' WHEN f.ans = o.answer AND f.run <> o.run_id THEN 'confirmed' WHEN f.ans = o.answer THEN f.status WHEN f.run <> o.run_id THEN 'conflicted' ELSE 'asserted' END,
-  CASE WHEN f.status = 'conflicted' THEN f.n WHEN f.ans = o.answer AND f.run <> o.run_id THEN f.n + 1 WHEN f.ans = o.answer OR f.run <> o.run_id THEN f.n ELSE 1 END, o.run_id,
-  CASE WHEN f.status <> 'conflicted' AND f.run = o.run_id THEN o.answer ELSE f.ans END FROM f JOIN o ON o.sig_hash = f.sig_hash AND o.k = f.k + 1)
- SELECT sig_hash, status, n::BIGINT AS confirmations, total AS n_submissions FROM f WHERE k = total""", recursive=True)
+ f(sig_hash, k, total, status, n, run, ans, dec) AS (SELECT sig_hash, k, total, 'asserted', 1, run_id, answer, decoy FROM o WHERE k = 1 UNION ALL SELECT o.sig_hash, o.k, o.total,
+  CASE WHEN o.retire THEN 'retired' WHEN f.ans = o.decoy OR f.dec = o.answer THEN 'conflicted' WHEN f.status = 'retired' THEN 'asserted' WHEN f.status = 'conflicted' THEN 'conflicted' WHEN f.ans = o.answer AND f.run <> o.run_id THEN 'confirmed' WHEN f.ans = o.answer THEN f.status WHEN f.run <> o.run_id THEN 'conflicted' ELSE 'asserted' END,
+  CASE WHEN o.retire OR f.ans = o.decoy OR f.dec = o.answer THEN f.n WHEN f.status = 'retired' THEN 1 WHEN f.status = 'conflicted' THEN f.n WHEN f.ans = o.answer AND f.run <> o.run_id THEN f.n + 1 WHEN f.ans = o.answer OR f.run <> o.run_id THEN f.n ELSE 1 END,
+  CASE WHEN o.retire THEN f.run ELSE o.run_id END, CASE WHEN NEW THEN o.answer ELSE f.ans END, CASE WHEN NEW THEN o.decoy ELSE f.dec END FROM f JOIN o ON o.sig_hash = f.sig_hash AND o.k = f.k + 1)
+ SELECT sig_hash, status, n::BIGINT AS confirmations, total AS n_submissions FROM f WHERE k = total""".replace("NEW", "NOT o.retire AND f.ans <> o.decoy AND f.dec <> o.answer AND (f.status = 'retired' OR (f.status <> 'conflicted' AND (f.ans = o.answer OR f.run = o.run_id)))"), recursive=True)
 def ledger_status_fold(spark, d):
-    return state.ledger(fx.ledger(spark, d))
+    given = fx.ledger(spark, d)
+    return state.ledger(given.withColumns({"answers": F.array("answer"), "decoys": F.array("decoy")}))
 
 
 @query("""WITH h AS (SELECT scope, namespace, key, created_at, value, row_number() OVER (PARTITION BY scope ORDER BY created_at, namespace, key) AS k FROM fx_memory WHERE scope = 'user')
@@ -513,7 +550,7 @@ def memory_consolidate(spark, d):
 
 # Resolution.
 _RULES = """WITH j AS (SELECT c.call_id, c.path AS call_path, c.call_name, c.arg_count, s.symbol_id, s.qualified_name, s.path, s.start_line, (s.symbol_id % 7) AS n_params,
-  CASE WHEN c.path = s.path THEN 0 ELSE 1 END AS rule FROM fx_calls c JOIN fx_symbols s ON s.name = c.call_name WHERE c.call_id % 5 = 0),
+  CASE WHEN c.path = s.path THEN 0 ELSE 1 END AS rule FROM fx_calls c JOIN fx_symbols s ON s.name = c.call_name),
  g AS (SELECT call_id, call_path, call_name, rule, count(DISTINCT symbol_id) AS n, count(DISTINCT concat(qualified_name, '|', path)) AS n_names, count(DISTINCT CASE WHEN n_params = arg_count THEN symbol_id END) AS n_fit,
   arg_min(symbol_id, (CASE WHEN n_params = arg_count THEN 0 ELSE 1 END) * 1000000000000 + start_line * 10000000 + symbol_id) AS best FROM j GROUP BY 1, 2, 3, 4),
  f AS (SELECT *, row_number() OVER (PARTITION BY call_id, call_path, call_name ORDER BY rule) AS k FROM g)"""
@@ -559,7 +596,7 @@ def freshness_states(spark, d):
     return freshness(old, new)
 
 
-@query()
+@query("SELECT path, sha256, 'left' AS side FROM fx_files WHERE false")
 def incremental_equals_full(spark, d):
     from ..sources.snapshot import delta
 
@@ -638,7 +675,7 @@ def role_histogram(spark, d):
     return evidence.role_counts(evidence.structural_roles(s, *none))
 
 
-@query("""WITH e AS (SELECT target_symbol_id, source_symbol_id, confidence FROM fx_edges), g AS (SELECT source_symbol_id, target_symbol_id, target_symbol_id AS expected FROM fx_edges WHERE source_symbol_id % 3 = 0)
+@query("""WITH e AS (SELECT target_symbol_id, source_symbol_id, confidence FROM fx_edges), g AS (SELECT source_symbol_id, target_symbol_id, target_symbol_id AS expected FROM fx_edges)
  SELECT count(*) AS n, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / nullif(count(CASE WHEN confidence >= 0.6 THEN 1 END), 0), 4) AS precision, round(count(CASE WHEN confidence >= 0.6 THEN 1 END) * 1.0e0 / count(*), 4) AS recall FROM g JOIN fx_edges USING (source_symbol_id, target_symbol_id)""")
 def edge_gold_pr(spark, d):
     e = fx.edges(spark, d)

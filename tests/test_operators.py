@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -108,8 +109,59 @@ def test_closure_and_communities(spark):
     h = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("A", "C")], "class_name string, parent_name string")
     assert sorted(tuple(r) for r in graph.ancestors(h).filter("class_name = 'A'").collect()) == [("A", "B", 1), ("A", "C", 1)]
     assert graph.label_propagation(["a", "b", "c", "d", "e"], [("a", "b"), ("b", "c"), ("d", "e")]) == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1}
-    ranks = graph.local_push({1: {2: 1.0}, 2: {1: 1.0, 3: 1.0}, 3: {2: 1.0}}, [1])
-    assert ranks[1] > ranks[3] and graph.local_push({1: {2: 1.0}, 2: {1: 1.0}}, [1]) == graph.local_push({1: {2: 1.0}, 2: {1: 1.0}}, [1])
+
+
+def test_label_propagation():
+    """Against the definition, on graphs with hubs, loops, repeated and unknown links."""
+    rng = random.Random(2)
+    for _ in range(60):
+        paths = [f"p{k:02}" for k in range(rng.randint(1, 25))]
+        links = [(rng.choice(paths + ["none"]), rng.choice(paths[:5])) for _ in range(rng.randint(0, 40))]
+        label = {p: p for p in paths}
+        for _ in range(20):
+            moved = False
+            for p in sorted(paths):
+                near = {b if a == p else a for a, b in links if p in (a, b) and a != b and {a, b} <= set(paths)}
+                if near:
+                    votes = collections.Counter(label[q] for q in near)
+                    new = min(x for x in votes if votes[x] == max(votes.values()))
+                    moved |= new != label[p]
+                    label[p] = new
+            if not moved:
+                break
+        order = list(dict.fromkeys(label[p] for p in sorted(paths)))
+        assert graph.label_propagation(paths, links) == {p: order.index(label[p]) for p in paths}
+
+
+def test_local_push(spark):
+    """Against the same pushes in plain Python; the rest left is below its bound, so ranks are near the exact ones."""
+    rng = random.Random(3)
+    ids = list(range(40))
+    rows = [(rng.choice(ids[:30]), rng.choice(ids[:30]), rng.choice([0.4, 0.6, 0.9])) for _ in range(70)]
+    weight = {}
+    for a, b, c in rows:
+        if c >= 0.5:
+            weight[a, b] = weight.get((a, b), 0) + c
+            weight[b, a] = weight.get((b, a), 0) + c
+    degree = {i: sum(w for (a, _), w in weight.items() if a == i) for i in ids}
+    seeds = {1: 1.0, 2: 2.25, 35: 1.75}
+    p, r = {i: 0.0 for i in ids}, {i: seeds.get(i, 0) / 5 for i in ids}
+    for i in ids:
+        if not degree[i]:
+            p[i], r[i] = r[i], 0.0
+    while any(degree[i] and r[i] >= 1e-4 * degree[i] for i in ids):
+        ready = {i: r[i] for i in ids if degree[i] and r[i] >= 1e-4 * degree[i]}
+        for i, x in ready.items():
+            p[i] += 0.15 * x
+            r[i] -= x
+        for (a, b), w in weight.items():
+            if a in ready:
+                r[b] += 0.85 * ready[a] * w / degree[a]
+    s = spark.createDataFrame([(i,) for i in ids], "symbol_id long")
+    got = {x.symbol_id: x["rank"] for x in graph.local_push_ppr(s, edge_table(spark, rows), spark.createDataFrame(list(seeds.items()), "symbol_id long, weight double")).collect()}
+    mean = sum(p.values()) / len(ids)
+    assert got.keys() == set(ids) and all(abs(got[i] - p[i] / mean) < 1e-9 for i in ids) and got[35] > 0 and got[39] == p[39] / mean
+    assert {x["rank"] for x in graph.local_push_ppr(s, edge_table(spark, rows), spark.createDataFrame([], "symbol_id long, weight double")).collect()} == {1.0}
 
 
 def test_resolution(spark):
@@ -148,6 +200,9 @@ def test_ledger(spark):
     rows = [("s1", 1, "r1", "a"), ("s1", 2, "r1", "a"), ("s1", 3, "r2", "a"), ("s2", 1, "r1", "a"), ("s2", 2, "r2", "b"), ("s2", 3, "r3", "a"), ("s3", 1, "r1", "a"), ("s3", 2, "r1", "b"), ("s3", 3, "r2", "b")]
     got = {r.sig_hash: (r.status, r.confirmations) for r in state.ledger(spark.createDataFrame(rows, "sig_hash string, seq long, run_id string, answer string")).collect()}
     assert got == {"s1": ("confirmed", 2), "s2": ("conflicted", 1), "s3": ("confirmed", 2)}
+    rows = [("s1", 1, "r1", ["a"], ["b"], None), ("s1", 2, "r2", ["b"], [], None), ("s2", 1, "r1", ["a"], [], None), ("s2", 2, "r1", [], [], True), ("s2", 3, "r2", ["c"], [], None), ("s3", 1, "r1", ["a"], [], None), ("s3", 2, "r1", ["a"], ["a"], None), ("s4", 1, "r1", ["a", "b"], [], None), ("s4", 2, "r2", ["b", "a"], [], None)]
+    got = {r.sig_hash: (r.status, r.confirmations, r.n_submissions) for r in state.ledger(spark.createDataFrame(rows, "sig_hash string, seq long, run_id string, answers array<string>, decoys array<string>, retire boolean")).collect()}
+    assert got == {"s1": ("conflicted", 1, 2), "s2": ("asserted", 1, 3), "s3": ("conflicted", 1, 2), "s4": ("confirmed", 2, 2)}
 
 
 def test_memory(spark):

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from codequarry.plans import evidence_queries  # noqa: F401 - adds to the queries
 from codequarry.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
@@ -20,9 +21,14 @@ def con():
 
 
 def rows(names, data):
+    """Rows in any order, columns by name."""
     order = sorted(range(len(names)), key=lambda k: names[k])
     value = lambda v: None if v is None else round(float(v), 6) if isinstance(v, float) else str(v) if not isinstance(v, (int, bool)) else int(v)
-    return sorted(([names[k] for k in order], [value(r[k]) for k in order]) for r in data) if False else sorted((tuple(value(r[k]) for k in order) for r in data), key=str)
+    return sorted((tuple(value(r[k]) for k in order) for r in data), key=str)
+
+
+#: What SQL cannot express; tests of their own hold these against brute force.
+NO_SQL = {"porter_stem", "label_propagation", "bootstrap_ci"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,7 +36,7 @@ def test_same_rows(spark, con, name):
     df = QUERIES[name](spark, D)
     got = df.collect()
     if name not in SQL:
-        assert df.columns
+        assert name in NO_SQL and got
         return
     found = con.execute(SQL[name])
     names = [c[0] for c in found.description]

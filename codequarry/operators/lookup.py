@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .checkpoints import cut
 
 
 def kind_filter(kind: str) -> Column:
@@ -64,14 +65,32 @@ def module_dependents(imports: DataFrame, path: str, modules: list[str]) -> Data
     return mine.distinct().unionByName(theirs)
 
 
+#: Lines of a bucket in which points and spans meet.
+BUCKET = 128
+
+
 def innermost(points: DataFrame, symbols: DataFrame, line: str = "line") -> DataFrame:
-    """Each (path, line) with the symbol of least span that contains it, then the latest start. The join is by path, then by range."""
+    """Each distinct (path, line) with the symbol of least span that contains it, then the latest start.
+
+    Points and spans meet by path and bucket of lines, so a file of many symbols is no one group, and a point meets only what is near it."""
     s = symbols.select(F.col("path").alias("s_path"), "symbol_id", "start_line", "end_line")
-    inside = points.join(s, (points["path"] == F.col("s_path")) & points[line].between(F.col("start_line"), F.col("end_line")), "left")
+    s = s.withColumn("s_bucket", F.explode(F.expr(f"sequence(cast(start_line div {BUCKET} as bigint), cast(greatest(start_line, end_line) div {BUCKET} as bigint))")))
+    p = points.select("path", line).distinct().withColumn("bucket", F.expr(f"cast({line} div {BUCKET} as bigint)"))
+    inside = p.join(s, (F.col("path") == F.col("s_path")) & (F.col("bucket") == F.col("s_bucket")) & F.col(line).between(F.col("start_line"), F.col("end_line")), "left")
     key = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), F.col("symbol_id").alias("symbol_id"))
     return inside.groupBy("path", line).agg(F.min(F.when(F.col("symbol_id").isNotNull(), key)).alias("best")).select("path", line, F.col("best.symbol_id").alias("symbol_id"))
 
 
+def numbered(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """Rows numbered from 1 in a total order, without sorting them in one task: they are dealt out by ranges, sorted there and written; each range
+    then starts at the count of those before it (a row per range)."""
+    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    counts = kept.groupBy("__part").agg(F.count("*").alias("n"))
+    first = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(first, "__part").withColumn(name, F.col("__first") + at + 1).drop("__part", "__at", "__first")
+
+
 def parents(hierarchy: DataFrame, symbols: DataFrame) -> DataFrame:
     """class_hierarchy rows with the parent's symbol: by full name, else by the last part; of equal names the last one counts."""
     last = lambda key: symbols.groupBy(key.alias("key")).agg(F.max_by("symbol_id", F.struct("path", "start_line", "symbol_id")).alias("found"))
@@ -103,7 +122,7 @@ def family_defer(ranked: DataFrame, cap: int, pos: str = "pos") -> DataFrame:
     by_name = F.row_number().over(Window.partitionBy("name").orderBy(pos))
     by_qualified = F.row_number().over(Window.partitionBy("qualified_name").orderBy(pos))
     flagged = ranked.withColumn("deferred", (by_name > cap) | (by_qualified > 1))
-    return flagged.withColumn("new_pos", F.row_number().over(Window.orderBy("deferred", pos)))
+    return numbered(flagged, ["deferred", pos], "new_pos")
 
 
 def compact_map_order(ranked: DataFrame, anchors: int = 20, pos: str = "pos") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import innermost
+
 # How far a resolution within each scope is trusted.
 CONFIDENCE = {
     "same_class": 0.95, "same_class_split": 0.85, "implicit_this": 0.90, "implicit_this_partial": 0.85, "overload_arity": 0.85, "overload_group": 0.70,
@@ -77,20 +79,25 @@ def dedupe(edges: DataFrame, order: list[str]) -> DataFrame:
     return edges.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def build_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Edges of parsed calls: enclosing symbol by a range join within the file, candidates by name, then the rules."""
+def build_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+    """Edges of parsed calls: the innermost symbol around each, candidates by name, then the rules. `namespaces` (path, namespace) are of those languages that have them."""
     s = symbols.select("symbol_id", "path", "name", "qualified_name", "kind", "start_line", "end_line", F.col("n_params"))
-    inside = calls.join(s.select(F.col("path").alias("p"), F.col("symbol_id").alias("caller_id"), F.col("qualified_name").alias("caller_qualified"), F.col("start_line").alias("a"), F.col("end_line").alias("b")), (F.col("p") == calls["path"]) & calls["line"].between(F.col("a"), F.col("b")))
-    least = F.struct((F.col("b") - F.col("a")).alias("span"), (-F.col("a")).alias("late"), "caller_id", "caller_qualified")
-    key = ["path", "line", "name", "start_byte"]
-    found = inside.groupBy(*key, "receiver", "arg_count").agg(F.min(least).alias("c")).select(*key, "receiver", "arg_count", "c.caller_id", "c.caller_qualified")
+    caller = innermost(calls, s).withColumnRenamed("symbol_id", "caller_id").filter("caller_id is not null")
+    known = s.select(F.col("symbol_id").alias("caller_id"), F.col("qualified_name").alias("caller_qualified"))
+    kind = F.col("receiver_type") if "receiver_type" in calls.columns else F.lit(None).cast("string")
+    found = calls.select("path", "line", "name", "start_byte", "receiver", kind.alias("receiver_type"), "arg_count").distinct().join(caller, ["path", "line"]).join(known, "caller_id")
     mods = imports.groupBy("path").agg(F.collect_set("module").alias("imported"))
     from ..functions.text import module_candidates
 
     cands = s.filter(~F.col("name").startswith("<")).withColumn("candidate_modules", module_candidates(F.col("path")))
     full = F.transform("candidate_modules", lambda m: F.concat(m, F.lit("."), F.col("name")))
     cands = cands.withColumn("candidate_modules", F.concat("candidate_modules", full))
+    if namespaces is None:
+        spaces = cands.select("path", F.lit(None).cast("string").alias("namespace")).distinct()
+    else:
+        spaces = namespaces.groupBy("path").agg(F.min("namespace").alias("namespace"))
+    cands = cands.join(spaces, "path", "left")
     joined = found.withColumnRenamed("path", "call_path").join(cands.drop("end_line", "kind"), "name").filter("caller_id <> symbol_id").join(mods.withColumnRenamed("path", "call_path"), "call_path", "left")
-    joined = joined.withColumns({"receiver_type": F.lit(None).cast("string"), "namespace": F.lit(None).cast("string"), "call_namespace": F.lit(None).cast("string")})
+    joined = joined.join(spaces.withColumnsRenamed({"path": "call_path", "namespace": "call_namespace"}), "call_path", "left")
     decided = decide(joined, ["caller_id", "call_path", "line", "start_byte", "name"], scopes())
     return decided.select(F.col("caller_id").alias("source_symbol_id"), "target_symbol_id", F.lit(None).cast("string").alias("target_stub_id"), F.col("name").alias("target_name"), F.lit("calls").alias("edge_kind"), "status", F.lit("lexical").alias("backend"), "confidence", F.col("call_path").alias("source_path"), F.col("line").alias("source_line"), F.array("scope").alias("evidence"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,38 @@ def paired_reduction(runs: DataFrame, baseline: str) -> DataFrame:
     )
 
 
-def bootstrap(values: list[float], statistic, samples: int = SAMPLES, level: float = 0.95, seed: int = 0) -> tuple[float, float] | None:
-    """Percentile interval of a statistic over resamples, by Python's generator from a fixed seed."""
+#: Draws that are evaluated at once.
+DRAWS = 4_000_000
+
+
+def draws(n: int, seed: int) -> Iterator[np.ndarray]:
+    """The numbers below n that Python's generator gives for this seed, as many as are asked for: the same 32-bit words, their highest bits,
+    those from n on left out."""
+    _, words, _ = random.Random(seed).getstate()
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint32), "pos": words[-1]}}
+    while True:
+        some = source.random_raw(1 << 20).astype(np.uint32) >> np.uint32(32 - n.bit_length())
+        yield some[some < n].astype(np.int64)
+
+
+def bootstrap(values: list[float], statistic: str = "median", samples: int = SAMPLES, level: float = 0.95, seed: int = 0) -> tuple[float, float] | None:
+    """Percentile interval of the median or mean over resamples, by Python's generator from a fixed seed."""
     if not values:
         return None
-    rng, n = random.Random(seed), len(values)
-    found = sorted(statistic([values[rng.randrange(n)] for _ in range(n)]) for _ in range(samples))
+    of, n = np.asarray(values, float), len(values)
+    fn = np.median if statistic == "median" else np.mean
+    source, left, found = draws(n, seed), np.zeros(0, np.int64), []
+    while len(found) < samples:
+        rows = min(samples - len(found), max(1, DRAWS // n))
+        parts, total = [left], len(left)
+        while total < rows * n:
+            parts.append(next(source))
+            total += len(parts[-1])
+        every = np.concatenate(parts)
+        found += fn(of[every[: rows * n]].reshape(rows, n), axis=1).tolist()
+        left = every[rows * n :]
+    found.sort()
     low = (1 - level) / 2
     return found[int(low * (samples - 1))], found[int((1 - low) * (samples - 1))]
 
@@ -50,13 +78,10 @@ def bootstrap_intervals(df: DataFrame, group: str, value: str, statistic: str =
     key = df.schema[group].dataType.simpleString()
 
     def run(pdf):
-        import statistics
-
         import pandas as pd
 
-        fn = statistics.median if statistic == "median" else statistics.fmean
         values = sorted(pdf[value].dropna().tolist())
-        ci = bootstrap(values, fn, samples)
+        ci = bootstrap(values, statistic, samples)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(values)], "low": [ci and ci[0]], "high": [ci and ci[1]]})
 
     return df.select(group, F.col(value).cast("double").alias(value)).groupBy(group).applyInPandas(run, f"{group} {key}, n long, low double, high double")

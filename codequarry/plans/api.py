@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -67,8 +67,8 @@ class Snapshot:
         terms = T.query_terms(query) if query else []
         hits = F.size(F.array_intersect(T.split_identifier(F.col("name")), F.array(*map(F.lit, terms)).cast("array<string>")))
         ranked = s.withColumn("score", F.coalesce("score", F.lit(0.0)) + 8.0 * hits)
-        w = Window.orderBy(F.col("score").desc(), "path", "start_line", "symbol_id")
-        rows = ranked.orderBy(F.col("score").desc(), "path", "start_line", "symbol_id").limit(2000).withColumn("pos", F.row_number().over(w)).withColumn("line", F.concat_ws(" ", "path", T.compact_declaration(F.col("kind"), F.col("qualified_name")), F.col("start_line").cast("string")))
+        rows = lookup.numbered(ranked, [F.col("score").desc(), F.col("path"), F.col("start_line"), F.col("symbol_id")])
+        rows = rows.withColumn("line", F.concat_ws(" ", "path", T.compact_declaration(F.col("kind"), F.col("qualified_name")), F.col("start_line").cast("string")))
         packed = budget.pack_first_fit(rows.select(F.lit(1).alias("one"), "pos", "line", "symbol_id", T.estimate_tokens(F.col("line")).alias("cost")), "one", "pos", "cost", budget_tokens)
         return packed.filter("taken").select("pos", "line", "symbol_id", "cost")
 
@@ -84,7 +84,8 @@ class Snapshot:
         """The symbol and its neighbours both ways, with bodies."""
         nodes, _, _ = graph.bounded_bfs(self.table("edges"), self.resolve_ref(symbol_id), "both", checked("depth", depth, 0, MAX_DEPTH))
         s = self.table("symbols").join(F.broadcast(nodes), "symbol_id").join(self.table("module_text"), "path", "left")
-        return s.select("symbol_id", "path", "qualified_name", "level", T.byte_slice(F.col("text"), F.col("start_byte").cast("int"), F.col("end_byte").cast("int")).alias("body"))
+        # By lines: a redacted line is a line still, but not as long as it was.
+        return s.select("symbol_id", "path", "qualified_name", "level", F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("body"))
 
     def resolve_ref(self, ref: str) -> str:
         """A symbol id, or the only one that an eight-digit reference stands for."""

@@ -18,13 +18,13 @@ from ..sources.snapshot import Store, reusable
 #: Bonuses of roles and demotions of top folders in ranks.
 ROLE_BONUS = {"declared_entry_point": 3.0, "registry_wiring": 2.4, "protocol_definition": 2.1}
 DEMOTIONS = {"scripts": 1.5, "evaluation": 1.0}
-RESOLVER = 1
+RESOLVER = 2
 TABLES = ["files", "facts", "symbols", "edges", "imports", "class_hierarchy", "symbol_rank", "module_text"]
 
 
 def fingerprint() -> str:
     """Facts may be reused only by the same parsers and resolver."""
-    return f"python-{sys.version_info.major}.{sys.version_info.minor}/patterns-1/resolver-{RESOLVER}"
+    return f"python-{sys.version_info.major}.{sys.version_info.minor}/patterns-2/resolver-{RESOLVER}"
 
 
 def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, full: bool = False) -> str:
@@ -51,7 +51,7 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
     t = parse.tables(facts)
     files = files.drop("parse_status").join(facts.select("path", F.col("status").alias("parse_status")), "path")
     hierarchy = lookup.parents(t["class_hierarchy"], t["symbols"])
-    edges = resolve.dedupe(resolve.build_edges(t["calls"], t["symbols"], t["imports"]), ["source_path", "source_line"])
+    edges = resolve.dedupe(resolve.build_edges(t["calls"], t["symbols"], t["imports"], t["namespaces"]), ["source_path", "source_line"])
     edges = cut(edges.withColumn("edge_id", F.xxhash64("source_symbol_id", "target_name", "source_path", "source_line", F.coalesce("target_symbol_id", F.lit("")))), "edges")
     symbols = cut(evidence.structural_roles(t["symbols"], t["class_hierarchy"], _entry_points(spark, root)), "symbols")
     ranks = graph.global_ranks(symbols, edges, graph.pagerank(symbols, edges), ROLE_BONUS, DEMOTIONS)

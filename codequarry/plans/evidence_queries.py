@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cards, evidence, fulltext, graph, resolve, typed
 from ..operators.checkpoints import shared_folder
+from . import answers
 from . import fixtures as fx
 from .queries import _BM25, WORDS, query
 
@@ -351,3 +352,65 @@ def relationship_order(spark, d):
 
     rows = graph.relationships(fx.edges(spark, d), 7)
     return rows.withColumn("pos", F.row_number().over(Window.orderBy(*graph.relationship_order())).cast("long")).select("relation", "other_id", F.round("confidence", 4).alias("confidence"), "pos")
+
+
+# Answers made of others.
+@query("SELECT path, CASE WHEN starts_with(path, 'tests/') OR path LIKE '%/tests/%' THEN 2 WHEN starts_with(path, 'evals/') THEN 1 ELSE 0 END AS path_group FROM fx_files")
+def caller_groups(spark, d):
+    return fx.files(spark, d).select("path", answers.path_group(F.col("path")).alias("path_group"))
+
+
+@query("SELECT (count(CASE WHEN language IN ('en', 'fr') THEN 1 END) * 2 >= count(*)) AS enabled FROM fx_files WHERE parse_status = 'parsed'")
+def word_form_gate(spark, d):
+    return answers.word_forms(fx.files(spark, d), ("en", "fr"))
+
+
+@query("SELECT path AS id FROM fx_terms WHERE term IN ('the', 'and') GROUP BY path HAVING count(DISTINCT term) = 2")
+def body_id_set(spark, d):
+    index = fulltext.inverted_index(fx.files(spark, d).select("path", "text"), "path", {"text": 1.0})
+    return answers.body_matches(index, ["the", "and"])
+
+
+@query("""SELECT path, CASE WHEN regexp_matches(s, '^doc_[0-9]*5') THEN list_min(list_filter(['7', '1', 'oc', '25'], lambda t: contains(s, t))) END AS term FROM (SELECT path, regexp_replace(lower(split_part(path, '/', -1)), '^(.+)\\.[^.]*$', '\\1') AS s FROM fx_files)""".replace("\\\\", "\\"))
+def stage_path_match(spark, d):
+    return fx.files(spark, d).select("path", answers.stage_match(F.col("path"), ["7", "1", "oc", "25"], "^doc_[0-9]*5").alias("term"))
+
+
+@query(r"""WITH w AS (SELECT p_partkey, list_filter(flatten(list_transform(string_split(p_name, ' '), lambda y: list_concat([lower(y)], [lower(y)]))), lambda x: length(x) >= 3) AS a FROM part)
+ SELECT p_partkey AS symbol_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS terms FROM w""")
+def bench_query_terms(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.array_join(answers.word_parts(F.col("p_name")), ",").alias("terms"))
+
+
+@query("SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at FROM fx_audit")
+def iso_times(spark, d):
+    return fx.audit(spark, d).select("id", answers.iso_utc(F.col("ts")).alias("at"))
+
+
+@query("""WITH a AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'admin' WHEN id % 7 = 0 THEN 'no spaces' WHEN id % 11 = 0 THEN NULL ELSE agent_id END AS asked FROM fx_audit)
+ SELECT id, CASE WHEN coalesce(asked, '') IN ('admin', 'no spaces') THEN NULL ELSE coalesce(asked, 'anonymous') END AS agent, CASE asked WHEN 'admin' THEN 'reserved_agent_id' WHEN 'no spaces' THEN 'invalid_agent_id' END AS error FROM a""")
+def agent_identities(spark, d):
+    k = F.col("id")
+    asked = F.when(k % 5 == 0, "admin").when(k % 7 == 0, "no spaces").when(k % 11 == 0, F.lit(None)).otherwise(F.col("agent_id"))
+    agent, error = answers.agent_identity(asked, None)
+    return fx.audit(spark, d).select("id", agent.alias("agent"), error.alias("error"))
+
+
+@query("SELECT row_number() OVER (ORDER BY path, start_line, symbol_id) AS pos, concat(CAST(symbol_id AS STRING), chr(9), path, chr(9), name, chr(9), CAST(start_line AS STRING)) AS line FROM fx_symbols")
+def compact_text(spark, d):
+    return answers.compact_text(fx.symbols(spark, d), ["symbol_id", "path", "name", "start_line"], ["path", "start_line", "symbol_id"])
+
+
+@query("SELECT symbol_id, name, kind, path, start_line FROM fx_symbols")
+def minimal_view(spark, d):
+    return answers.project(answers.wire_symbols(fx.symbols(spark, d)), "minimal")
+
+
+@query("""WITH o AS (SELECT target_symbol_id AS symbol_id, max(confidence) AS c, 'callee' AS relation FROM fx_edges WHERE source_symbol_id = 7 AND target_symbol_id <> 7 AND status = 'resolved' AND confidence >= 0.6 GROUP BY 1
+ UNION ALL SELECT source_symbol_id, max(confidence), 'caller' FROM fx_edges WHERE target_symbol_id = 7 AND source_symbol_id <> 7 AND status = 'resolved' AND confidence >= 0.5 GROUP BY 1)
+ SELECT relation, s.symbol_id, row_number() OVER (PARTITION BY relation ORDER BY CASE WHEN relation = 'callee' THEN -c ELSE 0 END, CASE WHEN relation = 'caller' THEN -CAST(s.symbol_id % 13 AS DOUBLE) ELSE 0 END, s.path, s.start_line, s.symbol_id) AS pos FROM o JOIN fx_symbols s USING (symbol_id)""")
+def packet_neighbours(spark, d):
+    s = fx.symbols(spark, d).withColumn("signature", F.lit(""))
+    ranks = s.select("symbol_id", (F.col("symbol_id") % 13).cast("double").alias("score"))
+    near = answers.neighbours(s, fx.edges(spark, d).withColumn("source_line", F.lit(1)), ranks, 7)
+    return near.select("relation", "symbol_id", F.col("pos").cast("long").alias("pos"))

@@ -104,14 +104,14 @@ def class_parent_join(spark, d):
  f AS (SELECT symbol_id, pos, row_number() OVER (PARTITION BY name ORDER BY pos) > 3 OR row_number() OVER (PARTITION BY qualified_name ORDER BY pos) > 1 AS deferred FROM r)
  SELECT symbol_id, pos, deferred, row_number() OVER (ORDER BY deferred, pos) AS new_pos FROM f""")
 def family_defer(spark, d):
-    ranked = fx.symbols(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
+    ranked = lookup.numbered(fx.symbols(spark, d), ["symbol_id"])
     return lookup.family_defer(ranked, 3).select("symbol_id", "pos", "deferred", F.col("new_pos").cast("long").alias("new_pos"))
 
 
 @query("""WITH r AS (SELECT symbol_id, path, row_number() OVER (ORDER BY symbol_id) AS pos FROM fx_symbols)
  SELECT symbol_id, pos, CASE WHEN pos <= 20 THEN 0 WHEN max(CASE WHEN pos <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY path) = 1 THEN 1 ELSE 2 END AS tier FROM r""")
 def compact_map_order(spark, d):
-    ranked = fx.symbols(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("symbol_id")).cast("long"))
+    ranked = lookup.numbered(fx.symbols(spark, d), ["symbol_id"])
     return lookup.compact_map_order(ranked).select("symbol_id", "pos", "tier")
 
 
@@ -213,7 +213,7 @@ def _whole(word: str) -> str:
 @query("WITH h AS (SELECT path, line_no, " + " + ".join(f"CAST(regexp_matches(line, '{_whole(w)}') AS INT)" for w in WORDS) + """ AS score FROM fx_lines),
  r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no) AS n FROM h WHERE score > 0) SELECT path, line_no, score, n FROM r WHERE n <= 2""")
 def best_lines_per_doc(spark, d):
-    return fulltext.best_lines(fx.lines(spark, d), WORDS).select("path", "line_no", "score", F.col("n").cast("long").alias("n"))
+    return fulltext.best_lines(fulltext.lines_with(fx.files(spark, d), "text", WORDS), WORDS).select("path", "line_no", "score", F.col("n").cast("long").alias("n"))
 
 
 @query("WITH h AS (" + " UNION ALL ".join(f"SELECT path, line_no, '{w}' AS term FROM fx_lines WHERE regexp_matches(line, '{_whole(w)}')" for w in ("thing", "reed", "moron")) + """),
@@ -223,7 +223,8 @@ def best_lines_per_doc(spark, d):
  SELECT s.path, round(s.score, 4) AS score, b.line_no AS best_line, b.n_lines FROM s JOIN b ON b.path = s.path AND b.n = 1 ORDER BY round(s.score, 8) DESC, s.path LIMIT 10""")
 def grep_idf_rank(spark, d):
     files = fx.files(spark, d).count()
-    found = fulltext.grep_rank(fx.lines(spark, d), files, ["thing", "reed", "moron"], top=10_000)
+    terms = ["thing", "reed", "moron"]
+    found = fulltext.grep_rank(fulltext.lines_with(fx.files(spark, d), "text", terms), files, terms, top=10_000)
     return found.orderBy(F.round("score", 8).desc(), "path").limit(10).select("path", F.round("score", 4).alias("score"), "best_line", "n_lines")
 
 

@@ -35,17 +35,99 @@ def symbol_id(language: str, path: str, qualified: str, salt: str) -> str:
     return f"{language}:{path}:{qualified}:{hashlib.sha256(salt.encode()).hexdigest()[:16]}"
 
 
+def _named(node: ast.AST | None) -> str | None:
+    """The last part of a type written as a name, a dotted name or a string of one."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        m = re.fullmatch(r"\s*(?:\w+\.)*([A-Za-z_]\w*)\s*", node.value)
+        return m[1] if m else None
+    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
+
+class Types(dict):
+    """Name to type, of names that are always bound to one type; null for those that aren't."""
+
+    def note(self, name: str, kind: str | None) -> None:
+        self[name] = kind if self.get(name, kind) == kind else None
+
+
+def _made(value: ast.AST | None, returns: dict[str, str]) -> str | None:
+    """The type that an expression makes: a call of a class (by its capital), or of a function whose return type is declared."""
+    if not isinstance(value, ast.Call) or not (name := _named(value.func)):
+        return None
+    return name if name[0].isupper() else returns.get(name)
+
+
+def _own(node: ast.AST) -> Iterator[ast.AST]:
+    """The nodes below, without those of functions and classes in it."""
+    for child in ast.iter_child_nodes(node):
+        yield child
+        if not isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            yield from _own(child)
+
+
+def _parameters(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> Types:
+    a = fn.args
+    return Types({x.arg: _named(x.annotation) for x in [*a.posonlyargs, *a.args, *a.kwonlyargs]})
+
+
+def scope_types(fn: ast.FunctionDef | ast.AsyncFunctionDef, returns: dict[str, str]) -> Types:
+    """Types of a function's parameters and local names."""
+    types = _parameters(fn)
+    for node in _own(fn):
+        if isinstance(node, ast.Assign):
+            for target in node.targets:
+                if isinstance(target, ast.Name):
+                    types.note(target.id, _made(node.value, returns))
+        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
+            types.note(node.target.id, _named(node.annotation))
+        elif isinstance(node, ast.withitem) and isinstance(node.optional_vars, ast.Name):
+            types.note(node.optional_vars.id, _made(node.context_expr, returns))
+    bound = {n.id for n in _own(fn) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+    known = {t.id for n in _own(fn) for t in ([x for x in n.targets] if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else [n.optional_vars] if isinstance(n, ast.withitem) else []) if isinstance(t, ast.Name)}
+    for name in bound - known:  # loops, unpacking and the like
+        types[name] = None
+    return types
+
+
+def attribute_types(cls: ast.ClassDef, returns: dict[str, str]) -> Types:
+    """Types of a class's attributes: declared in its body, or bound to self in its methods."""
+    types = Types()
+    for node in cls.body:
+        if isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
+            types.note(node.target.id, _named(node.annotation))
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            of = _parameters(node)
+            for x in _own(node):
+                targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, (ast.AnnAssign, ast.AugAssign)) else []
+                for t in targets:
+                    if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                        declared = _named(x.annotation) if isinstance(x, ast.AnnAssign) else None
+                        value = getattr(x, "value", None)
+                        types.note(t.attr, declared or _made(value, returns) or (of.get(value.id) if isinstance(value, ast.Name) else None))
+    return types
+
+
+def narrowed(test: ast.AST) -> dict[str, str]:
+    """Types that a condition settles for its branch: isinstance of a name and one class, alone or joined by `and`."""
+    if isinstance(test, ast.BoolOp) and isinstance(test.op, ast.And):
+        return {k: v for t in test.values for k, v in narrowed(t).items()}
+    if isinstance(test, ast.Call) and _named(test.func) == "isinstance" and len(test.args) == 2 and isinstance(test.args[0], ast.Name) and (kind := _named(test.args[1])):
+        return {test.args[0].id: kind}
+    return {}
+
+
 def _py(path: str, source: str) -> dict:
     parsed = ast.parse(source)
     offsets = [0]
     for line in source.split("\n"):
         offsets.append(offsets[-1] + len(line.encode()) + 1)
     symbols, calls, imports, bases = [], [], [], []
+    returns = {n.name: t for n in ast.walk(parsed) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and (t := _named(n.returns)) and t[0].isupper() and t not in ("None", "Any")}
 
     def byte(line, col):
         return offsets[line - 1] + col
 
-    def walk(node, owners, in_class):
+    def walk(node, owners, in_class, local, attributes):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                 is_class = isinstance(child, ast.ClassDef)
@@ -58,22 +140,29 @@ def _py(path: str, source: str) -> dict:
                 symbols.append({"symbol_id": symbol_id("python", path, qualified, f"{child.lineno}:{header}"), "name": child.name, "qualified_name": qualified, "kind": "class" if is_class else "method" if in_class else "function", "signature": header, "start_line": child.lineno, "end_line": child.end_lineno, "start_byte": byte(child.lineno, child.col_offset), "end_byte": byte(child.end_lineno, child.end_col_offset), "body_start": byte(child.body[0].lineno, child.body[0].col_offset), "body_end": byte(child.end_lineno, child.end_col_offset), "is_private": child.name.startswith("_") and not child.name.startswith("__"), "n_params": n_params})
                 if is_class:
                     bases.extend({"class_name": qualified, "parent_name": ast.unparse(b)} for b in child.bases)
-                walk(child, [*owners, child.name], is_class)
+                walk(child, [*owners, child.name], is_class, {} if is_class else {**local, **scope_types(child, returns)}, attribute_types(child, returns) if is_class else attributes)
+                continue
+            if isinstance(child, ast.Call):
+                fn = child.func
+                name = fn.attr if isinstance(fn, ast.Attribute) else fn.id if isinstance(fn, ast.Name) else None
+                if name:
+                    on = fn.value if isinstance(fn, ast.Attribute) else None
+                    kind = local.get(on.id) if isinstance(on, ast.Name) else attributes.get(on.attr) if isinstance(on, ast.Attribute) and isinstance(on.value, ast.Name) and on.value.id == "self" else _made(on, returns)
+                    calls.append({"name": name, "receiver": ast.unparse(on) if on is not None else None, "receiver_type": kind, "line": child.lineno, "start_byte": byte(child.lineno, child.col_offset), "arg_count": len(child.args) + len(child.keywords)})
+            elif isinstance(child, ast.Import):
+                imports.extend(a.name for a in child.names)
+            elif isinstance(child, ast.ImportFrom):
+                head = "." * child.level + (child.module or "")
+                imports.extend([head, *(f"{head}.{a.name}" for a in child.names if head.strip("."))])
+            if isinstance(child, ast.If) and (settled := narrowed(child.test)):
+                walk(ast.Expression(child.test), owners, in_class, local, attributes)
+                walk(ast.Module(child.body, []), owners, in_class, {**local, **settled}, attributes)
+                walk(ast.Module(child.orelse, []), owners, in_class, local, attributes)
             else:
-                if isinstance(child, ast.Call):
-                    fn = child.func
-                    name = fn.attr if isinstance(fn, ast.Attribute) else fn.id if isinstance(fn, ast.Name) else None
-                    if name:
-                        calls.append({"name": name, "receiver": ast.unparse(fn.value) if isinstance(fn, ast.Attribute) else None, "line": child.lineno, "start_byte": byte(child.lineno, child.col_offset), "arg_count": len(child.args) + len(child.keywords)})
-                elif isinstance(child, ast.Import):
-                    imports.extend(a.name for a in child.names)
-                elif isinstance(child, ast.ImportFrom):
-                    head = "." * child.level + (child.module or "")
-                    imports.extend([head, *(f"{head}.{a.name}" for a in child.names if head.strip("."))])
-                walk(child, owners, in_class)
-
-    walk(parsed, [], False)
-    return {"symbols": symbols, "calls": calls, "imports": sorted({i for i in imports if i}), "bases": bases}
+                walk(child, owners, in_class, local, attributes)
+
+    walk(parsed, [], False, {}, {})
+    return {"symbols": symbols, "calls": calls, "imports": sorted({i for i in imports if i}), "bases": bases, "namespaces": [], "bindings": []}
 
 
 def _block_end(lines: list[str], start: int) -> int:
@@ -87,12 +176,30 @@ def _block_end(lines: list[str], start: int) -> int:
     return len(lines) - 1
 
 
+_NAMESPACE = {"java": re.compile(r"^\s*package\s+([\w.]+)\s*;", re.M), "c_sharp": re.compile(r"^\s*namespace\s+([\w.]+)", re.M)}
+_BOUND = re.compile(r"\b(?:const|let|var)\s+(?:(?P<name>\w+)|\{(?P<names>[^}]*)\})\s*=\s*require\(\s*['\"](?P<module>[^'\"]+)['\"]|\bimport\s+(?P<clause>[\w*{}\s,$]+?)\s+from\s+['\"](?P<source>[^'\"]+)['\"]")
+
+
+def module_bindings(source: str) -> list[dict]:
+    """Names that a script binds to modules or to what they export, by require or import."""
+    out = []
+    for m in _BOUND.finditer(source):
+        clause, module = (m["clause"], m["source"]) if m["clause"] else (m["name"] or "{" + m["names"] + "}", m["module"])
+        for part in re.split(r"[{},]", clause):
+            words = re.split(r"\s+as\s+|\s*:\s*", part.strip())
+            if words[-1] and words[-1] != "*":
+                out.append({"name": words[-1], "module": module})
+    return out
+
+
 def _other(path: str, source: str, language: str) -> dict:
     lines = source.split("\n")
     offsets = [0]
     for line in lines:
         offsets.append(offsets[-1] + len(line.encode()) + 1)
-    return _scan(path, lines, offsets, language, [])
+    spaces = list(dict.fromkeys(_NAMESPACE[language].findall(source))) if language in _NAMESPACE else []
+    bindings = module_bindings(source) if language in ("javascript", "typescript", "tsx") else []
+    return _scan(path, lines, offsets, language, []) | {"namespaces": spaces, "bindings": bindings}
 
 
 def _scan(path: str, lines: list[str], offsets: list[int], language: str, owners: list[tuple[str, int]]) -> dict:
@@ -128,13 +235,13 @@ def _scan(path: str, lines: list[str], offsets: list[int], language: str, owners
         for c in _CALL.finditer(line):
             if c["name"] not in _KEYWORDS and c["name"] != name_here:
                 inner = line[c.end() :].split(")")[0]
-                calls.append({"name": c["name"], "receiver": c["receiver"], "line": k + 1, "start_byte": offsets[k] + len(line[: c.start()].encode()), "arg_count": len([a for a in inner.split(",") if a.strip()])})
+                calls.append({"name": c["name"], "receiver": c["receiver"], "receiver_type": None, "line": k + 1, "start_byte": offsets[k] + len(line[: c.start()].encode()), "arg_count": len([a for a in inner.split(",") if a.strip()])})
     return {"symbols": symbols, "calls": calls, "imports": sorted(set(imports)), "bases": bases}
 
 
 def parse(path: str, source: str, language: str | None) -> dict:
     """symbols, calls, imports, bases, status and error of one file."""
-    empty: dict = {"symbols": [], "calls": [], "imports": [], "bases": []}
+    empty: dict = {"symbols": [], "calls": [], "imports": [], "bases": [], "namespaces": [], "bindings": []}
     if language is None:
         return empty | {"status": "unsupported", "error": None}
     try:
@@ -145,7 +252,7 @@ def parse(path: str, source: str, language: str | None) -> dict:
 
 _SYMBOL = "symbol_id: string, name: string, qualified_name: string, kind: string, signature: string, start_line: int, end_line: int, start_byte: bigint, end_byte: bigint, body_start: bigint, body_end: bigint, is_private: boolean, n_params: int"
 _FACTS = "path string, status string, error string, facts string"
-_SHAPE = f"struct<symbols: array<struct<{_SYMBOL}>>, calls: array<struct<name: string, receiver: string, line: int, start_byte: bigint, arg_count: int>>, imports: array<string>, bases: array<struct<class_name: string, parent_name: string>>>"
+_SHAPE = f"struct<symbols: array<struct<{_SYMBOL}>>, calls: array<struct<name: string, receiver: string, receiver_type: string, line: int, start_byte: bigint, arg_count: int>>, imports: array<string>, bases: array<struct<class_name: string, parent_name: string>>, namespaces: array<string>, bindings: array<struct<name: string, module: string>>>"
 
 
 def facts(found: DataFrame) -> DataFrame:
@@ -166,13 +273,15 @@ def facts(found: DataFrame) -> DataFrame:
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """symbols, calls, imports and class_hierarchy of parsed files."""
+    """symbols, calls, imports, class_hierarchy, namespaces and module bindings of parsed files."""
     one = lambda c: parsed.select("path", F.explode(f"f.{c}").alias("x"))
     return {
         "symbols": one("symbols").select("path", "x.*"),
         "calls": one("calls").select("path", "x.*"),
         "imports": one("imports").select("path", F.col("x").alias("module")),
         "class_hierarchy": one("bases").select("path", "x.*"),
+        "namespaces": one("namespaces").select("path", F.col("x").alias("namespace")),
+        "bindings": one("bindings").select("path", "x.*"),
     }
 
 

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.plans import api, build
+from codequarry.plans import answers, api, build
 from codequarry.sources.snapshot import Store
 
 APP = "from pkg.util import shout\n\nclass Base:\n    pass\n\nclass App(Base):\n    def run(self, x):\n        return self.stop(x) + shout(x)\n\n    def stop(self, x):\n        return len(x)\n\ndef main():\n    App().run('x')\n"
@@ -54,6 +54,30 @@ def test_incremental_equals_full_and_answers(spark, tree, tmp_path_factory):
             snap.find_symbols("x", limit=bad)
 
 
+def test_composite_answers(spark, tree, tmp_path_factory):
+    store = Store(spark, f"file://{tmp_path_factory.mktemp('store')}", "repo")
+    build.index(spark, str(tree), store)
+    snap = api.Snapshot(store)
+    plain = answers.inspect_symbol(snap, "App.run", "minimal")
+    assert plain["status"] == "resolved" and set(plain["symbol"]) == {"symbol_id", "name", "kind", "path", "start_line", "signature"}
+    assert ("callee", "src/app.py") in {(r["relation"], r["path"]) for r in plain["relationships"]}
+    full = answers.inspect_symbol(snap, "App.run", "full", 400)
+    assert full["packet"]["target"][0].startswith("    def run") and full["omitted_lines"] == 0 and any("App.stop" in x for x in full["packet"]["callees"])
+    assert answers.inspect_symbol(snap, "App.run", "full", 32)["omitted_lines"] > 0 and answers.inspect_symbol(snap, "zzz")["status"] == "not_found"
+    done = answers.batch(snap, [{"op": "find_symbols", "args": {"pattern": "shout"}}, {"op": "symbol_context", "args": {"symbol_id": "$prev[0].symbol_id"}}, {"op": "find_symbols", "args": {"pattern": "x", "limit": 0}}, {"op": "find_symbols", "args": {"pattern": "$0[0].name"}}])
+    assert any("return quiet(x)" in r["body"] for r in done[1]["rows"]) and "ValueError" in done[2]["error"] and done[3]["rows"][0]["name"] == "shout"
+    for bad in ([], [{"op": "find_symbols"}] * 11, [{"op": "drop"}]):
+        with pytest.raises(ValueError):
+            answers.batch(snap, bad)
+    names = [r.name for r in answers.tools(spark).collect()]
+    assert {"find_symbols", "search_source", "repo_map"} <= set(names) and answers.tool_schema(spark, "search_source")["query"]["required"]
+    rows = snap.table("symbols")
+    assert answers.finalize(rows, "text", ["name"], ["name"]).count() == answers.finalize(rows, "compact_text", ["name"], ["name", "symbol_id"]).count() == rows.count()
+    # The receiver's type is known from its class, so the call is bound to the method of that class.
+    calls = {r.target_name: r.evidence for r in snap.table("edges").collect()}
+    assert calls["run"] == ["exact_receiver_type"] and calls["stop"] == ["same_class"]
+
+
 def test_unchanged_files_are_not_read_again(spark, tree, tmp_path_factory):
     store = Store(spark, f"file://{tmp_path_factory.mktemp('store')}", "repo")
     util = tree / "src" / "pkg" / "util.py"

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,7 +218,14 @@ def test_memory(spark):
 
 
 def test_statistics(spark):
-    assert stats.bootstrap([1.0, 2.0, 3.0], lambda v: sum(v) / len(v), 200) == stats.bootstrap([1.0, 2.0, 3.0], lambda v: sum(v) / len(v), 200) and stats.bootstrap([], max) is None
+    assert stats.bootstrap([]) is None
+    for n in (1, 2, 7, 64, 100):
+        values = sorted(random.Random(n).random() for _ in range(n))
+        for name, fn in (("median", statistics.median), ("mean", statistics.fmean)):
+            rng = random.Random(0)
+            found = sorted(fn([values[rng.randrange(n)] for _ in range(n)]) for _ in range(300))
+            want = found[int(0.025 * 299)], found[int(0.975 * 299)]
+            assert all(abs(a - b) < 1e-12 for a, b in zip(stats.bootstrap(values, name, 300), want)), (n, name)
     ranked = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("t", "c", 7)], "task_id string, item string, rank int")
     gold = spark.createDataFrame([("t", "b"), ("t", "c"), ("u", "z")], "task_id string, item string")
     got = {r.task_id: r for r in stats.retrieval(ranked, gold).collect()}

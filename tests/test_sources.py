@@ -122,3 +122,61 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.acquired for r in spark.sql("SELECT * FROM leases ORDER BY seq").collect()] == [True, False, True]
+
+
+TYPED = """
+class Store: pass
+
+def make() -> Store:
+    return Store()
+
+class App:
+    cache: Cache
+
+    def __init__(self, log: Logger):
+        self.store, self.two = Store(), 2
+        self.own = Store()
+        self.log = log
+        self.odd = Store()
+
+    def reset(self):
+        self.odd = 3
+
+    def run(self, x, y: "pkg.Path"):
+        s = Store()
+        s.a1()
+        self.own.a2()
+        self.log.a3()
+        self.odd.a4()
+        y.a5()
+        t = make()
+        t.a6()
+        if ready() and isinstance(x, Item):
+            x.a7()
+        else:
+            x.a8()
+        for k in []:
+            k.a9()
+        u = Store()
+        u = 5
+        u.b1()
+        with Store() as w:
+            w.b2()
+        make().b3()
+        self.cache.b4()
+        self.store.b5()
+"""
+
+
+def test_types_of_receivers():
+    p = parse.parse("a.py", TYPED, "python")
+    found = {c["name"]: c["receiver_type"] for c in p["calls"] if c["name"][0] in "ab" and len(c["name"]) == 2}
+    assert found == {"a1": "Store", "a2": "Store", "a3": "Logger", "a4": None, "a5": "Path", "a6": "Store", "a7": "Item", "a8": None, "a9": None, "b1": None, "b2": "Store", "b3": "Store", "b4": "Cache", "b5": None}
+    assert [c["name"] for c in p["calls"]].count("isinstance") == 1 and [c["name"] for c in p["calls"]].count("ready") == 1
+
+
+def test_namespaces_and_bindings():
+    assert parse.parse("A.cs", "using System;\nnamespace My.App\n{ class A { } }", "c_sharp")["namespaces"] == ["My.App"]
+    assert parse.parse("A.java", "package my.app;\nclass A { }", "java")["namespaces"] == ["my.app"]
+    js = "const fs = require('fs')\nconst { join, resolve: r } = require('path')\nimport React, { useState as s } from 'react'\nimport * as all from './all'\n"
+    assert [(b["name"], b["module"]) for b in parse.parse("a.js", js, "javascript")["bindings"]] == [("fs", "fs"), ("join", "path"), ("r", "path"), ("React", "react"), ("s", "react"), ("all", "./all")]

@@ -1,14 +1,16 @@
-"""Audit rows as micro-batches, last-seen state, and stateful twins of the rate limiter and the lease locks."""
+"""Audit rows as micro-batches, last-seen state, expiry, policies read anew, and stateful twins of the rate limiter and the lease locks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import access
+
 
 def sink(rows: DataFrame, table: str, checkpoint: str, every: str = "250 milliseconds") -> StreamingQuery:
     """Appends to a Parquet table exactly once: each batch is a file set of its own, tracked by the checkpoint."""
@@ -60,3 +62,42 @@ def leased(requests: DataFrame, timeout: float) -> DataFrame:
 
     chosen = requests.select("resource_key", F.col("seq").cast("long").alias("seq"), F.col("at").cast("double").alias("at"), "agent_id")
     return chosen.groupBy("resource_key").applyInPandasWithState(step, "resource_key string, seq long, agent_id string, acquired boolean", "held string, until double", "append", GroupStateTimeout.NoTimeout)
+
+
+def expiring(puts: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """A keyed store as a stateful stream over (key, ts, value, expires_at): each put, and each expiry once event time has passed it (`event`: put or
+    expired). State is a key's value; a later put replaces it, and one without expiry stays."""
+
+    def step(k: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        out = []
+        if state.hasTimedOut:
+            out.append((k[0], "expired", state.get[0]))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            out += [(k[0], "put", v) for v in rows["value"]]
+            last = rows.iloc[-1]
+            now = state.getCurrentWatermarkMs()
+            if not pd.isna(last["expires_at"]) and int(last["expires_at"].timestamp() * 1000) <= now:
+                out.append((k[0], "expired", last["value"]))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last["value"],))
+                if not pd.isna(last["expires_at"]):
+                    state.setTimeoutTimestamp(int(last["expires_at"].timestamp() * 1000))
+        yield pd.DataFrame(out, columns=["key", "event", "value"])
+
+    rows = puts.withWatermark("ts", late).select("key", "ts", "value", "expires_at")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, event string, value string", "value string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def decided(requests: DataFrame, agents: Callable[[], DataFrame], read_only: list[str], out: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Access decisions of a stream of requests: `agents` reads the policies anew for each micro-batch, so a change counts from the next one on."""
+
+    def batch(rows: DataFrame, k: int) -> None:
+        out(access(rows, agents(), False, read_only), k)
+
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -180,3 +180,31 @@ def test_namespaces_and_bindings():
     assert parse.parse("A.java", "package my.app;\nclass A { }", "java")["namespaces"] == ["my.app"]
     js = "const fs = require('fs')\nconst { join, resolve: r } = require('path')\nimport React, { useState as s } from 'react'\nimport * as all from './all'\n"
     assert [(b["name"], b["module"]) for b in parse.parse("a.js", js, "javascript")["bindings"]] == [("fs", "fs"), ("join", "path"), ("r", "path"), ("React", "react"), ("s", "react"), ("all", "./all")]
+
+
+def test_expiry_stream(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    schema = "key string, ts timestamp, value string, expires_at timestamp"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/puts")
+    q = audit.expiring(spark.readStream.schema(schema).parquet(f"{tmp_path}/puts")).writeStream.format("memory").queryName("expiry").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        for rows in ([("a", at(0), "1", at(10)), ("b", at(1), "2", None)], [("a", at(5), "3", at(30))], [("c", at(20), "4", None)], [("c", at(60), "5", None)], [("c", at(61), "6", None)]):
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/puts")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(tuple(r) for r in spark.table("expiry").collect()) == [("a", "expired", "3"), ("a", "put", "1"), ("a", "put", "3"), ("b", "put", "2"), ("c", "put", "4"), ("c", "put", "5"), ("c", "put", "6")]
+
+
+def test_policies_are_read_anew(spark, tmp_path):
+    schema, seen = "agent_id string, tool_name string, accepted boolean", []
+    agents = [spark.createDataFrame([("a", s, "full", None)], "agent_id string, status string, policy string, custom_tools array<string>") for s in ("active", "paused")]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/asked")
+    q = audit.decided(spark.readStream.schema(schema).parquet(f"{tmp_path}/asked"), lambda: agents[min(len([x for x in seen if x]), 1)], [], lambda df, k: seen.append([r.reason for r in df.collect()]), f"{tmp_path}/c")
+    try:
+        for _ in range(2):
+            spark.createDataFrame([("a", "t", True)], schema).write.mode("append").parquet(f"{tmp_path}/asked")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [x for x in seen if x] == [[None], ["agent_paused"]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .lookup import innermost
 
 # How far a resolution within each scope is trusted.
@@ -64,12 +65,20 @@ def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) ->
     )
 
 
-def by_context(calls: DataFrame, candidates: DataFrame, name: str, context: list[str], rules: dict[str, Column]) -> DataFrame:
+def by_context(calls: DataFrame, candidates: DataFrame, name: str, context: list[str], rules: dict[str, Column], near: tuple[str, str] | None = None) -> DataFrame:
     """Calls with their decisions, which are made once for each distinct context and joined back: a name with many candidates meets each
-    context once, not each call. `name` is in the context and named alike in the candidates."""
+    context once, not each call. `name` is in the context and named alike in the candidates.
+
+    `near` names a column of the context and one of the candidates whose equality is the first rule: contexts with such candidates are decided by
+    them alone, in a join on both, and only the others meet all candidates of their name."""
     contexts = calls.select(*context).distinct()
-    decided = decide(contexts.join(candidates, name), context, rules)
-    return calls.join(decided, context)
+    if near is None:
+        return calls.join(decide(contexts.join(candidates, name), context, rules), context)
+    first = next(iter(rules))
+    close = contexts.join(candidates, (contexts[name] == candidates[name]) & (contexts[near[0]] == candidates[near[1]])).drop(candidates[name])
+    decided = cut(decide(close, context, {first: rules[first]}), "near")
+    rest = contexts.join(decided.select(*context), context, "left_anti")
+    return calls.join(decided.unionByName(decide(rest.join(candidates, name), context, rules)), context)
 
 
 def dedupe(edges: DataFrame, order: list[str]) -> DataFrame:

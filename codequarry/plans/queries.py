@@ -563,7 +563,7 @@ def rule_priority_resolve(spark, d):
     calls = fx.calls(spark, d).withColumnRenamed("path", "call_path")
     candidates = fx.symbols(spark, d).withColumn("n_params", F.col("symbol_id") % 7).withColumnRenamed("name", "call_name")
     rules = {"same_file": F.col("call_path") == F.col("path"), "global": F.lit(True)}
-    decided = resolve.by_context(calls, candidates, "call_name", ["call_path", "call_name", "arg_count"], rules)
+    decided = resolve.by_context(calls, candidates, "call_name", ["call_path", "call_name", "arg_count"], rules, near=("call_path", "path"))
     return decided.select("call_id", "call_path", "call_name", "target_symbol_id", "status", "scope", "n_candidates")
 
 

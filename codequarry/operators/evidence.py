@@ -102,6 +102,13 @@ def js_candidates(source: Column, target: Column) -> Column:
     return F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(joined, e))
 
 
+def script_links(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, module, target): the file that a relative specifier means, the first of its candidates that exists."""
+    relative = imports.filter(F.col("module").startswith("."))
+    tried = relative.select("path", "module", F.posexplode(js_candidates(F.col("path"), F.col("module"))).alias("pos", "target"))
+    return tried.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "module").agg(F.min_by("target", "pos").alias("target"))
+
+
 def structural_roles(symbols: DataFrame, hierarchy: DataFrame, entry_targets: DataFrame) -> DataFrame:
     """Roles by structure: protocols, what implements them, and declared entry points (module:attribute with one match)."""
     protocol = symbols.filter((F.col("kind") == "interface") | F.col("name").rlike("(Protocol|Base|Interface)$")).select("symbol_id", F.col("name").alias("parent"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..functions import text as T
 from ..operators import cards, evidence, fulltext, graph, resolve, typed
 from ..operators.checkpoints import shared_folder
@@ -414,3 +415,60 @@ def packet_neighbours(spark, d):
     ranks = s.select("symbol_id", (F.col("symbol_id") % 13).cast("double").alias("score"))
     near = answers.neighbours(s, fx.edges(spark, d).withColumn("source_line", F.lit(1)), ranks, 7)
     return near.select("relation", "symbol_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN concat('{\"a\":[\"x\",\"[REDACTED: potential secret]\"],\"n\":', CAST(id AS STRING), '}') WHEN id % 3 = 1 THEN '[REDACTED: potential secret]' ELSE '{\"b\":{\"c\":\"plain\"}}' END AS details FROM fx_audit")
+def redact_nested(spark, d):
+    k = F.col("id")
+    given = F.when(k % 3 == 0, F.concat(F.lit('{"a": ["x", "password = hunter22"], "n": '), k.cast("string"), F.lit("}"))).when(k % 3 == 1, "token: abcdefgh").otherwise('{"b": {"c": "plain"}}')
+    return fx.audit(spark, d).select("id", documents.redact_json(given).alias("details"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0 ELSE CAST(ceil(strlen(text) / 4.0) AS BIGINT) END AS n, 'estimate' AS method FROM documents")
+def counted_tokens(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", documents.counted_tokens(F.col("text")).alias("c")).select("doc_id", "c.n", "c.method")
+
+
+# Scripts: a file imports by a path relative to its own folder.
+_SCRIPTS = """WITH f AS (SELECT DISTINCT concat('web/', CASE o_custkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'a/b/' ELSE '' END, 'f', CAST(o_custkey % 20 AS STRING), CASE o_custkey % 4 WHEN 0 THEN '/index.js' WHEN 1 THEN '.ts' ELSE '.js' END) AS path FROM orders),
+ i AS (SELECT DISTINCT concat('web/a/b/c', CAST(o_orderkey % 10 AS STRING), '.js') AS path, concat(['./', '../', '../../', '../b/'][o_orderkey % 4 + 1], 'f', CAST(o_custkey % 20 AS STRING)) AS module FROM orders),
+ j AS (SELECT path, module, concat(CASE WHEN starts_with(module, '../../') THEN 'web/' WHEN starts_with(module, '../b/') OR starts_with(module, './') THEN 'web/a/b/' ELSE 'web/a/' END, split_part(module, '/', -1)) AS base FROM i),
+ c AS (SELECT path, module, base, unnest(['', '.js', '.jsx', '.ts', '.tsx', '.mjs', '.cjs', '/index.js']) AS ending, unnest(range(8)) AS pos FROM j)"""
+
+
+@query(_SCRIPTS + " SELECT c.path, c.module, arg_min(f.path, c.pos) AS target FROM c JOIN f ON f.path = concat(c.base, c.ending) GROUP BY 1, 2")
+def script_imports(spark, d):
+    o = fx.table(spark, d, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    name = F.concat(F.lit("f"), (c % 20).cast("string"))
+    files = o.select(F.concat(F.lit("web/"), F.when(c % 3 == 0, "a/").when(c % 3 == 1, "a/b/").otherwise(""), name, F.when(c % 4 == 0, "/index.js").when(c % 4 == 1, ".ts").otherwise(".js")).alias("path")).distinct()
+    imports = o.select(F.concat(F.lit("web/a/b/c"), (k % 10).cast("string"), F.lit(".js")).alias("path"), F.concat(F.element_at(_array(["./", "../", "../../", "../b/"]), (k % 4).cast("int") + 1), name).alias("module")).distinct()
+    return evidence.script_links(imports, files)
+
+
+# All rules of the cascade: calls are suppliers times ten names, candidates the parts of that name.
+_CASCADE = """WITH c AS (SELECT s_suppkey * 10 + k AS call_id, p.p_name, k, s_suppkey, ['self', 'this.x', 'Brand_11', 'other', NULL, NULL, NULL][k % 7 + 1] AS receiver, CASE k % 3 WHEN 0 THEN 'Brand_11.f' WHEN 1 THEN 'Brand_22.Inner.f' ELSE 'f' END AS caller_qualified,
+  CASE WHEN k % 4 = 1 THEN 'Brand_12' END AS receiver_type, concat(CASE s_suppkey % 2 WHEN 0 THEN 'src/' ELSE 'lib/' END, 'brand_', CAST(10 * (s_suppkey % 5 + 1) + k % 5 + 1 AS STRING), '.py') AS call_path, CASE WHEN s_suppkey % 3 = 0 THEN 'n1' END AS call_namespace, CASE WHEN s_suppkey % 7 = 0 THEN ['src.brand_13'] ELSE [] END AS imported, CAST((s_suppkey + k) % 7 AS INT) AS arg_count
+  FROM supplier CROSS JOIN (SELECT unnest(range(10)) AS k) JOIN part p ON p.p_partkey = s_suppkey * 7 + k),
+ j AS (SELECT c.*, s.symbol_id, s.qualified_name, s.path, s.start_line, s.symbol_id % 7 AS n_params, split_part(s.qualified_name, '.', 1) AS owner, CASE WHEN s.symbol_id % 9 = 0 THEN 'n1' END AS namespace FROM c JOIN fx_symbols s ON s.name = replace(c.p_name, ' ', '_')),
+ r AS (SELECT *, CASE WHEN receiver IN ('self', 'this') AND owner = regexp_replace(caller_qualified, '\\.[^.]*$', '') AND contains(caller_qualified, '.') THEN 0 WHEN receiver = 'this.x' AND receiver_type = owner THEN 1 WHEN receiver_type = owner THEN 2 WHEN receiver = owner THEN 3
+  WHEN receiver IS NULL AND contains(caller_qualified, '.') AND owner = regexp_replace(caller_qualified, '\\.[^.]*$', '') THEN 4 WHEN call_path = path THEN 5 WHEN list_contains(imported, replace(replace(path, '.py', ''), '/', '.')) THEN 6 WHEN namespace = call_namespace THEN 7 WHEN starts_with(call_path, 'src/') THEN 8 ELSE 9 END AS rule FROM j),
+ g AS (SELECT call_id, rule, count(*) AS n, count(DISTINCT concat(qualified_name, '|', path)) AS n_names, count(CASE WHEN n_params = arg_count THEN 1 END) AS n_fit, arg_min(symbol_id, (CASE WHEN n_params = arg_count THEN 0 ELSE 1 END) * 1000000000000 + start_line * 10000000 + symbol_id) AS best FROM r GROUP BY 1, 2),
+ f AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY rule) AS k FROM g)
+ SELECT call_id, CASE WHEN n = 1 OR n_names = 1 THEN best END AS target_symbol_id, CASE WHEN n = 1 OR n_names = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+ CASE WHEN n = 1 THEN ['same_class', 'attr_type', 'exact_receiver_type', 'receiver_match', 'implicit_this', 'same_file', 'import_match', 'same_namespace', 'same_package', 'global'][rule + 1] WHEN n_names = 1 AND n_fit = 1 THEN 'overload_arity' WHEN n_names = 1 THEN 'overload_group' ELSE 'ambiguous' END AS scope, n AS n_candidates FROM f WHERE k = 1"""
+
+
+@query(_CASCADE.replace("\\\\", "\\"))
+def rule_cascade(spark, d):
+    s, k = F.col("s_suppkey"), F.col("k")
+    rows = fx.table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    calls = rows.join(fx.table(spark, d, "part").select("p_partkey", "p_name"), F.col("p_partkey") == s * 7 + k).select(
+        (s * 10 + k).alias("call_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"),
+        F.element_at(F.array(*[F.lit(x).cast("string") for x in ("self", "this.x", "Brand_11", "other", None, None, None)]), (k % 7).cast("int") + 1).alias("receiver"),
+        F.when(k % 3 == 0, "Brand_11.f").when(k % 3 == 1, "Brand_22.Inner.f").otherwise("f").alias("caller_qualified"), F.when(k % 4 == 1, "Brand_12").alias("receiver_type"),
+        F.concat(F.when(s % 2 == 0, "src/").otherwise("lib/"), F.lit("brand_"), (10 * (s % 5 + 1) + k % 5 + 1).cast("string"), F.lit(".py")).alias("call_path"),
+        F.when(s % 3 == 0, "n1").alias("call_namespace"), F.when(s % 7 == 0, _array(["src.brand_13"])).otherwise(F.array().cast("array<string>")).alias("imported"), ((s + k) % 7).cast("int").alias("arg_count"),
+    )
+    symbols = fx.symbols(spark, d).select("symbol_id", "name", "qualified_name", "path", "start_line", (F.col("symbol_id") % 7).alias("n_params"), F.when(F.col("symbol_id") % 9 == 0, "n1").alias("namespace"), T.module_candidates(F.col("path")).alias("candidate_modules"))
+    return resolve.decide(calls.join(symbols, "name"), ["call_id"], resolve.scopes()).select("call_id", "target_symbol_id", "status", "scope", "n_candidates")

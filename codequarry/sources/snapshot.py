@@ -74,10 +74,15 @@ class Store:
         fs, p = self._fs(f"{self.root}/{self.repo_id}")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def collect_garbage(self, keep: int = 1) -> list[str]:
-        """Deletes all runs but the current one and the `keep` latest others."""
-        others = [r for r in self.runs() if r != self.current()]
-        gone = others[: max(0, len(others) - keep)]
+    def _age(self, run_id: str) -> float:
+        """Seconds since a run's folder was last written."""
+        fs, p = self._fs(f"{self.root}/{self.repo_id}/{run_id}")
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+    def collect_garbage(self, keep: int = 1, older_than: float = 0) -> list[str]:
+        """Deletes the runs that are not the current one, nor among the `keep` latest others, nor younger than so many seconds (a build that goes on)."""
+        others = sorted((r for r in self.runs() if r != self.current()), key=self._age, reverse=True)
+        gone = [r for r in others[: max(0, len(others) - keep)] if self._age(r) >= older_than]
         for r in gone:
             fs, p = self._fs(f"{self.root}/{self.repo_id}/{r}")
             fs.delete(p, True)

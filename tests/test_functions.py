@@ -69,3 +69,14 @@ def test_binary(spark):
 def test_porter():
     want = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "is": "is", "generalizations": "gener", "oscillators": "oscil"}
     assert {w: stem(w) for w in want} == want
+
+
+def test_documents(spark):
+    from codequarry.functions import documents
+
+    assert one(spark, documents.redact_json(F.col("t")), t='{"a": {"b": ["token = abcdefgh", 1, null]}, "c": "x\\npassword: hunter22"}') == '{"a":{"b":["[REDACTED: potential secret]",1,null]},"c":"x\\n[REDACTED: potential secret]"}'
+    assert one(spark, documents.atomic_stems(F.col("t")), t="export_svg of the SVGExporter, a x") == ["export", "svg"]
+    assert tuple(one(spark, documents.counted_tokens(F.col("t")), t="abcde")) == (2, "estimate")
+    import public_tokenizers as P
+
+    assert tuple(one(spark, documents.counted_tokens(F.col("t"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), t="hello world")) == (2, "vocabulary")

@@ -98,4 +98,15 @@ ORACLE_SQL: dict[str, str] = {
  r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
  SELECT d.doc_id, least(d.doc_id, coalesce(c.least_y, d.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links FROM documents d
  LEFT JOIN (SELECT x, min(y) AS least_y FROM r GROUP BY x) c ON c.x = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = d.doc_id""",
+    "op8_suffix_dedup": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ w AS (SELECT doc_id, i, md5(b[i : i + 99]) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+ f AS (SELECT s, min(doc_id * 1000000000 + i) AS first FROM w GROUP BY s HAVING count(*) > 1),
+ r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id * 1000000000 + i <> first),
+ g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+ h AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+ u AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM h GROUP BY doc_id, k),
+ p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+ q AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(b[before + 1 : a - 1]), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+ SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ CASE WHEN head IS NULL THEN sha256(b) ELSE sha256(unhex(head || hex(b[last + 1 :]))) END AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)""",
 }

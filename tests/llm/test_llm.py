@@ -92,6 +92,7 @@ class TestTokenCounts:
                 p.score = ours.score[p.piece] / 2**20
         library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         texts = ODD + texts_like(5)
+        assert token_counts.count_tokens(docs(spark, []), path).count() == 0
         found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(same_twice(spark, texts), path).collect()}
         assert {k: len(library.encode(t or "")) for k, t in enumerate(texts)} | {None: len(library.encode("lone text"))} == found
 
@@ -314,11 +315,11 @@ class TestPii:
         rng = random.Random(21)
         words = ["red", "green", "blue", "grey", "white"]
         texts = []
-        for k in range(300):
-            t = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+        for k in range(600):
+            t = [rng.choice(words) for _ in range(rng.randint(0, 60))]
             if rng.random() < 0.3:
                 n = rng.randint(0, 9)
-                t[rng.randint(0, len(t)) : 0] = [rng.choice([f"name{n}", f"boss{n % 3}", "red"]), f"u{n}@ex.com" if rng.random() < 0.7 else f"10.0.0.{n}", rng.choice([f"Desk{n}", "blue", f"tel{n}"])]
+                t[rng.randint(0, len(t)) : 0] = [rng.choice([f"name{n}", f"Name{n}", f"boss{n % 3}"]), f"u{n}@ex.com" if rng.random() < 0.9 else f"10.0.0.{n}", rng.choice([f"Desk{n}", "blue", f"tel{n}"])]
             texts.append(" ".join(t))
         token = re.compile(r"\w+")
         total, n_t, n_e, n_te = 0, collections.Counter(), collections.Counter(), collections.Counter()
@@ -729,6 +730,24 @@ class TestQueries:
             rows = df.collect()
             assert len(rows) == n if name[:3] in ("op3", "op4", "op6", "op8") else rows, name
 
+    def test_sql(self, spark):
+        import glob
+        import os
+
+        import duckdb
+
+        from codequarry.llm.queries import ORACLE_SQL, QUERIES
+
+        con = duckdb.connect()
+        for p in glob.glob(f"{self.D}/*.parquet"):
+            con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+        assert {"op5_ngram_join", "op8_suffix_dedup"} <= set(ORACLE_SQL)
+        for name, sql in ORACLE_SQL.items():
+            df, want = QUERIES[name](spark, self.D), con.execute(sql)
+            names = [c[0] for c in want.description]
+            assert sorted(names) == sorted(df.columns), name
+            assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(want.fetchall()), name
+
     def test_digests(self, spark):
         from codequarry.llm.queries import QUERIES
 

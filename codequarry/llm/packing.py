@@ -38,14 +38,17 @@ TOGETHER = 256
 class WordTokenizer:
     """Ids of a tokenizer file that drops white space: words between spaces and line ends are encoded once each.
 
-    Special tokens' strings in a text get their ids, as the library gives them. Words of letters alone are sent many at a time, and
-    their ids are told apart by the mark that ends a word's last token."""
+    Special tokens' strings in a text get their ids, as the library gives them. Words of lower-case letters alone go to the library's model many at
+    a time, past the normalizer and the pattern that would leave them as they are, and their ids are told apart by the mark that ends
+    a word's last token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -58,26 +61,26 @@ class WordTokenizer:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters."""
+        """Ids of words of lower-case letters."""
         out: list[bytes] = []
         parts = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, self.model.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(part):  # letters to Python, but not to the library
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):
                 out += self._each(part)
                 continue
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
-        cores = [w if w.isalpha() else w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else None for w in words]
-        known = self.letters.fill((c for c in cores if c is not None), self._together)
-        others = iter(self._each([w for w, c in zip(words, cores) if c is None]))
-        return [next(others) if c is None else known[c] if len(c) == len(w) else known[c] + self.marks[w[-1]] for w, c in zip(words, cores)]
+        cores = [_letters(w) or (_letters(w[:-1]) if w[-1:] in self.marks else None) for w in words]
+        known = self.letters.fill((c for c in cores if c), self._together)
+        others = iter(self._each([w for w, c in zip(words, cores) if not c]))
+        return [next(others) if not c else known[c] + self.marks[w[-1]] if w[-1] in self.marks else known[c] for w, c in zip(words, cores)]
 
-    def _plain(self, text: str) -> str:
+    def _lowered(self, text: str) -> str:
         """The text with A to Z as a to z, where that changes no id: the library composes characters before it lowers them."""
         if any(s[:2] in text for s in self.special):
             return text
@@ -86,11 +89,17 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self._plain(x).replace("\n", " ").split(" ") for x in texts]
+        words = [self._lowered(x).replace("\n", " ").split(" ") for x in texts]
         known = self.cache.fill(itertools.chain.from_iterable(words), self._words)
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
+def _letters(word: str) -> str | None:
+    """A word of letters of the Latin blocks in lower case; null if it is another. These are letters to every version of the library, composed,
+    and lowered one by one (but for the dotted capital I)."""
+    return word.lower() if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)) else None
+
+
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

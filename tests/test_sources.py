@@ -57,7 +57,7 @@ def test_scan_parse_resolve(spark, tree):
     edges = resolve.build_edges(t["calls"], t["symbols"], t["imports"])
     names = {r.symbol_id: r.qualified_name for r in t["symbols"].collect()}
     got = {(names[r.source_symbol_id], names.get(r.target_symbol_id), r.evidence[0]) for r in edges.collect()}
-    assert {("App.run", "App.stop", "same_class"), ("App.run", "shout", "import_match"), ("main", "App.run", "same_file"), ("main", "App", "same_file")} <= got
+    assert {("App.run", "App.stop", "same_class"), ("App.run", "shout", "import_match"), ("main", "App.run", "exact_receiver_type"), ("main", "App", "same_file")} <= got
     with pytest.raises(ValueError):
         scan.count_guard(found, 2)
 

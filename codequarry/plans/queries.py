@@ -313,11 +313,10 @@ def pagerank_30(spark, d):
 
 @query(_RANKS + """, dg AS (SELECT symbol_id, sum(i) AS ins, sum(o) AS outs FROM (SELECT source_symbol_id AS symbol_id, 0 AS i, 1 AS o FROM fx_edges WHERE confidence >= 0.6 UNION ALL SELECT target_symbol_id, 1, 0 FROM fx_edges WHERE confidence >= 0.6) GROUP BY 1),
  j AS (SELECT s.symbol_id, s.kind, s.path, p * n AS rank, coalesce(ins, 0) AS ins, coalesce(outs, 0) AS outs FROM fx_symbols s JOIN p30 USING (symbol_id) CROSS JOIN c LEFT JOIN dg USING (symbol_id)), m AS (SELECT avg(ins) AS mean, stddev_pop(ins) AS std FROM j)
- SELECT symbol_id, round(round(rank * CASE WHEN std > 0 AND (ins - mean) / std > 3 AND outs <= 2 THEN 0.5e0 ELSE 1.0e0 END + CASE WHEN kind IN ('class', 'interface') THEN 0.25e0 ELSE 0 END - CASE WHEN path LIKE 'src/%' THEN 0.5e0 ELSE 0 END, 6), 4) AS score FROM j CROSS JOIN m""")
+ SELECT symbol_id, round(rank * CASE WHEN std > 0 AND (ins - mean) / std > 3 AND outs <= 2 THEN 0.5e0 ELSE 1.0e0 END + CASE WHEN kind IN ('class', 'interface') THEN 0.25e0 ELSE 0 END - CASE WHEN path LIKE 'src/%' THEN 0.5e0 ELSE 0 END, 6) AS score FROM j CROSS JOIN m""")
 def global_ranks(spark, d):
     s, e = fx.symbols(spark, d), fx.edges(spark, d)
-    ranked = graph.global_ranks(s, e, graph.pagerank(s, e), {"declared_entry_point": 3.0, "registry_wiring": 2.4, "protocol_definition": 2.1}, {"scripts": 1.5, "src": 0.5})
-    return ranked.withColumn("score", F.round("score", 4))
+    return graph.global_ranks(s, e, graph.pagerank(s, e), {"declared_entry_point": 3.0, "registry_wiring": 2.4, "protocol_definition": 2.1}, {"scripts": 1.5, "src": 0.5})
 
 
 _BEST = "(SELECT anchor, anchor_rank, node, product, relation FROM (SELECT *, row_number() OVER (PARTITION BY anchor, node ORDER BY product DESC, relation DESC) AS k FROM ({0})) WHERE k = 1)"

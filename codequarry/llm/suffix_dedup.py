@@ -299,7 +299,7 @@ def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[0] |= goes_on and more
         if held is not None and goes_on and several[0]:
             yield _as(held, OPEN)
-        if held is not None and (not goes_on or several[0]):
+        if not goes_on or several[0] or group[-1]:  # the group that went on has ended, or its row is out
             held = None
         repeats = ~other
         if repeats.any():
@@ -389,7 +389,8 @@ def _marked(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
         ranked = _ranked(cells, run, _CELLS_SQL, f"round{k}")
         collect_garbage(df.sparkSession)
         marks = marks.unionByName(ranked.filter(F.col("kind") == REPEAT).select("doc", "tie", mark))
-        cells, run = ranked.filter(F.col("kind") == OPEN).select(*take), next_cut
+        # Cells of one offset are settled by their digests, and carry no bytes to cut.
+        cells, run = ranked.filter((F.col("kind") == OPEN) & (F.col("first") < F.col("last"))).select(*take), next_cut
     return laid.join(marks.groupBy("doc", "tie").agg(F.collect_list("mark").alias("marks")), ["doc", "tie"], "left")
 
 

@@ -581,6 +581,27 @@ class TestSuffixDedup:
             rows = list(enumerate(dedup_texts(random.Random(seed), ["ab", "abcdé \n", "xyz"][seed // 3 % 3], 25) + ["ab" * 400]))
             assert dedup_here(rows, length, gram) == {d: n for d, _, n, _, _ in brute_dedup(rows, length)}
 
+    def test_batches_change_nothing(self):
+        D, rng = suffix_dedup, random.Random(31)
+        for _ in range(200):
+            rows = sorted((q, o := rng.randint(0, 1), o, doc, 0, 0, D.RANK) for doc, q in enumerate(rng.choices(range(4), k=12)))
+            table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), D._SAMPLES)], schema=D._SAMPLES)
+
+            def told(size):
+                return sorted((r["doc"], r["kind"]) for b in D.classify(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist())
+
+            assert all(told(size) == told(12) for size in range(1, 12)), rows
+
+    def test_cells_of_one_offset_are_not_cut(self):
+        """The first cell's copy begins a batch that ends within another group: before, the first then went on, without bytes to cut."""
+        D, text = suffix_dedup, bytes(range(102))
+        rows = [(1, 1, 1, doc, 0, 68, D.RANK, 68, 68, 68, 68, None, 68) for doc in range(2)] + [(2, 2, k, 2 + k, 0, 9, D.RANK, 0, 2, 0, 2, text, 2) for k in range(3)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), D._CELLS)], schema=D._CELLS) for part in (rows[:1], rows[1:4], rows[4:])]
+        found = [r for b in D.classify(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["doc"], r["kind"]) for r in found) == [(1, D.REPEAT), (2, D.OPEN), (3, D.OPEN), (4, D.OPEN)]
+        cells = [tuple(r[c] for c in ("doc", "tie", "pos", "first", "last", "low", "high", "around", "before")) for r in found if r["kind"] == D.OPEN]
+        assert sum(b.num_rows for b in D.cut(iter(cells), 100)) == 9
+
     def test_empty_table(self, spark):
         assert suffix_dedup.dedup(docs(spark, [])).count() == 0 and suffix_dedup.cleaned(docs(spark, [])).count() == 0
 

@@ -41,7 +41,7 @@ def scopes(extra: dict[str, Column] | None = None) -> dict[str, Column]:
 
 
 def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) -> DataFrame:
-    """Rows are distinct by call and symbol. Per call: the first rule under which a candidate stands, resolved if exactly one does (or all are overloads of one name), else ambiguous.
+    """Rows are distinct by call and symbol, or by call and class of `classes`. Per call: the first rule under which a candidate stands, resolved if exactly one does (or all are overloads of one name), else ambiguous.
 
     Each (call, candidate) row gets its first rule; one aggregation finds each call's best rule and the candidates under it."""
     names = list(rules)
@@ -50,9 +50,15 @@ def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) ->
         rank = F.when(F.coalesce(rules[names[k]], F.lit(False)), k).otherwise(rank)
     ranked = candidates.withColumn("rule", rank).filter("rule is not null")
     # Overload pick: by arity, then the smallest start. A name is single if its least and greatest are equal, so one pass with partial aggregation does.
-    fits = F.coalesce(F.col("n_params") == F.col("arg_count"), F.lit(False))
-    pick, named = F.struct((~fits).alias("wrong"), F.col("start_line"), F.col("symbol_id")), F.struct("qualified_name", "path")
-    per_rule = ranked.groupBy(*call, "rule").agg(F.count("*").alias("n"), F.min(named).alias("lo"), F.max(named).alias("hi"), F.min(pick).alias("best"), F.count_if(fits).alias("n_fit"))
+    fits = lambda n_params: F.coalesce(n_params == F.col("arg_count"), F.lit(False))
+    pick = lambda c: F.struct((~fits(c["n_params"])).alias("wrong"), c["start_line"].alias("start_line"), c["symbol_id"].alias("symbol_id"))
+    if "same" in candidates.columns:
+        many = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        n, n_fit, first_fit = many(F.col("same")), many(F.filter("same", lambda x: fits(x["n_params"]))), F.array_min(F.transform("same", pick))
+    else:
+        n, n_fit, first_fit = F.lit(1).cast("long"), fits(F.col("n_params")).cast("long"), pick({c: F.col(c) for c in ("n_params", "start_line", "symbol_id")})
+    named = F.struct("qualified_name", "path")
+    per_rule = ranked.groupBy(*call, "rule").agg(F.sum(n).alias("n"), F.min(named).alias("lo"), F.max(named).alias("hi"), F.min(first_fit).alias("best"), F.sum(n_fit).alias("n_fit"))
     first = F.min(F.struct("rule", "n", (F.col("lo") == F.col("hi")).alias("one_name"), "best", "n_fit"))
     best = per_rule.groupBy(*call).agg(first.alias("b")).select(*call, "b.*")
     scope = F.element_at(F.array(*map(F.lit, names)), F.col("rule") + 1)
@@ -65,20 +71,34 @@ def decide(candidates: DataFrame, call: list[str], rules: dict[str, Column]) ->
     )
 
 
+def classes(candidates: DataFrame) -> DataFrame:
+    """Candidates that no rule tells apart as one row: in `same` (array) for each number of parameters how many there are (`n`) and the first of them."""
+    keys = [c for c in candidates.columns if c not in ("symbol_id", "start_line", "n_params")]
+    first = F.min(F.struct("start_line", "symbol_id")).alias("first")
+    by_arity = candidates.groupBy(*keys, "n_params").agg(F.count("*").alias("n"), first)
+    return by_arity.groupBy(*keys).agg(F.collect_list(F.struct("n_params", "n", "first.start_line", "first.symbol_id")).alias("same"))
+
+
 def by_context(calls: DataFrame, candidates: DataFrame, name: str, context: list[str], rules: dict[str, Column], near: tuple[str, str] | None = None) -> DataFrame:
-    """Calls with their decisions, which are made once for each distinct context and joined back: a name with many candidates meets each
-    context once, not each call. `name` is in the context and named alike in the candidates.
+    """Calls with their decisions, which are made once for each distinct context and joined back: a context meets the classes of the name's
+    candidates, so the rows that meet grow with what differs on both sides and not with calls times candidates. `name` is in the context and
+    named alike in the candidates, which have no columns but those that the rules read.
 
     `near` names a column of the context and one of the candidates whose equality is the first rule: contexts with such candidates are decided by
     them alone, in a join on both, and only the others meet all candidates of their name."""
-    contexts = calls.select(*context).distinct()
+    whole = F.struct(*context).alias("__context")  # equal in all parts, of which any may be null
+    # Few bytes of contexts make many rows with their candidates: adaptive plans may not merge these partitions.
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts, candidates = calls.select(*context).distinct().repartition(parts, *context), classes(candidates)
     if near is None:
-        return calls.join(decide(contexts.join(candidates, name), context, rules), context)
-    first = next(iter(rules))
-    close = contexts.join(candidates, (contexts[name] == candidates[name]) & (contexts[near[0]] == candidates[near[1]])).drop(candidates[name])
-    decided = cut(decide(close, context, {first: rules[first]}), "near")
-    rest = contexts.join(decided.select(*context), context, "left_anti")
-    return calls.join(decided.unionByName(decide(rest.join(candidates, name), context, rules)), context)
+        decided = decide(contexts.join(candidates, name), context, rules)
+    else:
+        first = next(iter(rules))
+        close = contexts.join(candidates, (contexts[name] == candidates[name]) & (contexts[near[0]] == candidates[near[1]])).drop(candidates[name])
+        decided = cut(decide(close, context, {first: rules[first]}), "near")
+        rest = contexts.select("*", whole).join(decided.select(whole), "__context", "left_anti").drop("__context")
+        decided = decided.unionByName(decide(rest.join(candidates, name), context, rules))
+    return calls.select("*", whole).join(decided.select(whole, *[c for c in decided.columns if c not in context]), "__context").drop("__context")
 
 
 def dedupe(edges: DataFrame, order: list[str]) -> DataFrame:

@@ -233,3 +233,22 @@ def test_statistics(spark):
     graded = spark.createDataFrame([("t", 1, 3), ("t", 2, 0), ("t", 3, 2)], "task_id string, rank int, grade int")
     want = (7 + 3 / math.log2(4)) / (7 + 3 / math.log2(3))
     assert abs(stats.ndcg(graded).first().ndcg - want) < 1e-12
+
+
+def test_decisions_of_contexts_and_classes(spark):
+    """Calls of one context and candidates that no rule tells apart meet once; parts of a context may be null."""
+    call = "call_id long, call_path string, receiver string, receiver_type string, caller_qualified string, call_namespace string, imported array<string>, name string, arg_count int"
+    symbol = "symbol_id long, name string, qualified_name string, path string, start_line long, n_params long, namespace string, candidate_modules array<string>"
+    rng = random.Random(7)
+    one = lambda *xs: rng.choice(xs)
+    calls = spark.createDataFrame([(k, one("x/a.py", "y/b.py"), one("self", "A", None), one("B", None), one("A.f", "f"), one("n", None), one(["x.a"], []), one("f", "g"), one(0, 1)) for k in range(300)], call)
+    symbols = spark.createDataFrame([(k, n := one("f", "g"), one("A.", "B.", "") + n, one("x/a.py", "y/b.py", "x/c.py"), one(5, 9), one(0, 1, None), one("n", None), one(["x.a"], [])) for k in range(40)], symbol)
+    context = [c for c in calls.columns if c != "call_id"]
+    columns = ["call_id", "target_symbol_id", "status", "scope", "n_candidates"]
+    want = resolve.decide(calls.join(symbols, "name"), ["call_id"], resolve.scopes()).select(columns)
+    assert sorted(want.collect(), key=str) == sorted(resolve.by_context(calls, symbols, "name", context, resolve.scopes()).select(columns).collect(), key=str)
+    rules = {"same_file": F.col("call_path") == F.col("path"), "global": F.lit(True)}
+    want = resolve.decide(calls.join(symbols, "name"), ["call_id"], rules).select(columns)
+    assert sorted(want.collect(), key=str) == sorted(resolve.by_context(calls, symbols, "name", context, rules, near=("call_path", "path")).select(columns).collect(), key=str)
+    met = resolve.classes(symbols)
+    assert met.count() < 40 and met.selectExpr("sum(aggregate(same, 0L, (n, x) -> n + x.n))").first()[0] == 40

@@ -72,6 +72,14 @@ def test_traversal(spark):
     assert sorted(r.symbol_id for r in nodes.collect()) == [1, 2, 3, 7]
 
 
+def test_edges_of_a_walk_need_no_unique_ids(spark):
+    e = edge_table(spark, [(1, 2, 0.9), (2, 3, 0.9), (4, 5, 0.9), (3, 1, 0.9), (2, 1, 0.9)]).withColumn("edge_id", F.lit(0).cast("long"))
+    ends = lambda kept: sorted((r.source_symbol_id, r.target_symbol_id) for r in kept.collect())
+    assert ends(graph.levels(e, 3, "callers", 2)[1]) == [(1, 2), (2, 3)] and ends(graph.levels(e, 1, "callees", 2)[1]) == [(1, 2), (2, 1), (2, 3)]
+    assert ends(graph.levels(e, 1, "both", 1)[1]) == [(1, 2), (2, 1), (3, 1)]
+    assert ends(graph.bounded_bfs(e, 1, "both", 1, 9)[1]) == [(1, 2), (2, 1), (3, 1)] and ends(graph.bounded_bfs(e, 3, "callers", 1, 9)[1]) == [(2, 3)]
+
+
 def test_pagerank(spark):
     rng = random.Random(1)
     ids = list(range(30))

@@ -293,6 +293,26 @@ def test_typed_contexts(spark):
     assert picked == sorted(map(tuple, typed.pick_overload(found, h).collect())) and len(picked) == len({r[0] for r in want})
 
 
+def test_sums_of_packed_links():
+    """Sums over links in rows of arrays, from two blocks of values, against one plain sum."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), (1 << graph.BLOCK_BITS) + 500
+    src, dst, w, back = np.sort(rng.integers(n - 2000, n, 3000)), rng.integers(70, 900, 3000), rng.random(3000), rng.random(3000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 700]) for x in (src.astype(np.int32), dst.astype(np.int32), w, back)], ["src", "dst", "w", "back"]) for k in range(0, 3000, 700)]
+    values = rng.random(n)
+    blocks = [types.SimpleNamespace(value=values[: 1 << graph.BLOCK_BITS]), types.SimpleNamespace(value=values[1 << graph.BLOCK_BITS :])]
+    packed = list(graph._packed(iter(batches), 100))
+    want = np.bincount(dst, w * values[src], 900)
+    (got,) = graph._incoming(blocks)(iter(packed))
+    low, sums = got["start"][0].as_py(), np.frombuffer(got["values"][0].as_py())
+    assert len(packed) > 20 and low >= 70 and np.allclose(want[low : low + len(sums)], sums) and np.isclose(want.sum(), sums.sum())
+    assert not list(graph._incoming(blocks)(iter([]))) and not list(graph._packed(iter([])))
+
+
 def test_a_hot_name_is_matched_once(spark):
     """Rows that meet grow with kinds of calls and of methods, not with calls times methods: this many pairs (2.5 billion) would not end."""
     from codequarry.operators import typed
